@@ -10,14 +10,19 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from spinneret.functions.text import trim_space
 
+# Executors get the functions below with the task; they need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _ATTRIBUTES = r"""(?:\s(?:[^<>"']|"[^"<>]*"|'[^'<>]*')*+)?"""
 # Text, doctype, simple comments, head tags, and scripts or styles without "<".
 _PLAIN_HEAD = (

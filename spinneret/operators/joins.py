@@ -11,17 +11,17 @@ ROWS_PER_SALT = 200_000
 _NULL_SALTS = 1024
 
 
-def hot_keys(df: DataFrame, key: str, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
-    """``key, _parts``: keys with more than ``rows_per_salt`` rows, and their split.
+def hot_keys(df: DataFrame, key: str) -> DataFrame:
+    """``key, _parts``: keys with more than ROWS_PER_SALT rows, and their split.
 
-    At most ``rows(df) / rows_per_salt`` rows, which makes broadcasting it safe.
+    At most ``rows(df) / ROWS_PER_SALT`` rows, which makes broadcasting it safe.
     """
     return (
         df.where(F.col(key).isNotNull())
         .groupBy(key)
         .count()
-        .where(F.col("count") > rows_per_salt)
-        .select(key, F.ceil(F.col("count") / rows_per_salt).cast("int").alias("_parts"))
+        .where(F.col("count") > ROWS_PER_SALT)
+        .select(key, F.ceil(F.col("count") / ROWS_PER_SALT).cast("int").alias("_parts"))
     )
 
 

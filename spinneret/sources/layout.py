@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Part of the table format: readers compute the bucket of a crawl with it.
-PAGE_BUCKETS = 256
+PAGE_BUCKETS = 64
 
 
 def bucket_of(crawl_id: int) -> int:
