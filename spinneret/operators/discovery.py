@@ -18,7 +18,7 @@ from spinneret.functions.predicates import body_accepted
 from spinneret.functions.urls import on_host
 from spinneret.operators.joins import lookup
 from spinneret.operators.ordering import first_per_key
-from spinneret.session import written, written_counted
+from spinneret.session import pinned_counted, written
 
 MAX_DEPTH = 5
 ROBOTS_PATH = "/robots.txt"
@@ -44,7 +44,7 @@ def sitemap_roots(sites: DataFrame, documents: DataFrame) -> DataFrame:
     guessed = F.array(*[on_host(F.col("website"), path) for path in sitemaps.COMMON_PATHS])
     listed = F.when(F.size(F.coalesce("declared", F.array())) > 0, F.col("declared")).otherwise(guessed)
     return (
-        lookup(asked, robots, "robots_url", ["crawl_id"])
+        asked.join(robots, "robots_url", "left")
         .select("crawl_id", F.posexplode(listed).alias("pos", "sitemap_url"))
         .select("crawl_id", "sitemap_url", F.array("pos").alias("path"))
     )
@@ -110,7 +110,7 @@ def visits(roots: DataFrame, parsed: DataFrame, max_depth: int = MAX_DEPTH) -> V
     )
     below, levels, total = roots.withColumn("depth", F.lit(0)), [], 0
     for depth in range(max_depth + 1):
-        level, size = written_counted(below, f"visits-{depth}")
+        level, size = pinned_counted(below)
         if size or not levels:
             levels.append(level)
         total += size
@@ -133,7 +133,7 @@ def visit_outcomes(visited: Visits, parsed: DataFrame) -> DataFrame:
     """``crawl_id, sitemap_url, depth, kind, error`` per visit; kind or error is set."""
     url = F.col("sitemap_url")
     known = parsed.select("sitemap_url", "kind", "error")
-    reached = lookup(visited.rows, known, "sitemap_url", ["crawl_id", "path"], rows=visited.count).withColumn(
+    reached = visited.rows.join(known, "sitemap_url", "left").withColumn(
         "error",
         F.when(F.col("error").isNotNull(), F.col("error")).when(
             F.col("kind").isNull(), messages.fetch_refused(url, F.lit(None).cast("int"))

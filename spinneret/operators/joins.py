@@ -1,4 +1,9 @@
-"""Lookup join that spreads the rows of hot keys."""
+"""Lookup join that spreads the rows of hot keys.
+
+For joins that add little to a row, Spark's own skew join is enough: it splits a
+hot partition by its size. ``lookup`` is for joins whose right rows are large (page
+bodies) or fan out (lists of URLs), where the size of the left rows says nothing.
+"""
 
 from __future__ import annotations
 

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spinneret.functions.messages import too_many_redirects
-from spinneret.operators.joins import lookup
-from spinneret.session import pinned
+from spinneret.session import pinned_counted
 
 MAX_REDIRECTS = 5
 HARD_MAX_REDIRECTS = 50
@@ -30,11 +29,13 @@ def redirect_chains(hops: DataFrame, limit: int) -> DataFrame:
     )
     reach = 1
     while reach < limit:
-        chains = pinned(chains)
+        chains, size = pinned_counted(chains)
+        if not size:
+            break
         onward = chains.select(
             F.col("url").alias("target"), F.col("target").alias("_next"), F.col("steps").alias("_more")
         )
-        chains = lookup(chains, onward, "target", ["url"]).select(
+        chains = chains.join(onward, "target", "left").select(
             "url",
             F.coalesce("_next", "target").alias("target"),
             (F.col("steps") + F.coalesce("_more", F.lit(0))).alias("steps"),
@@ -50,7 +51,7 @@ def resolve_redirects(urls: DataFrame, hops: DataFrame, max_redirects: int = MAX
     needs more than ``max_redirects`` requests has an error and no final URL.
     """
     limit = request_limit(max_redirects)
-    found = lookup(urls, redirect_chains(hops, limit), "url", urls.columns)
+    found = urls.join(redirect_chains(hops, limit), "url", "left")
     stopped = F.coalesce(F.col("steps") >= limit, F.lit(False))
     return (
         found.withColumn("final_url", F.when(~stopped, F.coalesce("target", "url")))

@@ -25,44 +25,73 @@ ID_SHIFT = 32
 _RESPONSE = ("status_code", "content_type", "body", "response_time_us")
 
 
-def page_results(plan: DataFrame, captures: DataFrame) -> DataFrame:
+def _with_targets(plan: DataFrame) -> DataFrame:
+    """The plan with ``final_url`` and ``redirect_error``, if it has none yet."""
+    if "final_url" in plan.columns:
+        return plan
+    return plan.withColumn("final_url", F.col("url")).withColumn("redirect_error", F.lit(None).cast("string"))
+
+
+def _result_error(fetch_error: Column) -> Column:
+    """Why a result failed, or null: redirects, then the fetch, then no capture."""
+    return (
+        F.when(F.col("redirect_error").isNotNull(), F.concat(F.lit("performing request: "), "redirect_error"))
+        .when(fetch_error.isNotNull(), fetch_error)
+        .when(F.col("status_code").isNull(), NOT_CAPTURED)
+    )
+
+
+def page_results(plan: DataFrame, captures: DataFrame, rows: int | None = None) -> DataFrame:
     """Exactly one result per planned URL, from its first capture.
 
     ``plan`` has ``crawl_id, position, url``, and may have ``final_url`` and
     ``redirect_error`` from ``resolve_redirects``; the capture is then that of the
-    final URL. A URL without a capture becomes a failed result.
+    final URL. A URL without a capture becomes a failed result. ``rows`` is the
+    size of the plan where that is known.
 
     The first capture of each URL is found on two narrow columns. Bodies then
     move once, joined on the capture's id, so copies of a URL do not pile up.
     """
-    if "final_url" not in plan.columns:
-        plan = plan.withColumn("final_url", F.col("url")).withColumn("redirect_error", F.lit(None).cast("string"))
+    plan = _with_targets(plan)
     first = first_per_key(captures.select("url", "capture_id"), ["url"], "capture_id")
     first = first.withColumnRenamed("url", "final_url")
+    spread = ["crawl_id", "url"]
     hot_urls = hot_keys(plan, "final_url")
-    placed = lookup(plan, first, "final_url", ["crawl_id", "url"], hot=hot_urls)
+    placed = lookup(plan, first, "final_url", spread, rows=rows, hot=hot_urls)
     hot_captures = first.join(F.broadcast(hot_urls), "final_url").select("capture_id", "_parts")
     bodies = captures.select("capture_id", *_RESPONSE, F.col("error").alias("_fetch_error"))
     # Hash the narrow plan side, so that bodies stream by without a sort.
-    joined = lookup(
-        placed, bodies, "capture_id", ["crawl_id", "url"], hot=hot_captures, strategy="shuffle_hash"
+    joined = lookup(placed, bodies, "capture_id", spread, rows=rows, hot=hot_captures, strategy="shuffle_hash")
+    return joined.withColumn("error", _result_error(F.col("_fetch_error"))).select(
+        "crawl_id",
+        "position",
+        "url",
+        "final_url",
+        *[F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in _RESPONSE],
+        "error",
     )
 
-    error = (
-        F.when(F.col("redirect_error").isNotNull(), F.concat(F.lit("performing request: "), "redirect_error"))
-        .when(F.col("_fetch_error").isNotNull(), F.col("_fetch_error"))
-        .when(F.col("status_code").isNull(), NOT_CAPTURED)
+
+def fetch_outcomes(plan: DataFrame, captures: DataFrame) -> DataFrame:
+    """``crawl_id, position, url, status_code, error`` of ``page_results``.
+
+    All that the counters need. Without bodies, status and error travel with the
+    first capture of each URL, and one narrow join does.
+    """
+    first = captures.groupBy(F.col("url").alias("final_url")).agg(
+        F.min(F.struct("capture_id", "status_code", "error")).alias("_first")
     )
-    return (
-        joined.withColumn("error", error)
-        .select(
-            "crawl_id",
-            "position",
-            "url",
-            "final_url",
-            *[F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in _RESPONSE],
-            "error",
-        )
+    joined = (
+        _with_targets(plan)
+        .join(first, "final_url", "left")
+        .withColumn("status_code", F.when(F.col("redirect_error").isNull(), F.col("_first.status_code")))
+    )
+    return joined.withColumn("error", _result_error(F.col("_first.error"))).select(
+        "crawl_id",
+        "position",
+        "url",
+        F.when(F.col("error").isNull(), F.col("status_code")).alias("status_code"),
+        "error",
     )
 
 

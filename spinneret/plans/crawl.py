@@ -12,11 +12,11 @@ from spinneret.operators.changes import finalise
 from spinneret.operators.crawl_plan import MAX_PAGES, crawl_plan
 from spinneret.operators.discovery import MAX_DEPTH, Discovery, discover
 from spinneret.operators.redirects import MAX_REDIRECTS, resolve_redirects
-from spinneret.operators.results import page_results, page_rows
+from spinneret.operators.results import fetch_outcomes, page_results, page_rows
 from spinneret.operators.rollup import failed_rollup, rollup_of
 from spinneret.operators.seeds import accepted_seeds, new_crawls
 from spinneret.schemas import PAGE_COLUMNS
-from spinneret.session import prepare, written
+from spinneret.session import prepare, written, written_counted
 
 
 class CrawlRun(NamedTuple):
@@ -44,18 +44,19 @@ def run_crawls(
 ) -> CrawlRun:
     """Start a crawl for every new website and compute what it finds.
 
-    ``now`` is one point in time for all rows. New crawls and the plan are written
-    to the shared folder, since several later steps read them.
+    ``now`` is one point in time for all rows. New crawls and the plan, with its
+    redirects followed, are written to the shared folder, since several later steps
+    read them.
     """
     prepare(seeds.sparkSession)
     started = written(new_crawls(accepted_seeds(seeds), crawls, now), "crawls")
     sites = started.select(F.col("id").alias("crawl_id"), "website")
     found = discover(sites, documents, max_depth)
-    plan = written(crawl_plan(sites, found.urls, max_pages), "plan")
-    targets = written(resolve_redirects(plan, hops, max_redirects).drop("requests"), "targets")
-    results = page_results(targets, captures)
+    plan = crawl_plan(sites, found.urls, max_pages)
+    targets, size = written_counted(resolve_redirects(plan, hops, max_redirects).drop("requests"), "plan")
+    outcomes = fetch_outcomes(targets, captures)
     return CrawlRun(
-        crawls=finalise(started, totals_of(started, results), now),
-        pages=page_rows(results, now).select(*PAGE_COLUMNS),
+        crawls=finalise(started, totals_of(started, outcomes), now),
+        pages=page_rows(page_results(targets, captures, rows=size), now).select(*PAGE_COLUMNS),
         discovery=found,
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,21 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _counted(df: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, int]:
+    """What ``keep`` returns, and the number of rows, counted on the way.
+
+    A task that ran twice may be counted twice, so take it as an upper bound; zero
+    is exact.
+    """
+    seen = Observation()
+    kept = keep(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return kept, seen.get["rows"]
+
+
+def pinned_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    return _counted(df, pinned)
+
+
 def written(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write to the shared folder and read back: lineage is cut, columns still prune."""
     path = fresh_path(df.sparkSession, label)
@@ -63,10 +79,4 @@ def written(df: DataFrame, label: str, partition_by: str | None = None) -> DataF
 
 
 def written_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
-    """``written`` and the number of rows, counted on the way.
-
-    A task that ran twice may be counted twice, so take it as an upper bound; zero
-    is exact.
-    """
-    seen = Observation()
-    return written(df.observe(seen, F.count(F.lit(1)).alias("rows")), label), seen.get["rows"]
+    return _counted(df, lambda observed: written(observed, label))

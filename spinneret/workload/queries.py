@@ -15,7 +15,7 @@ from spinneret.operators.discovery import sitemap_entries as entries_of
 from spinneret.operators.discovery import sitemap_roots as roots_of
 from spinneret.operators.ordering import numbered
 from spinneret.operators.redirects import resolve_redirects
-from spinneret.operators.results import page_results, process_pages, with_success
+from spinneret.operators.results import fetch_outcomes, page_results, process_pages, with_success
 from spinneret.operators.results import page_rows as rows_of
 from spinneret.operators.rollup import rollup
 from spinneret.operators.seeds import accepted_seeds, check_seeds, new_crawls, rejected_seeds, reused_crawls
@@ -35,8 +35,8 @@ _NARROW = ("crawl_id", "position", "url", "status_code", "error")
 
 
 def crawl_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = page_results(inputs.plan(spark, sf_dir), inputs.captures(spark, sf_dir))
-    return rollup(joined)
+    outcomes = fetch_outcomes(inputs.plan(spark, sf_dir), inputs.captures(spark, sf_dir))
+    return rollup(outcomes)
 
 
 def captured_results(spark: SparkSession, sf_dir: str) -> DataFrame:

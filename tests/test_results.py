@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spinneret.operators.redirects import request_limit, resolve_redirects
-from spinneret.operators.results import crawl_pages, page_results, page_rows, process_pages, with_success
+from spinneret.operators.results import crawl_pages, fetch_outcomes, page_results, page_rows, process_pages, with_success
 from spinneret.operators.rollup import rollup, rollup_of
 from spinneret.schemas import CAPTURES, HOPS, PAGE_COLUMNS, PAGES
 
@@ -97,12 +97,22 @@ def test_rollup(crawled):
     assert {r["crawl_id"]: r["is_success"] for r in with_success(results).where("url = 'missing'").collect()} == {2: False}
 
 
+def test_outcomes_agree_with_results(spark, crawled):
+    plan, seen = crawled
+    hops = spark.createDataFrame([("json", "ok"), ("untitled", "untitled")], HOPS)
+    for planned in (plan, resolve_redirects(plan, hops)):
+        outcomes = fetch_outcomes(planned, seen)
+        same = page_results(planned, seen).select(*outcomes.columns)
+        assert sorted(map(tuple, outcomes.collect()), key=repr) == sorted(map(tuple, same.collect()), key=repr)
+
+
 def test_rollup_reads_no_bodies(spark, crawled, tmp_path):
     plan, seen = crawled
     seen.write.parquet(str(tmp_path / "captures"))
     stored = spark.read.schema(CAPTURES).parquet(str(tmp_path / "captures"))
-    text = rollup(page_results(plan, stored))._jdf.queryExecution().executedPlan().toString()
-    assert "status_code" in text and "body" not in text
+    for results in (page_results(plan, stored), fetch_outcomes(plan, stored)):
+        text = rollup(results)._jdf.queryExecution().executedPlan().toString()
+        assert "status_code" in text and "body" not in text
 
 
 def test_final_status(spark):
