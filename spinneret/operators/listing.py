@@ -74,10 +74,9 @@ def list_pages(
 def list_pages_all(pages: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0) -> DataFrame:
     """The same listing page of every crawl at once, with its ``position``."""
     limit, offset = check_paging(limit, offset)
-    ids = pages.select("crawl_id", "id")
-    placed = first_n(ids, "crawl_id", "id", limit + offset, F.col("id"))
-    wanted = placed.where(F.col("position") > offset)
-    return pages.select(*PAGE_COLUMNS_NO_HTML).join(wanted, ["crawl_id", "id"])
+    # narrow rows, and few of them after the cut that comes before the shuffle
+    placed = first_n(pages.select(*PAGE_COLUMNS_NO_HTML), "crawl_id", "id", limit + offset, F.col("id"))
+    return placed.where(F.col("position") > offset)
 
 
 def listing_totals(requests: DataFrame, crawls: DataFrame, pages: DataFrame) -> DataFrame:

@@ -102,28 +102,26 @@ def page_rows(results: DataFrame, now: Column | None = None) -> DataFrame:
     for HTML responses, whatever their status.
     """
     now = F.current_timestamp() if now is None else now
-    failed = F.col("error").isNotNull()
-    html = F.when(~failed & is_html(F.col("content_type")), F.coalesce("body", F.lit("")))
-    with_html = results.withColumn("html", html)
-    with_plain = with_html.withColumn("_plain", plain_title(F.col("html")))
-
-    def unless_failed(value: Column) -> Column:
-        return F.when(~failed, value)
-
-    return with_plain.select(
+    fetched = F.col("error").isNull()
+    body = F.col("body")
+    # The body goes on only as html, so that it is carried once past the title parser.
+    rows = results.select(
         (F.shiftleft(F.col("crawl_id"), ID_SHIFT) + F.col("position")).alias("id"),
         "crawl_id",
         "position",
         "url",
-        unless_failed(F.col("status_code")).alias("status_code"),
-        unless_failed(F.coalesce("content_type", F.lit(""))).alias("content_type"),
-        unless_failed(F.coalesce(byte_length(F.col("body")), F.lit(0))).alias("content_length"),
-        unless_failed(whole_millis(F.col("response_time_us"))).alias("response_time_ms"),
-        html_title(F.col("html"), F.col("_plain")).alias("title"),
-        "html",
+        F.when(fetched, F.col("status_code")).alias("status_code"),
+        F.when(fetched, F.coalesce("content_type", F.lit(""))).alias("content_type"),
+        F.when(fetched, F.coalesce(byte_length(body), F.lit(0))).alias("content_length"),
+        F.when(fetched, whole_millis(F.col("response_time_us"))).alias("response_time_ms"),
+        F.when(fetched & is_html(F.col("content_type")), F.coalesce(body, F.lit(""))).alias("html"),
         "error",
         now.cast("timestamp").alias("created_at"),
     )
+    titled = rows.withColumn("_plain", plain_title(F.col("html"))).withColumn(
+        "title", html_title(F.col("html"), F.col("_plain"))
+    )
+    return titled.select("position", *PAGE_COLUMNS)
 
 
 def crawl_pages(

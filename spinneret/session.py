@@ -16,6 +16,8 @@ SETTINGS = {
     # A "first n" window trims before its shuffle only below this many rows;
     # the default of 1,000 is under the usual 5,000 URLs per crawl.
     "spark.sql.optimizer.windowGroupLimitThreshold": "20000",
+    # Rows hold whole page bodies: keep few of them between Spark and Python.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 

@@ -17,7 +17,11 @@ def ingest_pages(results: DataFrame, path: str, checkpoint: str, order: str = "i
     """
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        insert_new(batch, path, order)
+        kept = batch.persist()  # read for its keys, then for its rows
+        try:
+            insert_new(kept, path, order)
+        finally:
+            kept.unpersist()
 
     return (
         results.writeStream.foreachBatch(add)
