@@ -10,7 +10,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spinneret.functions import messages, sitemaps
@@ -94,6 +94,11 @@ def sitemap_entries(parsed: DataFrame) -> DataFrame:
     return parsed.select("sitemap_url", "kind", F.inline("entries"))
 
 
+def _places() -> Column:
+    """Position and address of each entry; the scan reads no other field."""
+    return F.arrays_zip(F.col("entries.pos"), F.col("entries.loc"))
+
+
 class Visits(NamedTuple):
     rows: DataFrame  # crawl_id, sitemap_url, path, depth
     count: int
@@ -106,7 +111,7 @@ def visits(roots: DataFrame, parsed: DataFrame, max_depth: int = MAX_DEPTH) -> V
     Sitemaps already visited are visited again, so a loop ends by depth.
     """
     children = parsed.where(F.col("kind") == sitemaps.INDEX).select(
-        "sitemap_url", F.transform("entries", lambda e: F.struct(e["pos"], e["loc"])).alias("children")
+        "sitemap_url", _places().alias("children")
     )
     below, levels, total = roots.withColumn("depth", F.lit(0)), [], 0
     for depth in range(max_depth + 1):
@@ -147,7 +152,7 @@ def visit_outcomes(visited: Visits, parsed: DataFrame) -> DataFrame:
 def listed_urls(visited: Visits, parsed: DataFrame) -> DataFrame:
     """Each page URL of a crawl once, with the path it is first reached by."""
     pages = parsed.where(F.col("kind") == sitemaps.URLSET).select(
-        "sitemap_url", F.transform("entries", lambda e: F.struct(e["pos"], e["loc"])).alias("listed")
+        "sitemap_url", _places().alias("listed")
     )
     every = (
         lookup(visited.rows, pages, "sitemap_url", ["crawl_id", "path"], "inner", rows=visited.count)

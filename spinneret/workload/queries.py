@@ -21,7 +21,7 @@ from spinneret.operators.rollup import rollup
 from spinneret.operators.seeds import accepted_seeds, check_seeds, new_crawls, rejected_seeds, reused_crawls
 from spinneret.plans.crawl import run_crawls, totals_of
 from spinneret.session import fresh_path, written
-from spinneret.sources import export
+from spinneret.sources import export, store
 from spinneret.sources.tables import read_pages
 from spinneret.streaming.counters import count_pages_live, latest_counters
 from spinneret.streaming.ingest import ingest_pages
@@ -232,9 +232,9 @@ def finalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _requested_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    crawls = inputs.crawls(spark, sf_dir)
-    unknown = crawls.agg(F.lit(inputs.NOT_A_CRAWL).cast("long").alias("id"))
-    return crawls.where(F.col("id") % 5 == 0).select("id").unionByName(unknown)
+    """Every fifth crawl, and as many ids that no crawl has."""
+    chosen = inputs.crawls(spark, sf_dir).where(F.col("id") % 5 == 0)
+    return chosen.select(F.explode(F.array(F.col("id"), -F.col("id"))).alias("id"))
 
 
 def status_update(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,6 +258,32 @@ def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left_crawls.unionByName(left_pages).unionByName(unknown)
 
 
+# the pages table on disk
+
+_STORED = ("id", "crawl_id", "url", "status_code", "title")
+
+
+def _page_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(inputs.stored_pages(spark, sf_dir), "batch")
+
+
+def stored_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third page appended as a batch, then all inserted, twice."""
+    path, batch = fresh_path(spark, "pages"), _page_batch(spark, sf_dir)
+    store.append_batch(batch.where(F.col("id") % 3 == 0), path)
+    for _ in range(2):
+        store.insert_new(batch.withColumn("title", F.lit("late")), path)
+    return read_pages(spark, path).select(*_STORED)
+
+
+def stored_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the table holds after crawls were deleted from it."""
+    path = fresh_path(spark, "pages")
+    store.insert_new(_page_batch(spark, sf_dir), path)
+    store.delete_stored_pages(spark, path, _requested_ids(spark, sf_dir))
+    return read_pages(spark, path).select(*_STORED)
+
+
 # audits
 
 
@@ -371,6 +397,8 @@ QUERIES = {
         finalise,
         status_update,
         delete_cascade,
+        stored_append,
+        stored_delete,
         bulk_append_audit,
         pages_with_crawl,
         constraint_audit,
