@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from spinneret.operators.joins import without
 from spinneret.schemas import CRAWL_STATUSES, CRAWLS, PAGES
 
 
@@ -48,10 +49,10 @@ def orphan_crawl_ids(pages: DataFrame, crawls: DataFrame) -> DataFrame:
 def pages_with_crawl(pages: DataFrame, crawls: DataFrame) -> DataFrame:
     """Pages that belong to an existing crawl.
 
-    The few unknown crawl ids are worked out first; the wide rows are then only
-    tested against those.
+    The unknown crawl ids are worked out first, usually few; the wide rows are then
+    only tested against those.
     """
-    return pages.join(orphan_crawl_ids(pages, crawls), "crawl_id", "left_anti")
+    return without(pages, orphan_crawl_ids(pages, crawls), "crawl_id")
 
 
 def audit(crawls: DataFrame, pages: DataFrame) -> DataFrame:

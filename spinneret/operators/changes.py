@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spinneret.operators.joins import without
+from spinneret.operators.ordering import first_per_key
 from spinneret.operators.rollup import COUNTERS
 from spinneret.schemas import CRAWL_COLUMNS
 
@@ -52,10 +54,10 @@ def insert_ignore(batch: DataFrame, existing: DataFrame, order: str) -> DataFram
     """Rows of ``batch`` to add to a table unique by (crawl_id, url).
 
     Rows whose key ``existing`` has are dropped; of several with one key the
-    first by ``order``, unique within the batch, stays. Keys are compared on
-    narrow columns and the wide rows move once.
+    first by ``order``, a number unique within the batch, stays. The rows to drop
+    are worked out on narrow columns, so wide rows only move if there are many.
     """
     keys = ["crawl_id", "url"]
-    first = batch.groupBy(*keys).agg(F.min(order).alias(order))
-    new = first.join(existing.select(*keys), keys, "left_anti")
-    return batch.join(new, [*keys, order], "left_semi")
+    narrow = batch.select(*keys, order)
+    new = first_per_key(narrow, keys, order).join(existing.select(*keys), keys, "left_anti")
+    return without(batch, narrow.join(new, [*keys, order], "left_anti"), order)

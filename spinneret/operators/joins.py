@@ -10,6 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spinneret.session import pinned_counted
+
+# Numbers that may be broadcast to drop rows by: a few tens of MB.
+MAX_BROADCAST_ROWS = 500_000
+
 # Rows of one key that a single task may take.
 ROWS_PER_SALT = 200_000
 # Rows without a key match nothing; they only need to be spread.
@@ -71,3 +76,15 @@ def lookup(
         .drop("_parts")
     )
     return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")
+
+
+def without(df: DataFrame, unwanted: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key``, a number, is not in ``unwanted``.
+
+    The unwanted keys are counted first. The usual few are broadcast, so that wide
+    rows are not shuffled to find out that they stay; many are joined by shuffle.
+    """
+    unwanted, size = pinned_counted(unwanted.select(key))
+    if not size:
+        return df
+    return df.join(F.broadcast(unwanted) if size <= MAX_BROADCAST_ROWS else unwanted, key, "left_anti")

@@ -25,16 +25,6 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(order).alias(order))
 
 
-def first_rows(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Whole rows that come first per key; ``order`` is unique within a key.
-
-    Winners are chosen on the narrow columns. The wide rows then join on key and
-    order together, so the copies of a hot key do not meet in one task.
-    """
-    winners = first_per_key(df.select(*keys, order), keys, order)
-    return df.join(winners, [*keys, order], "left_semi")
-
-
 def first_n(df: DataFrame, group: str, order: str, n: int, spread: Column, name: str = "position") -> DataFrame:
     """Number rows from 1 per ``group`` by ``order`` and keep the first ``n``.
 

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from spinneret.operators import joins, ordering
-from spinneret.operators.joins import lookup
-from spinneret.operators.ordering import first_n, first_per_key, first_rows, numbered
+from spinneret.operators.joins import lookup, without
+from spinneret.operators.ordering import first_n, first_per_key, numbered
 
 
 def skewed_rows(n=600, seed=1):
@@ -53,14 +53,24 @@ def test_numbered_over_the_whole_table(spark):
     assert got == {x: x + 1 for x in range(1000)}
 
 
-def test_first_per_key_and_first_rows(spark):
-    rows = [("hot" if i % 3 else f"k{i}", i, "body" * i) for i in range(60)]
-    df = spark.createDataFrame(rows, "k string, seq int, body string")
+def test_first_per_key(spark):
+    rows = [("hot" if i % 3 else f"k{i}", 1000 - i) for i in range(60)]
     want = {}
-    for k, seq, body in rows:
-        want.setdefault(k, (seq, body))
-    assert {r["k"]: r["seq"] for r in first_per_key(df, ["k"], "seq").collect()} == {k: v[0] for k, v in want.items()}
-    assert {r["k"]: (r["seq"], r["body"]) for r in first_rows(df, ["k"], "seq").collect()} == want
+    for k, seq in rows:
+        want[k] = min(seq, want.get(k, seq))
+    got = first_per_key(spark.createDataFrame(rows, "k string, seq int"), ["k"], "seq").collect()
+    assert {r["k"]: r["seq"] for r in got} == want
+
+
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_without(spark, monkeypatch, most):
+    monkeypatch.setattr(joins, "MAX_BROADCAST_ROWS", most)
+    df = spark.range(100)
+    for unwanted in (set(), {5}, set(range(0, 100, 3))):
+        keys = spark.createDataFrame([(i,) for i in unwanted], "id long")
+        kept = without(df, keys, "id")
+        assert {r["id"] for r in kept.collect()} == set(range(100)) - unwanted
+        assert ("strategy=broadcast" in kept._jdf.queryExecution().toString()) == bool(most and unwanted)
 
 
 def lookup_case(spark):
