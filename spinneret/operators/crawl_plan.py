@@ -20,7 +20,7 @@ def crawl_plan(sites: DataFrame, urls: DataFrame, max_pages: int = MAX_PAGES) ->
     """
     fallback = sites.select("crawl_id", F.col("website").alias("url"), F.array(F.lit(_LAST)).alias("path"))
     candidates = urls.select("crawl_id", "url", "path").unionByName(fallback)
-    placed = first_n(candidates, "crawl_id", "path", max_pages, F.struct("url", "path"))
+    placed = first_n(candidates, "crawl_id", "path", max_pages)
     return placed.where((F.col("path")[0] != _LAST) | (F.col("position") == 1)).select(
         "crawl_id", F.col("position").cast("int").alias("position"), "url"
     )

@@ -75,7 +75,7 @@ def list_pages_all(pages: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0
     """The same listing page of every crawl at once, with its ``position``."""
     limit, offset = check_paging(limit, offset)
     # narrow rows, and few of them after the cut that comes before the shuffle
-    placed = first_n(pages.select(*PAGE_COLUMNS_NO_HTML), "crawl_id", "id", limit + offset, F.col("id"))
+    placed = first_n(pages.select(*PAGE_COLUMNS_NO_HTML), "crawl_id", "id", limit + offset)
     return placed.where(F.col("position") > offset)
 
 

@@ -20,6 +20,7 @@ from spinneret.operators.results import page_rows as rows_of
 from spinneret.operators.rollup import rollup
 from spinneret.operators.seeds import accepted_seeds, check_seeds, new_crawls, rejected_seeds, reused_crawls
 from spinneret.plans.crawl import run_crawls, totals_of
+from spinneret.schemas import CRAWLS
 from spinneret.session import fresh_path, written
 from spinneret.sources import export, store
 from spinneret.sources.tables import read_pages
@@ -147,7 +148,7 @@ def crawl_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole job, from seeds to finished crawls."""
     sites = inputs.sites(spark, sf_dir)
     seeds = sites.select(F.col("crawl_id").alias("seed_id"), F.col("website").alias("website_raw"))
-    none_yet = inputs.crawls(spark, sf_dir).where(F.col("id") < 0)
+    none_yet = spark.createDataFrame([], CRAWLS)
     hops = inputs.table(spark, sf_dir, "pages").select("url", F.lit(None).cast("string").alias("location"))
     run = run_crawls(
         seeds,
@@ -161,6 +162,12 @@ def crawl_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.crawls
 
 
+def _requested_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth crawl, and as many ids that no crawl has."""
+    chosen = inputs.crawls(spark, sf_dir).where(F.col("id") % 5 == 0)
+    return chosen.select(F.explode(F.array(F.col("id"), -F.col("id"))).alias("id"))
+
+
 # lookups and listings
 
 
@@ -194,11 +201,13 @@ def list_pages_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listing_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = inputs.pages_by_crawl(spark, sf_dir)
-    # crawls divisible by 4 have no pages, those divisible by 5 do not exist
-    requests = pages.select("crawl_id").distinct()
-    crawls = inputs.crawls(spark, sf_dir).where(F.col("id") % 5 != 0)
-    totals = listing.listing_totals(requests, crawls, inputs.results(spark, sf_dir).where(F.col("crawl_id") % 4 != 0))
+    """Asked for every crawl, when some are deleted and pending ones have no pages."""
+    crawls = inputs.crawls(spark, sf_dir)
+    requests = crawls.select(F.col("id").alias("crawl_id"))
+    left = changes.delete_crawls(crawls, _requested_ids(spark, sf_dir))
+    pending = listing.crawls_by_status(crawls, "pending")
+    crawled = changes.delete_pages_of(inputs.results(spark, sf_dir), pending.select("id"))
+    totals = listing.listing_totals(requests, left, crawled)
     return totals.withColumn("crawl_found", F.col("crawl_found").cast("int"))
 
 
@@ -226,15 +235,11 @@ def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def finalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    running = F.col("crawl_id") % 4 == 1
-    totals = rollup(inputs.results(spark, sf_dir).where(running))
-    return changes.finalise(inputs.crawls(spark, sf_dir), totals, inputs.now())
-
-
-def _requested_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fifth crawl, and as many ids that no crawl has."""
-    chosen = inputs.crawls(spark, sf_dir).where(F.col("id") % 5 == 0)
-    return chosen.select(F.explode(F.array(F.col("id"), -F.col("id"))).alias("id"))
+    """The crawls that run are done: their totals are written in."""
+    crawls = inputs.crawls(spark, sf_dir)
+    running = listing.crawls_by_status(crawls, "running").select(F.col("id").alias("crawl_id"))
+    totals = rollup(inputs.results(spark, sf_dir)).join(running, "crawl_id", "left_semi")
+    return changes.finalise(crawls, totals, inputs.now())
 
 
 def status_update(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,7 +300,7 @@ def bulk_append_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages_with_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = inputs.crawls(spark, sf_dir).where(F.col("id") % 5 != 0)
+    known = changes.delete_crawls(inputs.crawls(spark, sf_dir), _requested_ids(spark, sf_dir))
     return audits.pages_with_crawl(inputs.plan(spark, sf_dir), known)
 
 

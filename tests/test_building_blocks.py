@@ -30,7 +30,7 @@ def brute_positions(rows):
 def test_first_n(spark, n):
     rows = skewed_rows()
     df = spark.createDataFrame(rows, "g int, path array<int>, url string").repartition(5)
-    got = {tuple(r) for r in first_n(df, "g", "path", n, F.col("url")).select("g", "url", "position").collect()}
+    got = {tuple(r) for r in first_n(df, "g", "path", n).select("g", "url", "position").collect()}
     want = {r for r in brute_positions(rows) if n <= 0 or r[2] <= n}
     assert got == want
 
@@ -41,7 +41,7 @@ def test_first_n_does_not_depend_on_partitions(spark):
     seen = set()
     for parts in ("1", "3", "11"):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
-        got = first_n(df.repartition(int(parts)), "g", "path", 9, F.col("url")).select("g", "url", "position")
+        got = first_n(df.repartition(int(parts)), "g", "path", 9).select("g", "url", "position")
         seen.add(frozenset(tuple(r) for r in got.collect()))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert len(seen) == 1
@@ -104,6 +104,6 @@ def test_lookup_without_hot_keys(spark):
 def test_early_group_limit_is_planned(spark, tmp_path):
     path = str(tmp_path / "rows")
     spark.createDataFrame(skewed_rows(), "g int, path array<int>, url string").write.parquet(path)
-    plan = first_n(spark.read.parquet(path), "g", "path", 5000, F.col("url"))._jdf.queryExecution().toString()
+    plan = first_n(spark.read.parquet(path), "g", "path", 5000)._jdf.queryExecution().toString()
     # per salt and per group, each before its shuffle and after it
     assert plan.count("WindowGroupLimit") >= 4
