@@ -18,7 +18,9 @@ def finalise(crawls: DataFrame, totals: DataFrame, now: Column | None = None) ->
     """
     now = F.current_timestamp() if now is None else now
     ended = totals.select(
-        F.col("crawl_id").alias("id"), *[F.col(c).alias(f"_{c}") for c in ("status", *COUNTERS)], F.lit(True).alias("_ended")
+        F.col("crawl_id").alias("id"),
+        *[F.col(c).alias(f"_{c}") for c in ("status", *COUNTERS)],
+        F.lit(True).alias("_ended"),
     )
     return crawls.join(ended, "id", "left").select(
         "id",
@@ -32,7 +34,8 @@ def finalise(crawls: DataFrame, totals: DataFrame, now: Column | None = None) ->
 def set_status(crawls: DataFrame, requests: DataFrame) -> DataFrame:
     """Crawls with the statuses of ``requests (id, status)``, one request per id."""
     wanted = requests.select("id", F.col("status").alias("_status"))
-    return crawls.join(wanted, "id", "left").withColumn("status", F.coalesce("_status", "status")).select(*CRAWL_COLUMNS)
+    updated = crawls.join(wanted, "id", "left").withColumn("status", F.coalesce("_status", "status"))
+    return updated.select(*CRAWL_COLUMNS)
 
 
 def not_found(requests: DataFrame, table: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spinneret.operators.ordering import first_n
 
+# Fixed value: URLs per crawl unless told otherwise.
 MAX_PAGES = 5000
 # Sorts after every path a sitemap can give.
 _LAST = 2**31 - 1

@@ -20,6 +20,7 @@ from spinneret.operators.joins import lookup
 from spinneret.operators.ordering import first_per_key
 from spinneret.session import pinned_counted, written
 
+# The deepest level that is read, and where robots files are.
 MAX_DEPTH = 5
 ROBOTS_PATH = "/robots.txt"
 
@@ -144,7 +145,8 @@ def visit_outcomes(visited: Visits, parsed: DataFrame) -> DataFrame:
             F.col("kind").isNull(), messages.fetch_refused(url, F.lit(None).cast("int"))
         ),
     )
-    stopped = visited.too_deep.withColumn("kind", F.lit(None).cast("string")).withColumn("error", messages.too_deep(url))
+    no_kind = F.lit(None).cast("string")
+    stopped = visited.too_deep.withColumn("kind", no_kind).withColumn("error", messages.too_deep(url))
     columns = ["crawl_id", "sitemap_url", "depth", "kind", "error"]
     return reached.select(*columns).unionByName(stopped.select(*columns))
 

@@ -10,6 +10,7 @@ from spinneret.operators.results import ID_SHIFT
 from spinneret.schemas import CRAWL_COLUMNS, PAGE_COLUMNS, PAGE_COLUMNS_NO_HTML
 from spinneret.sources.layout import bucket_of, has_buckets
 
+# The range of a listing page.
 DEFAULT_LIMIT, MAX_LIMIT = 50, 500
 MAX_OFFSET = 1_000_000
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spinneret.functions.messages import too_many_redirects
 from spinneret.session import pinned_counted
 
+# The usual and the highest number of requests per URL.
 MAX_REDIRECTS = 5
 HARD_MAX_REDIRECTS = 50
 

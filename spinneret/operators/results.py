@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from spinneret.functions.measures import byte_length, whole_millis
-from spinneret.functions.messages import NOT_CAPTURED
+from spinneret.functions.messages import NOT_CAPTURED, request_failed
 from spinneret.functions.predicates import counts_as_success, is_html
 from spinneret.functions.titles import html_title, plain_title
 from spinneret.operators.joins import hot_keys, lookup
@@ -35,7 +35,7 @@ def _with_targets(plan: DataFrame) -> DataFrame:
 def _result_error(fetch_error: Column) -> Column:
     """Why a result failed, or null: redirects, then the fetch, then no capture."""
     return (
-        F.when(F.col("redirect_error").isNotNull(), F.concat(F.lit("performing request: "), "redirect_error"))
+        F.when(F.col("redirect_error").isNotNull(), request_failed(F.col("redirect_error")))
         .when(fetch_error.isNotNull(), fetch_error)
         .when(F.col("status_code").isNull(), NOT_CAPTURED)
     )
@@ -47,7 +47,8 @@ def page_results(plan: DataFrame, captures: DataFrame, rows: int | None = None)
     ``plan`` has ``crawl_id, position, url``, and may have ``final_url`` and
     ``redirect_error`` from ``resolve_redirects``; the capture is then that of the
     final URL. A URL without a capture becomes a failed result. ``rows`` is the
-    size of the plan where that is known.
+    size of the plan where that is known. Give a stored plan: it is read for its hot
+    URLs as well.
 
     The first capture of each URL is found on two narrow columns. Bodies then
     move once, joined on the capture's id, so copies of a URL do not pile up.

@@ -32,14 +32,14 @@ def _without_nulls(*columns: str) -> Column:
 
 def page_json(pages: DataFrame) -> DataFrame:
     """``id, json``: nulls are written, except for html and error."""
-    return pages.select(
-        "id", _spliced(_with_nulls(*_PAGE_KEPT), _without_nulls(*_PAGE_OPTIONAL), _with_nulls("created_at")).alias("json")
-    )
+    text = _spliced(_with_nulls(*_PAGE_KEPT), _without_nulls(*_PAGE_OPTIONAL), _with_nulls("created_at"))
+    return pages.select("id", text.alias("json"))
 
 
 def crawl_json(crawls: DataFrame) -> DataFrame:
     """``id, json``: the end time is left out while there is none."""
-    return crawls.select("id", _spliced(_with_nulls(*_CRAWL_KEPT), _without_nulls(*_CRAWL_OPTIONAL)).alias("json"))
+    text = _spliced(_with_nulls(*_CRAWL_KEPT), _without_nulls(*_CRAWL_OPTIONAL))
+    return crawls.select("id", text.alias("json"))
 
 
 def write_json(rows: DataFrame, path: str) -> None:

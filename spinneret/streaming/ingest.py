@@ -8,7 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 from spinneret.sources.store import insert_new
 
 
-def ingest_pages(results: DataFrame, path: str, checkpoint: str, order: str = "id", trigger: dict | None = None) -> StreamingQuery:
+def ingest_pages(
+    results: DataFrame, path: str, checkpoint: str, order: str = "id", trigger: dict | None = None
+) -> StreamingQuery:
     """Add streamed page rows to the table at ``path``; the first of a key wins.
 
     No state is kept: each micro-batch is compared with the keys stored so far,

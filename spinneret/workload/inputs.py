@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from spinneret.operators.results import page_rows
 from spinneret.operators.rollup import counters
-from spinneret.schemas import CRAWL_COLUMNS
+from spinneret.schemas import CRAWL_COLUMNS, CRAWL_STATUSES
 from spinneret.session import prepare
 
 SITES = 16
@@ -164,7 +164,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(crawl % 4 == 1, F.concat(F.lit("User-agent: *\nDisallow: /tmp\nSitemap: "), home, F.lit("/index.xml\n")))
         .when(
             crawl % 4 == 2,
-            F.concat(F.lit("sItEmAp: "), home, F.lit("/index.xml\r\n  SITEMAP :"), home, F.lit("/missing.xml # old\r\n")),
+            F.concat(
+                F.lit("sItEmAp: "), home, F.lit("/index.xml\r\n  SITEMAP :"), home, F.lit("/missing.xml # old\r\n")
+            ),
         )
         .otherwise("User-agent: *\nDisallow:\n")
     )
@@ -230,9 +232,7 @@ def crawls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select(
         crawl.alias("id"),
         website(crawl).alias("website"),
-        F.element_at(F.array(*map(F.lit, ("pending", "running", "completed", "failed"))), (crawl % 4 + 1).cast("int")).alias(
-            "status"
-        ),
+        F.array(*map(F.lit, CRAWL_STATUSES))[(crawl % 4).cast("int")].alias("status"),
         *[F.when(ended, F.col(c)).otherwise(0).alias(c) for c in ("total_pages", "success_pages", "failed_pages")],
         started.alias("started_at"),
         F.when(ended, F.timestamp_seconds(F.unix_timestamp(started) + 1800)).alias("finished_at"),

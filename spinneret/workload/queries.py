@@ -62,7 +62,8 @@ def page_success(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def failed_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw seeds as crawls, unchecked: those that cannot be parsed have failed."""
-    asked = inputs.seeds(spark, sf_dir).select((F.col("seed_id") + 1).alias("id"), F.col("website_raw").alias("website"))
+    seeds = inputs.seeds(spark, sf_dir)
+    asked = seeds.select((F.col("seed_id") + 1).alias("id"), F.col("website_raw").alias("website"))
     found = inputs.captures(spark, sf_dir).withColumn("crawl_id", F.col("capture_id") + 1)
     return totals_of(asked, found)
 
@@ -221,11 +222,12 @@ def page_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page twice; the first of the two has the lower order."""
+    status = F.when(F.col("copy") == 1, 503).otherwise(F.col("status_code"))
     return (
         inputs.results(spark, sf_dir)
         .withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
         .withColumn("seq", F.col("crawl_id") * 10_000 + F.col("position") * 2 + F.col("copy"))
-        .select("crawl_id", "url", "seq", F.when(F.col("copy") == 1, 503).otherwise(F.col("status_code")).alias("status_code"))
+        .select("crawl_id", "url", "seq", status.alias("status_code"))
     )
 
 
@@ -315,7 +317,8 @@ def constraint_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     nameless = pages.where(place == 1).withColumn("id", -F.col("id")).withColumn("url", F.lit(None).cast("string"))
     crawls = inputs.crawls(spark, sf_dir)
-    paused = crawls.where(F.col("id") % inputs.SITES == 0).withColumn("id", -F.col("id")).withColumn("status", F.lit("paused"))
+    last = crawls.where(F.col("id") % inputs.SITES == 0)
+    paused = last.withColumn("id", -F.col("id")).withColumn("status", F.lit("paused"))
     return audits.audit(
         crawls.unionByName(paused), pages.unionByName(again).unionByName(lost).unionByName(nameless)
     )
