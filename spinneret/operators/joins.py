@@ -17,6 +17,8 @@ MAX_BROADCAST_ROWS = 500_000
 
 # Rows of one key that a single task may take.
 ROWS_PER_SALT = 200_000
+# Keys that may be split; a few MB to broadcast.
+MAX_HOT_KEYS = 50_000
 # Rows without a key match nothing; they only need to be spread.
 _NULL_SALTS = 1024
 
@@ -24,13 +26,16 @@ _NULL_SALTS = 1024
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
     """``key, _parts``: keys with more than ROWS_PER_SALT rows, and their split.
 
-    At most ``rows(df) / ROWS_PER_SALT`` rows, which makes broadcasting it safe.
+    The hottest MAX_HOT_KEYS of them, so that the table can be broadcast whatever
+    the data. Any further ones are joined unsplit, as all other keys are.
     """
     return (
         df.where(F.col(key).isNotNull())
         .groupBy(key)
         .count()
         .where(F.col("count") > ROWS_PER_SALT)
+        .orderBy(F.desc("count"), key)
+        .limit(MAX_HOT_KEYS)
         .select(key, F.ceil(F.col("count") / ROWS_PER_SALT).cast("int").alias("_parts"))
     )
 

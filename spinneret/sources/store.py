@@ -59,6 +59,11 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return files.exists(folder)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    files, folder = _path_of(spark, path)
+    return files.exists(folder) and files.getFileStatus(folder).isDirectory()
+
+
 def append_batch(batch: DataFrame, path: str) -> None:
     """Append a whole batch, or nothing: a repeated key fails it."""
     spark = batch.sparkSession

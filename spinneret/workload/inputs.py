@@ -16,6 +16,7 @@ from spinneret.operators.results import page_rows
 from spinneret.operators.rollup import counters
 from spinneret.schemas import CRAWL_COLUMNS, CRAWL_STATUSES
 from spinneret.session import prepare
+from spinneret.sources.store import is_folder
 
 SITES = 16
 CHILD_SITEMAPS = 3
@@ -259,6 +260,9 @@ def event_results(events: DataFrame) -> DataFrame:
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same results, as a stream over the table's files."""
-    schema = table(spark, sf_dir, "events").schema
-    files = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return event_results(files)
+    path = os.path.join(sf_dir, "events.parquet")
+    files = spark.readStream.schema(table(spark, sf_dir, "events").schema)
+    if is_folder(spark, path):
+        return event_results(files.parquet(path))
+    # a stream reads folders: take the one file out of its folder
+    return event_results(files.option("pathGlobFilter", "events.parquet").parquet(sf_dir))

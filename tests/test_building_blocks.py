@@ -94,6 +94,15 @@ def test_lookup_with_hot_keys(spark, tiny_salts):
     assert sorted(inner) == sorted(r for r in want if r[1])
 
 
+def test_lookup_splits_only_the_hottest(spark, tiny_salts, monkeypatch):
+    monkeypatch.setattr(joins, "MAX_HOT_KEYS", 1)
+    left = spark.createDataFrame([(i, f"k{i % 4 if i % 4 < 3 else 0}") for i in range(40)], "i int, k string")
+    right = spark.createDataFrame([(f"k{i}", i) for i in range(4)], "k string, v int")
+    assert joins.hot_keys(left, "k").collect() == [("k0", 10)]
+    got = sorted(tuple(r) for r in lookup(left, right, "k", ["i"]).select("i", "v").collect())
+    assert got == [(i, i % 4 if i % 4 < 3 else 0) for i in range(40)]
+
+
 def test_lookup_without_hot_keys(spark):
     left, right, want = lookup_case(spark)
     for rows in (None, 90):

@@ -62,6 +62,22 @@ def test_refused_websites(spark):
     assert [tuple(r) for r in got] == [(None, why) for _, why in REFUSED]
 
 
+URL_BITS = "http|https|HTTP|ftp|://|:|/|//|a.test|B|1|_|-|@|u:p@|:80|:x|?|?q=1|#|#f| |%41|%zz|%E4|é|[::1]|[|\t|\x01|*|&".split("|")
+
+
+def test_websites_stay_as_they_are_once_normalised(spark):
+    rnd = random.Random(5)
+    raw = list({"".join(rnd.choice(URL_BITS) for _ in range(rnd.randrange(1, 7))) for _ in range(20_000)})
+    checked = values(spark, raw, "w string", urls.checked_website(F.col("w")))
+    assert all((r["website"] is None) != (r["reject_reason"] is None) for r in checked)
+    accepted = [r["website"] for r in checked if r["website"] is not None]
+    assert len(accepted) > 1_000
+    again = values(spark, accepted, "w string", urls.checked_website(F.col("w")))
+    for before, after in zip(accepted, again):
+        assert tuple(after) == (before, None)
+        assert before.startswith(("http://", "https://")) and before.isascii()
+
+
 def test_address_on_host(spark):
     cases = ["http://u:p@h.test:8/x?q#f", "HTTPS://Host.test"]
     got = values(spark, cases, "w string", urls.on_host(F.col("w"), "/robots.txt"))

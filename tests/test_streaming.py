@@ -5,12 +5,15 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from conftest import TESTDATA
 
 from spinneret.operators.rollup import rollup
 from spinneret.schemas import PAGES
 from spinneret.sources.tables import read_pages
 from spinneret.streaming.counters import count_pages_live, latest_counters
 from spinneret.streaming.ingest import ingest_pages
+from spinneret.workload import inputs
+from spinneret.workload.queries import QUERIES
 
 
 @pytest.fixture
@@ -56,6 +59,19 @@ def test_ingest_keeps_the_first(spark, tmp_path, arrivals):
         assert {(r["crawl_id"], r["url"]): r["id"] for r in stored} == want
 
 
+def test_tables_of_many_files_are_streamed_whole(spark, tmp_path):
+    """The registered stream over a folder of files, as a larger table has."""
+    if not os.path.isdir(TESTDATA):
+        pytest.skip("no test tables")
+    events = spark.read.parquet(f"{TESTDATA}/sf0.001/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    got = {tuple(r) for r in QUERIES["stream_counters"](spark, str(tmp_path)).collect()}
+    assert got == {tuple(r) for r in rollup(inputs.event_results(events)).collect()}
+    stored = QUERIES["stream_ingest"](spark, str(tmp_path))
+    keys = events.select("user_id", (events.event_id % 5000).alias("url")).distinct()
+    assert stored.count() == keys.count() == stored.select("crawl_id", "url").distinct().count()
+
+
 def test_counters_end_like_the_rollup(spark, tmp_path, arrivals):
     path, _ = arrivals
     counted = str(tmp_path / "counters")
