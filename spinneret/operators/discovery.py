@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from spinneret.functions import messages, sitemaps
 from spinneret.functions.predicates import body_accepted
 from spinneret.functions.urls import on_host
-from spinneret.operators.joins import lookup
+from spinneret.operators.joins import lookup, without
 from spinneret.operators.ordering import first_per_key
 from spinneret.session import pinned_counted, written
 
@@ -31,6 +31,19 @@ class Discovery(NamedTuple):
     stats: DataFrame  # crawl_id, urls_found, sitemaps_found, errors
 
 
+def first_documents(documents: DataFrame) -> DataFrame:
+    """One document per address: the one with the lowest ``capture_id``.
+
+    Tables without that column are taken to hold each address once.
+    """
+    if "capture_id" not in documents.columns:
+        return documents
+    narrow = documents.select("url", "capture_id")
+    first = first_per_key(narrow, ["url"], "capture_id")
+    later = narrow.join(first, ["url", "capture_id"], "left_anti")
+    return without(documents, later, "capture_id").drop("capture_id")
+
+
 def sitemap_roots(sites: DataFrame, documents: DataFrame) -> DataFrame:
     """``crawl_id, sitemap_url, path`` for sites ``crawl_id, website``.
 
@@ -184,7 +197,11 @@ def discovery_stats(sites: DataFrame, outcomes: DataFrame, urls: DataFrame) -> D
 
 
 def discover(sites: DataFrame, documents: DataFrame, max_depth: int = MAX_DEPTH) -> Discovery:
-    """Expand the sitemaps of all ``sites (crawl_id, website)`` at once."""
+    """Expand the sitemaps of all ``sites (crawl_id, website)`` at once.
+
+    ``documents`` may hold an address more than once if it has ``capture_id``.
+    """
+    documents = first_documents(documents)
     # by kind, so that following an index does not read the URL lists
     parsed = written(parse_sitemaps(documents), "sitemaps", partition_by="kind")
     visited = visits(sitemap_roots(sites, documents), parsed, max_depth)

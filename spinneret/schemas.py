@@ -56,7 +56,8 @@ CAPTURES = T.StructType(
     ]
 )
 
-# Captured robots.txt and sitemap bodies, one row per address.
+# Captured robots.txt and sitemap bodies, one row per address (or several, told
+# apart by a capture_id of their own).
 DOCUMENTS = T.StructType(
     [
         T.StructField("url", T.StringType(), False),

@@ -9,6 +9,8 @@ from spinneret import schemas
 
 _STORED_PAGES = T.StructType([*schemas.PAGES.fields, T.StructField("crawl_bucket", T.IntegerType())])
 
+_REPEATED_DOCUMENTS = T.StructType([T.StructField("capture_id", T.LongType()), *schemas.DOCUMENTS.fields])
+
 
 def read_crawls(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.CRAWLS).parquet(path)
@@ -33,9 +35,12 @@ def read_captures(spark: SparkSession, path: str, fmt: str = "parquet", **option
     return _read(spark, path, schemas.CAPTURES, fmt, options)
 
 
-def read_documents(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
-    """Captured robots.txt and sitemap bodies."""
-    return _read(spark, path, schemas.DOCUMENTS, fmt, options)
+def read_documents(
+    spark: SparkSession, path: str, fmt: str = "parquet", repeated: bool = False, **options
+) -> DataFrame:
+    """Captured robots.txt and sitemap bodies; ``repeated`` tables have a ``capture_id``."""
+    schema = _REPEATED_DOCUMENTS if repeated else schemas.DOCUMENTS
+    return _read(spark, path, schema, fmt, options)
 
 
 def read_hops(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:

@@ -107,6 +107,14 @@ def test_walk_with_hot_sitemaps(web, tiny_salts):
     check(discover(*web), walked())
 
 
+def test_walk_over_repeated_captures(spark, web):
+    """Of several captures of an address the first counts."""
+    sites, documents = web
+    first = documents.withColumn("capture_id", F.monotonically_increasing_id())
+    later = first.withColumn("capture_id", F.col("capture_id") + 2**50).withColumn("body", F.lit("<urlset/>"))
+    check(discover(sites, later.unionByName(first)), walked())
+
+
 def test_shallow_walk(web):
     check(discover(*web, max_depth=1), walked(max_depth=1))
 
