@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spinneret.llm import html_text, licences, mixing, pii, quality_crf, quality_rules, token_files
+from spinneret.llm import decontaminate, html_text, licences, mixing, near_dup, pii, quality_crf, quality_rules, token_files
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -14,6 +14,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that leak into any document."""
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, likelihood ratio and verdict of every document."""
     trusted = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
@@ -45,6 +50,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digested(pii.find_pii(_table(spark, sf_dir, "documents")))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every document."""
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     docs = _table(spark, sf_dir, "documents")
@@ -54,12 +64,14 @@ def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_decontaminate,
         op2_quality_rules,
         op3_html_text,
         op4_mix_sources,
         op5_token_files,
         op6_licence_scan,
         op7_pii,
+        op8_minhash,
         op10_quality_crf,
     )
 }
