@@ -4,8 +4,20 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from spinneret.llm import decontaminate, html_text, licences, mixing, near_dup, pii, quality_crf, quality_rules, token_files
+from pyspark.sql import functions as F
+
+from spinneret.llm import (
+    decontaminate,
+    html_text,
+    licences,
+    line_dedup,
+    mixing,
+    near_dup,
+    pii,
+    quality_crf,
+    quality_rules,
+    token_files,
+)
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -55,6 +67,15 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What line dedup removes from every document, and a digest of what it leaves."""
+    found = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_lines", "n_removed", "removed", F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+    )
+
+
 def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     docs = _table(spark, sf_dir, "documents")
@@ -72,6 +93,7 @@ QUERIES = {
         op6_licence_scan,
         op7_pii,
         op8_minhash,
+        op9_line_dedup,
         op10_quality_crf,
     )
 }
