@@ -9,11 +9,11 @@ sets' Jaccard similarity, and the share of agreeing coordinates is as concentrat
 with independent hash functions.
 
 Sketches are cut into bands; documents that agree in a band are candidates. Equal sets
-are one node from the start. In each bucket all nodes are first verified against one of
-them. Nodes that this connects need no more comparison among each other; in a second step
-every node outside the largest connected part of its bucket is verified against all nodes
-of the bucket that it is not yet connected to. Thus no link between candidates is lost,
-and a group of any number of near copies costs one comparison a copy and band.
+are one node from the start. In each bucket all nodes are verified against a few of them,
+first one and then eight others, unless links already connect the two. What remains are
+nodes outside the largest connected part of some bucket of theirs. Per such part, these
+nodes are verified against the part and each other, in cells of a bounded number of sets,
+so that no candidate link between parts is lost, and none is emitted that is not a link.
 """
 
 from __future__ import annotations
@@ -32,6 +32,10 @@ from spinneret.session import written, written_counted
 # At a similarity of 0.8 a pair shares none of 32 bands of 5 with probability 3e-6.
 BANDS, BAND_ROWS = 32, 5
 SHINGLE = 2
+# Nodes of a bucket that all others are compared with, in each round.
+ROUNDS = (1, 8)
+# Sets on either side of a cell.
+CELL = 256
 PERCENT = 80
 
 _EMPTY = np.iinfo(np.uint64).max
@@ -125,29 +129,29 @@ def sketched(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     )
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose full sets are similar enough.
-
-    The texts of the nodes in question alone are read again, by one of their documents.
-    """
+def _full_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """``node, set``: the full set of each of ``nodes`` (node, rep), from their texts."""
     bounded_batches(docs.sparkSession)
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    where = asked.join(nodes, "node").select(F.col("node").alias("_node"), F.col("rep").alias("_rep"))
+    where = nodes.select(F.col("node").alias("_node"), F.col("rep").alias("_rep"))
     named = docs.select("doc_id", text_of("text").alias("text"))
     read = named.join(where, named["doc_id"].eqNullSafe(where["_rep"])).select("text", "_node")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = _Sets(k)
         for batch in slices(batches, 256):
-            found = [(node, s) for s, node in zip(map(maker.of, texts(batch)), batch.column("_node").to_pylist(), strict=True)]
+            names = batch.column("_node").to_pylist()
+            found = [(node, s) for s, node in zip(map(maker.of, texts(batch)), names, strict=True)]
             # Rows that share an id may hold other texts.
             found = [(node, s.tobytes()) for node, s in found if _digest(s) == node]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], ["node", "set"]
             )
 
-    sets = read.mapInArrow(full, "node binary, set binary").groupBy("node").agg(F.max("set").alias("set"))
-    sets = written(sets, "near-sets")
+    return read.mapInArrow(full, "node binary, set binary").groupBy("node").agg(F.max("set").alias("set"))
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose full sets are similar enough."""
     # The member first: it stands in few pairs, while a bucket's first node may be in many.
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b").join(
         sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a"
@@ -165,6 +169,53 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, perce
     return both.select("a", "b", "set_a", "set_b").mapInArrow(similar, "a binary, b binary")
 
 
+def _links_between(families: DataFrame, sets: DataFrame, percent: int, cell: int = CELL) -> DataFrame:
+    """``a, b``: links from the nodes that are ``out`` of a family to all its nodes.
+
+    A family is dealt into cells of at most about ``cell`` sets on either side, so none
+    is ever in one task; a node is repeated once for each block of the other side.
+    """
+    size = families.groupBy("family").agg(
+        F.ceil(F.count(F.when(F.col("out"), 1)) / cell).cast("int").alias("rows"),
+        F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("columns"),
+    )
+    size = written(size, "near-cells")
+    placed = families.join(size, "family").join(sets, "node")
+    block = F.xxhash64("node")
+
+    def dealt(side: int, own: str, other: str) -> DataFrame:
+        of = placed.where("out") if side == 0 else placed
+        mine, others = F.pmod(block, F.col(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        both = (mine.alias("i"), others.alias("j")) if side == 0 else (others.alias("i"), mine.alias("j"))
+        return of.select("family", *both, F.lit(side).alias("side"), "node", "label", "set")
+
+    def compare(table: pa.Table) -> pa.Table:
+        side = np.array(table.column("side").to_pylist())
+        nodes, label = table.column("node").to_pylist(), table.column("label").to_pylist()
+        found = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        out, all_ = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        a, b = [], []
+        if len(out) and len(all_):
+            values = np.concatenate([found[z] for z in all_])
+            owner = np.repeat(np.arange(len(all_)), [len(found[z]) for z in all_])
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], owner[order]
+            sizes = np.array([len(found[z]) for z in all_])
+            for x in out:
+                low, high = np.searchsorted(values, found[x]), np.searchsorted(values, found[x], "right")
+                length = high - low
+                at = np.repeat(low - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(length.sum())
+                common = np.bincount(owner[at], minlength=len(all_))
+                for z in all_[100 * common >= percent * (len(found[x]) + sizes - common)]:
+                    if label[x] != label[z]:
+                        a.append(min(nodes[x], nodes[z]))
+                        b.append(max(nodes[x], nodes[z]))
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    cells = dealt(0, "rows", "columns").unionAll(dealt(1, "columns", "rows"))
+    return cells.groupBy("family", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, label``: the smallest node that each node of ``edges`` (a, b) reaches.
 
@@ -213,53 +264,62 @@ def near_duplicates(
         full.select("node", "n", F.explode("keys").alias("key")).groupBy("key", "node").agg(F.min("n").alias("n")),
         "near-members",
     )
-    first = written(
-        members.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"),
-        "near-buckets",
-    )
-    shared = written(members.join(first, "key"), "near-shared").join(
-        nodes.select(F.col("node").alias("first"), F.col("n").alias("n_first")), "first"
-    )
-
-    def alike(n: str, m: str):
-        """Sets of these sizes can be similar enough."""
-        return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    several = members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    shared = written(members.join(written(several, "near-buckets"), "key"), "near-shared")
+    asked = shared.select("node").distinct().join(nodes, "node")
+    sets = written(_full_sets(docs, asked, k), "near-sets")
+    edges = labels = None
+
+    def labelled() -> DataFrame:
+        """Nodes of shared buckets with the label of the part they are in so far."""
+        if labels is None:
+            return shared.withColumn("label", F.col("node"))
+        return shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    def linked(now: DataFrame, others: DataFrame) -> None:
+        """Verify nodes against others of their bucket, and label anew with what is found."""
+        nonlocal edges, labels
+        alike = 100 * F.least("n", "n_other") >= percent * F.greatest("n", "n_other")
+        pairs, some = written_counted(
+            now.join(others, "key")
+            .where((F.col("label") != F.col("label_other")) & alike)
+            .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+            .distinct(),
+            "near-pairs",
+        )
+        if some:
+            found = written(_verified(sets, pairs, percent), "near-links")
+            edges = found if edges is None else edges.union(found)
+            labels = components(edges)
 
-    stars, some = written_counted(
-        shared.where((F.col("node") != F.col("first")) & alike("n", "n_first"))
-        .select(F.col("first").alias("a"), F.col("node").alias("b"))
-        .distinct(),
-        "near-stars",
-    )
-    edges = written(_verified(docs, nodes, stars, k, percent), "near-links") if some else stars
-    labels = components(edges) if some else None
-    named = members.join(first, "key")
-    if labels is not None:
-        named = named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    else:
-        named = named.withColumn("label", F.col("node"))
-    named = written(named, "near-named")
-    parts = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    as_other = (
+        "key", F.col("node").alias("other"), F.col("label").alias("label_other"), F.col("n").alias("n_other")
+    )
+    for turn, count in enumerate(ROUNDS):
+        now = labelled()
+        order = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn)), "node")
+        few = shared.withColumn("_turn", F.row_number().over(order)).where(F.col("_turn") <= count).drop("_turn")
+        if labels is None:
+            few = few.withColumn("label", F.col("node"))
+        else:
+            few = few.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        linked(now, few.select(*as_other))
+    now = labelled()
+    parts = now.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
     split = written(
         parts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("most"), F.count(F.lit(1)).alias("parts"))
-        .where("parts > 1").select("key", F.col("most.label").alias("largest")),
+        .where("parts > 1").select("key", F.col("most.label").alias("family")),
         "near-split",
     )
-    apart = written(named.join(split, "key"), "near-apart")
-    outside = apart.where("label <> largest").select(
-        "key", F.col("node").alias("x"), F.col("label").alias("of_x"), F.col("n").alias("n_x")
-    )
-    rest, more = written_counted(
-        outside.join(apart, "key")
-        .where(F.col("of_x") != F.col("label"))
-        .where(alike("n_x", "n") & (F.col("x") != F.col("first")) & (F.col("node") != F.col("first")))
-        .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
-        .distinct(),
-        "near-rest",
+    families, some = written_counted(
+        now.join(split, "key").select("family", "node", "label", "n", (F.col("label") != F.col("family")).alias("out")).distinct(),
+        "near-families",
     )
-    if more:
-        found = written(_verified(docs, nodes, rest, k, percent), "near-links")
-        labels = components(edges.union(found))
+    if some:
+        found, some = written_counted(_links_between(families, sets, percent), "near-links")
+        if some:
+            edges = found if edges is None else edges.union(found)
+            labels = components(edges)
     if labels is None:
         owner = nodes.select("node", F.col("rep").alias("component_id"))
     else:
