@@ -30,7 +30,7 @@ _PLAIN_HEAD = (
     r"<!doctype[^<>]*>"
     r"|<!--(?!-?>)(?:[^-]|-(?!-))*+-->"
     rf"|</?(?:html|head|meta|link|base){_ATTRIBUTES}>"
-    rf"|<script{_ATTRIBUTES}>[^<]*+</script\s*>"
+    rf"|<script{_ATTRIBUTES}>(?:[^<]++|<(?!/script[\s/>]|!--))*+</script\s*>"
     rf"|<style{_ATTRIBUTES}>[^<]*+</style\s*>"
     r")[^<]*+)*+"
 )
@@ -40,7 +40,8 @@ _ANY_TITLE = r"(?i)<title[\s/>]"
 
 # Elements whose content is text, in which no tag is recognised.
 _RAW_TEXT = frozenset("script style textarea noscript iframe noembed noframes xmp".split())
-_TAG = re.compile(r"""</?([A-Za-z][^\s/>]*)(?:[^>"']|"[^"]*"|'[^']*')*>""")
+_TAG = re.compile(r"""</?([A-Za-z][^\s/>]*)(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+_TAG_START = re.compile(r"</?[A-Za-z]")
 _COMMENT = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))", re.S)
 _OTHER_MARKUP = re.compile(r"<[!?/][^>]*>?")
 
@@ -58,6 +59,8 @@ def first_title(body: str) -> str:
         if comment:
             after = comment.end()
         elif tag is None:
+            if _TAG_START.match(body, at):
+                return ""  # The text ends inside this tag.
             other = _OTHER_MARKUP.match(body, at)
             after = other.end() if other else at + 1
         else:

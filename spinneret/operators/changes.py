@@ -32,8 +32,12 @@ def finalise(crawls: DataFrame, totals: DataFrame, now: Column | None = None) ->
 
 
 def set_status(crawls: DataFrame, requests: DataFrame) -> DataFrame:
-    """Crawls with the statuses of ``requests (id, status)``, one request per id."""
-    wanted = requests.select("id", F.col("status").alias("_status"))
+    """Crawls with the statuses of ``requests (id, status)``.
+
+    Of several requests for one id that with the largest status in code point order
+    holds, so a crawl is never repeated.
+    """
+    wanted = requests.groupBy("id").agg(F.max("status").alias("_status"))
     updated = crawls.join(wanted, "id", "left").withColumn("status", F.coalesce("_status", "status"))
     return updated.select(*CRAWL_COLUMNS)
 
@@ -56,11 +60,21 @@ def delete_pages_of(pages: DataFrame, ids: DataFrame) -> DataFrame:
 def insert_ignore(batch: DataFrame, existing: DataFrame, order: str) -> DataFrame:
     """Rows of ``batch`` to add to a table unique by (crawl_id, url).
 
-    Rows whose key ``existing`` has are dropped; of several with one key the
-    first by ``order``, a number unique within the batch, stays. The rows to drop
-    are worked out on narrow columns, so wide rows only move if there are many.
+    Rows whose key ``existing`` has are dropped; of several with one key the first by
+    ``order`` stays, whether or not other rows share its value. Rows that tie there are
+    told apart by a hash of the whole row; of rows that are equal in all columns one
+    stays. The rows to drop are worked out on narrow columns, so wide rows only move if
+    there are many to drop, or to tell equal ones apart.
     """
     keys = ["crawl_id", "url"]
-    narrow = batch.select(*keys, order)
-    new = first_per_key(narrow, keys, order).join(existing.select(*keys), keys, "left_anti")
-    return without(batch, narrow.join(new, [*keys, order], "left_anti"), order)
+    columns = batch.columns
+    marked = batch.withColumn("_row", F.xxhash64(*columns))
+    narrow = marked.groupBy(*keys, order, "_row").agg(F.count(F.lit(1)).alias("_copies"))
+    best = narrow.groupBy(*keys).agg(F.min(F.struct(order, "_row", "_copies")).alias("_best"))
+    new = best.select(*keys, "_best.*").join(existing.select(*keys), keys, "left_anti").select(*keys, "_row", "_copies")
+    kept = without(marked, narrow.join(new, [*keys, "_row"], "left_anti").select(*keys, "_row"), *keys, "_row")
+    twins = new.where("_copies > 1").select(*keys)
+    single = without(kept, twins, *keys)
+    if single is kept:
+        return kept.select(*columns)
+    return single.unionByName(kept.join(twins, keys, "left_semi").dropDuplicates(keys)).select(*columns)

@@ -83,13 +83,13 @@ def lookup(
     return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")
 
 
-def without(df: DataFrame, unwanted: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` whose ``key``, a number, is not in ``unwanted``.
+def without(df: DataFrame, unwanted: DataFrame, *key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` columns are not in ``unwanted``.
 
     The unwanted keys are counted first. The usual few are broadcast, so that wide
     rows are not shuffled to find out that they stay; many are joined by shuffle.
     """
-    unwanted, size = pinned_counted(unwanted.select(key))
+    unwanted, size = pinned_counted(unwanted.select(*key))
     if not size:
         return df
-    return df.join(F.broadcast(unwanted) if size <= MAX_BROADCAST_ROWS else unwanted, key, "left_anti")
+    return df.join(F.broadcast(unwanted) if size <= MAX_BROADCAST_ROWS else unwanted, list(key), "left_anti")

@@ -77,7 +77,8 @@ def list_pages_all(pages: DataFrame, limit: int = DEFAULT_LIMIT, offset: int = 0
     limit, offset = check_paging(limit, offset)
     # narrow rows, and few of them after the cut that comes before the shuffle
     placed = first_n(pages.select(*PAGE_COLUMNS_NO_HTML), "crawl_id", "id", limit + offset)
-    return placed.where(F.col("position") > offset)
+    # paging is bounded, so a place always fits
+    return placed.where(F.col("position") > offset).withColumn("position", F.col("position").cast("int"))
 
 
 def listing_totals(requests: DataFrame, crawls: DataFrame, pages: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def first_n(df: DataFrame, group: str, order: str, n: int, name: str = "position
         salted.withColumn(name, F.row_number().over(per_salt))
         .where(F.col(name) <= n)
         .drop("_salt", name)
-        .withColumn(name, F.row_number().over(per_group))
+        .withColumn(name, F.row_number().over(per_group).cast("long"))
         .where(F.col(name) <= n)
     )
 
@@ -66,8 +66,7 @@ def numbered(df: DataFrame, order: Sequence[str], group: Sequence[str] = (), nam
     starts = runs.select(
         *group, "_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_start")
     )
-    return (
-        marked.join(starts, [*group, "_part"])
-        .withColumn(name, F.col("_row") + F.col("_start"))
-        .drop("_row", "_part", "_start")
-    )
+    # Null-safe: rows without a group are numbered as a group of their own.
+    starts = starts.select("_start", *[F.col(c).alias(f"_of_{i}") for i, c in enumerate([*group, "_part"])])
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{i}")) for i, c in enumerate([*group, "_part"])]
+    return marked.join(starts, same).select(*df.columns, (F.col("_row") + F.col("_start")).alias(name))

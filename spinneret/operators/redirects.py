@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spinneret.functions.messages import too_many_redirects
@@ -18,16 +18,57 @@ def request_limit(max_redirects: int) -> int:
     return max_redirects if 0 < max_redirects <= HARD_MAX_REDIRECTS else HARD_MAX_REDIRECTS
 
 
+def resolved(url: Column, location: Column) -> Column:
+    """Where ``location`` leads from ``url``, both as text; absolute ones stay as they are.
+
+    A ``url`` without a scheme and authority cannot be a base: its location stays too.
+    """
+    base = r"^([A-Za-z][A-Za-z0-9+.-]*:)(//[^/?#]*)([^?#]*)"
+    scheme, host, path = (F.regexp_extract(url, base, i) for i in (1, 2, 3))
+    query = F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1)
+    own = F.regexp_extract(location, r"^([^?#]*)", 1)
+    rest = F.regexp_extract(location, r"^[^?#]*(.*)$", 1)
+    joined = F.when(own.startswith("/"), own).otherwise(
+        F.concat(F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, r"[^/]*$", "")), own)
+    )
+    # Dot segments go, each ".." with the segment before it.
+    parts = F.split(F.substring(joined, 2, 1 << 30), "/")
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda out, x: F.when(x == ".", out)
+        .when(x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))))
+        .otherwise(F.array_append(out, x)),
+    )
+    ends_in_folder = joined.rlike(r"/\.\.?$") & (F.size(kept) > 0)
+    clean = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(ends_in_folder, F.lit("/")).otherwise(F.lit("")))
+    place = (
+        F.when(own != "", F.concat(clean, rest))
+        .when(rest.startswith("?"), F.concat(path, rest))
+        .otherwise(F.concat(path, query, rest))
+    )
+    return (
+        F.when(~url.rlike(base) | location.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), location)
+        .when(location.startswith("//"), F.concat(scheme, location))
+        .otherwise(F.concat(scheme, host, place))
+    )
+
+
 def redirect_chains(hops: DataFrame, limit: int) -> DataFrame:
     """``url, target, steps`` for each redirecting URL of ``hops``.
 
     Each round joins the table with itself and doubles how far a row can see, so
-    few rounds do. ``steps`` is exact below ``limit``; at ``limit`` or more the
+    few rounds do. A URL captured more than once counts once, with its first location
+    by ``capture_id`` where there is one, else the smallest. Locations are resolved
+    against their URL. ``steps`` is exact below ``limit``; at ``limit`` or more the
     chain is too long (or a loop).
     """
-    chains = hops.where(F.col("location").isNotNull()).select(
-        "url", F.col("location").alias("target"), F.lit(1).alias("steps")
-    )
+    if "capture_id" in hops.columns:
+        first = F.min_by("location", F.when(F.col("location").isNotNull(), F.col("capture_id")))
+    else:
+        first = F.min("location")
+    known = hops.groupBy("url").agg(first.alias("location")).where("location IS NOT NULL")
+    chains = known.select("url", resolved(F.col("url"), F.col("location")).alias("target"), F.lit(1).alias("steps"))
     reach = 1
     while reach < limit:
         chains, size = pinned_counted(chains)
@@ -48,7 +89,7 @@ def redirect_chains(hops: DataFrame, limit: int) -> DataFrame:
 def resolve_redirects(urls: DataFrame, hops: DataFrame, max_redirects: int = MAX_REDIRECTS) -> DataFrame:
     """Add ``final_url, requests, redirect_error`` to rows with a ``url``.
 
-    ``hops`` has one row per URL; a null or absent location is an end. A URL that
+    ``hops`` may repeat a URL; a null or absent location is an end. A URL that
     needs more than ``max_redirects`` requests has an error and no final URL.
     """
     limit = request_limit(max_redirects)

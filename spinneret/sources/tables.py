@@ -36,9 +36,12 @@ def read_captures(spark: SparkSession, path: str, fmt: str = "parquet", **option
 
 
 def read_documents(
-    spark: SparkSession, path: str, fmt: str = "parquet", repeated: bool = False, **options
+    spark: SparkSession, path: str, fmt: str = "parquet", repeated: bool = True, **options
 ) -> DataFrame:
-    """Captured robots.txt and sitemap bodies; ``repeated`` tables have a ``capture_id``."""
+    """Captured robots.txt and sitemap bodies, with the ``capture_id`` that orders repeats.
+
+    ``repeated=False`` is for tables that hold each body once and have no such column.
+    """
     schema = _REPEATED_DOCUMENTS if repeated else schemas.DOCUMENTS
     return _read(spark, path, schema, fmt, options)
 

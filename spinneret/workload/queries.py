@@ -157,7 +157,6 @@ def crawl_run(spark: SparkSession, sf_dir: str) -> DataFrame:
         _documents(spark, sf_dir),
         inputs.captures(spark, sf_dir),
         hops,
-        max_pages=URL_CAP,
         now=inputs.now(),
     )
     return run.crawls

@@ -221,8 +221,8 @@ def test_json_files(spark, tmp_path, pages):
 def test_reader_of_repeated_documents(spark, tmp_path):
     path = str(tmp_path / "documents")
     spark.createDataFrame([(7, "u", 200, "b")], "capture_id long, url string, status_code int, body string").write.json(path)
-    assert tables.read_documents(spark, path, "json").columns == ["url", "status_code", "body"]
-    assert tuple(tables.read_documents(spark, path, "json", repeated=True).first()) == (7, "u", 200, "b")
+    assert tables.read_documents(spark, path, "json", repeated=False).columns == ["url", "status_code", "body"]
+    assert tuple(tables.read_documents(spark, path, "json").first()) == (7, "u", 200, "b")
 
 
 @pytest.mark.parametrize("fmt", ["json", "csv", "parquet"])
