@@ -1,0 +1,13 @@
+import pytest
+
+
+@pytest.fixture
+def docs(spark):
+    """Rows with nulls, empty and long texts, repeats, and columns whose names operators use."""
+
+    def make(rows):
+        return spark.createDataFrame(
+            [(i, t, s, 0, "x") for i, t, s in rows], "doc_id long, text string, source string, size int, target string"
+        )
+
+    return make
