@@ -177,7 +177,7 @@ def test_licences(spark, docs):
     altered = "Copyright (c) 2020 Some One\n\n" + mit.upper().replace("SUBLICENSE", "sub-licence").replace(",", " ,")
     rows = ODD + [(10, altered, "a"), (11, "words\nreleased under the MIT  licence\nmore", "a"), (12, mit + " and more", "a")]
     found = {r["doc_id"]: r for r in licences.licence_scan(docs(rows), licences.known_licences(spark)).collect()}
-    assert found[10]["licence"] == "MIT" and found[10]["n_notices"] == 0
+    assert found[10]["licence"] == "MIT" and found[10]["n_notices"] == 1
     assert (found[11]["licence"], found[11]["notices"], found[11]["n_notices"]) == (None, "MIT", 1)
     assert found[12]["licence"] is None and found[1]["licence"] is None
     assert set(found) == {None, 1, 2, 3, 10, 11, 12}
