@@ -39,7 +39,8 @@ def ngram_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
     """
     ids = trusted.select(F.col("doc_id").alias("_id")).where("_id IS NOT NULL").distinct()
     marked = docs.select(F.col("doc_id").alias("_id"), text_of("text").alias("_text")).join(
-        ids.withColumn("_trusted", F.lit(1)), "_id", "left"
+        # A shuffle at every size: labels grow with the documents, so they are never broadcast.
+        ids.withColumn("_trusted", F.lit(1)).hint("merge"), "_id", "left"
     )
     w = F.col("_words")
     following = F.slice(w, 2, F.greatest(F.size(w), F.lit(1)))
