@@ -25,6 +25,18 @@ from spinneret.llm import (
 WORDS = [a + b + c for a in ("ta", "no", "ri", "qu", "em") for b in ("la", "s", "ver") for c in ("n", "do", "th", "is")]
 
 
+@pytest.fixture
+def docs(spark):
+    """Rows with columns beside their own whose names operators use."""
+
+    def make(rows):
+        return spark.createDataFrame(
+            [(i, t, s, 0, "x") for i, t, s in rows], "doc_id long, text string, source string, size int, target string"
+        )
+
+    return make
+
+
 def text(seed, n, line=12):
     pick = random.Random(seed)
     found = [pick.choice(WORDS) for _ in range(n)]
