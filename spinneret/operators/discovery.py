@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from spinneret.functions import messages, sitemaps
 from spinneret.functions.predicates import body_accepted
 from spinneret.functions.urls import on_host
-from spinneret.operators.joins import lookup, without
+from spinneret.operators.joins import lookup, rows_per_task, without
 from spinneret.operators.ordering import first_per_key
 from spinneret.session import pinned_counted, written
 
@@ -113,6 +113,11 @@ def _places() -> Column:
     return F.arrays_zip(F.col("entries.pos"), F.col("entries.loc"))
 
 
+def _longest(documents: DataFrame, entries: str) -> int:
+    """The most entries that any document lists."""
+    return documents.agg(F.max(F.size(entries))).first()[0] or 0
+
+
 class Visits(NamedTuple):
     rows: DataFrame  # crawl_id, sitemap_url, path, depth
     count: int
@@ -127,6 +132,7 @@ def visits(roots: DataFrame, parsed: DataFrame, max_depth: int = MAX_DEPTH) -> V
     children = parsed.where(F.col("kind") == sitemaps.INDEX).select(
         "sitemap_url", _places().alias("children")
     )
+    per_task = rows_per_task(_longest(children, "children"))
     below, levels, total = roots.withColumn("depth", F.lit(0)), [], 0
     for depth in range(max_depth + 1):
         level, size = pinned_counted(below)
@@ -134,7 +140,7 @@ def visits(roots: DataFrame, parsed: DataFrame, max_depth: int = MAX_DEPTH) -> V
             levels.append(level)
         total += size
         below = (
-            lookup(level, children, "sitemap_url", ["crawl_id", "path"], "inner", rows=size)
+            lookup(level, children, "sitemap_url", ["crawl_id", "path"], "inner", rows=size, per_task=per_task)
             .select("crawl_id", "path", F.inline("children"))
             .select(
                 "crawl_id",
@@ -169,8 +175,9 @@ def listed_urls(visited: Visits, parsed: DataFrame) -> DataFrame:
     pages = parsed.where(F.col("kind") == sitemaps.URLSET).select(
         "sitemap_url", _places().alias("listed")
     )
+    split = {"rows": visited.count, "per_task": rows_per_task(_longest(pages, "listed"))}
     every = (
-        lookup(visited.rows, pages, "sitemap_url", ["crawl_id", "path"], "inner", rows=visited.count)
+        lookup(visited.rows, pages, "sitemap_url", ["crawl_id", "path"], "inner", **split)
         .select("crawl_id", "path", F.inline("listed"))
         .select("crawl_id", F.col("loc").alias("url"), F.concat("path", F.array("pos")).alias("path"))
     )

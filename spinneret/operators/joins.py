@@ -15,28 +15,32 @@ from spinneret.session import pinned_counted
 # Numbers that may be broadcast to drop rows by: a few tens of MB.
 MAX_BROADCAST_ROWS = 500_000
 
-# Rows of one key that a single task may take.
+# Rows of one key that a single task may take, and rows that they may become.
 ROWS_PER_SALT = 200_000
-# Keys that may be split; a few MB to broadcast.
-MAX_HOT_KEYS = 50_000
+ROWS_OUT_PER_SALT = 5_000_000
+# Page bodies of one key that a single task may give out.
+BODIES_PER_SALT = 2_000
 # Rows without a key match nothing; they only need to be spread.
 _NULL_SALTS = 1024
 
 
-def hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """``key, _parts``: keys with more than ROWS_PER_SALT rows, and their split.
+def rows_per_task(fan_out: int) -> int:
+    """Left rows of one key for a task, when each may become ``fan_out`` rows."""
+    return max(1, min(ROWS_PER_SALT, ROWS_OUT_PER_SALT // max(fan_out, 1)))
 
-    The hottest MAX_HOT_KEYS of them, so that the table can be broadcast whatever
-    the data. Any further ones are joined unsplit, as all other keys are.
+
+def hot_keys(df: DataFrame, key: str, per_task: int | None = None) -> DataFrame:
+    """``key, _parts``: keys with more than ``per_task`` rows, and their split.
+
+    All of them, however many.
     """
+    per_task = per_task or ROWS_PER_SALT
     return (
         df.where(F.col(key).isNotNull())
         .groupBy(key)
         .count()
-        .where(F.col("count") > ROWS_PER_SALT)
-        .orderBy(F.desc("count"), key)
-        .limit(MAX_HOT_KEYS)
-        .select(key, F.ceil(F.col("count") / ROWS_PER_SALT).cast("int").alias("_parts"))
+        .where(F.col("count") > per_task)
+        .select(key, F.ceil(F.col("count") / per_task).cast("int").alias("_parts"))
     )
 
 
@@ -49,18 +53,22 @@ def lookup(
     rows: int | None = None,
     hot: DataFrame | None = None,
     strategy: str | None = None,
+    per_task: int | None = None,
 ) -> DataFrame:
     """Join ``left`` to ``right``, which holds at most one row per ``key``.
 
     Hot keys of ``left`` are split by a hash of the ``spread`` columns, and only
-    their right rows are repeated, once per part. ``rows`` is the size of the left
-    side where that is known: too few rows cannot make a key hot. ``hot`` is
-    ``hot_keys`` of the left side unless the caller has it already; ``strategy`` is
-    a join hint for the left side.
+    their right rows are repeated, once per part. ``per_task`` is how many left rows
+    of a key a task may take: few where right rows are heavy. ``rows`` is the size of
+    the left side where that is known: too few rows cannot make a key hot. ``hot`` is
+    ``hot_keys`` of the left side unless the caller has it already; it is counted and
+    broadcast if small. ``strategy`` is a join hint for the left side.
     """
-    if rows is not None and rows <= ROWS_PER_SALT:
+    if rows is not None and rows <= (per_task or ROWS_PER_SALT):
         return (left.hint(strategy) if strategy else left).join(right, key, how)
-    hot = F.broadcast(hot_keys(left, key) if hot is None else hot)
+    hot, size = pinned_counted(hot_keys(left, key, per_task) if hot is None else hot)
+    if size <= MAX_BROADCAST_ROWS:
+        hot = F.broadcast(hot)
     spread_hash = F.xxhash64(*spread)
     salted_left = (
         left.join(hot, key, "left")

@@ -13,7 +13,7 @@ from spinneret.functions.measures import byte_length, whole_millis
 from spinneret.functions.messages import NOT_CAPTURED, request_failed
 from spinneret.functions.predicates import counts_as_success, is_html
 from spinneret.functions.titles import html_title, plain_title
-from spinneret.operators.joins import hot_keys, lookup
+from spinneret.operators.joins import BODIES_PER_SALT, hot_keys, lookup
 from spinneret.operators.ordering import first_per_key
 from spinneret.operators.redirects import MAX_REDIRECTS, resolve_redirects
 from spinneret.schemas import PAGE_COLUMNS
@@ -57,12 +57,14 @@ def page_results(plan: DataFrame, captures: DataFrame, rows: int | None = None)
     first = first_per_key(captures.select("url", "capture_id"), ["url"], "capture_id")
     first = first.withColumnRenamed("url", "final_url")
     spread = ["crawl_id", "url"]
-    hot_urls = hot_keys(plan, "final_url")
-    placed = lookup(plan, first, "final_url", spread, rows=rows, hot=hot_urls)
-    hot_captures = first.join(F.broadcast(hot_urls), "final_url").select("capture_id", "_parts")
+    # Bodies are heavy, so a URL is hot from far fewer rows on than a narrow key.
+    hot_urls = hot_keys(plan, "final_url", BODIES_PER_SALT)
+    split = {"rows": rows, "per_task": BODIES_PER_SALT}
+    placed = lookup(plan, first, "final_url", spread, hot=hot_urls, **split)
+    hot_captures = first.join(hot_urls, "final_url").select("capture_id", "_parts")
     bodies = captures.select("capture_id", *_RESPONSE, F.col("error").alias("_fetch_error"))
     # Hash the narrow plan side, so that bodies stream by without a sort.
-    joined = lookup(placed, bodies, "capture_id", spread, rows=rows, hot=hot_captures, strategy="shuffle_hash")
+    joined = lookup(placed, bodies, "capture_id", spread, hot=hot_captures, strategy="shuffle_hash", **split)
     return joined.withColumn("error", _result_error(F.col("_fetch_error"))).select(
         "crawl_id",
         "position",

@@ -31,6 +31,7 @@ def spark():
 @pytest.fixture
 def tiny_salts(monkeypatch):
     """Make almost every key hot, so that the salted paths run."""
-    from spinneret.operators import joins
+    from spinneret.operators import joins, results
 
     monkeypatch.setattr(joins, "ROWS_PER_SALT", 2)
+    monkeypatch.setattr(results, "BODIES_PER_SALT", 2)

@@ -94,15 +94,27 @@ def test_lookup_with_hot_keys(spark, tiny_salts):
     assert sorted(inner) == sorted(r for r in want if r[1])
 
 
-def test_lookup_splits_only_the_hottest(spark, tiny_salts, monkeypatch):
-    monkeypatch.setattr(joins, "MAX_HOT_KEYS", 1)
+def test_lookup_splits_every_hot_key(spark, tiny_salts):
     left = spark.createDataFrame([(i, f"k{i % 4 if i % 4 < 3 else 0}") for i in range(40)], "i int, k string")
     right = spark.createDataFrame([(f"k{i}", i) for i in range(4)], "k string, v int")
-    assert joins.hot_keys(left, "k").collect() == [("k0", 10)]
+    assert sorted(joins.hot_keys(left, "k").collect()) == [("k0", 10), ("k1", 5), ("k2", 5)]
     got = sorted(tuple(r) for r in lookup(left, right, "k", ["i"]).select("i", "v").collect())
     assert got == [(i, i % 4 if i % 4 < 3 else 0) for i in range(40)]
 
 
+def test_heavy_right_rows_split_a_key_of_few_left_rows(spark):
+    left, right, want = lookup_case(spark)
+    assert joins.rows_per_task(0) == joins.rows_per_task(1) == joins.ROWS_PER_SALT
+    assert joins.rows_per_task(50_000) == 100 and joins.rows_per_task(10**9) == 1
+    plans = set()
+    for per_task in (1, 29, 30, 89, 90, None):
+        joined = lookup(left, right, "k", ["i"], rows=90, per_task=per_task).select("i", "v")
+        plans.add("_salt" in joined._jdf.queryExecution().toString())
+        got = [tuple(r) for r in joined.collect()]
+        assert len(got) == 90 and set(got) == want and joined.dtypes == [("i", "int"), ("v", "string")]
+    assert plans == {True, False}
+
+
 def test_lookup_without_hot_keys(spark):
     left, right, want = lookup_case(spark)
     for rows in (None, 90):
