@@ -58,6 +58,7 @@ _SIBLINGS = {
     "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"),
 }
 _SCOPE = frozenset("html body table ul ol dl article section div main td th blockquote form".split())
+_CELLS = frozenset(("td", "th", "table"))
 _MAIN = frozenset(("article", "main"))
 _TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbody tr td th figure figcaption".split())
 # Elements and class words that name what is not the article.
@@ -155,8 +156,8 @@ def parse(page: str) -> Node:
         if name == "br":
             stack[-1].parts.append(" ")
         elif tag[1]:
-            if name not in _INLINE:
-                close(name)
+            # Inline elements are open only where they are not content.
+            close(name)
         elif name in _RAW:
             if not rest[0].endswith("/>"):
                 end = re.compile(f"</{re.escape(name)}(?=[\\s/>])", re.I).search(page, at)
@@ -168,7 +169,11 @@ def parse(page: str) -> Node:
                 at = closing + 1
         else:
             key, other = _marked(name, rest[0][:-1], stack[-1])
-            if name in _INLINE and not other or name in _VOID and name != "hr":
+            if name == "a":
+                close("a", _CELLS)
+            # Inside an inline element that is not content, those of its name are kept, as
+            # the first end tag is that of the inner one.
+            if name in _INLINE and not other and not opened.get(name) or name in _VOID and name != "hr":
                 continue
             if name in _ENDS_P:
                 close("p", _SCOPE)

@@ -120,6 +120,17 @@ def test_site_parts_without_a_name_are_cut(spark):
     assert all(x.startswith("All rights") for x in few.values())
 
 
+def test_inline_elements_that_are_not_content_end():
+    def found(page):
+        return html_text.main_text(html_text.parse(page))
+
+    assert found('<article><p>one <i class="icon" aria-hidden="true"></i>two</p><p>three</p></article>') == "one two\nthree"
+    assert found('<article><span class="ad">buy <span>now</span> here</span><p>one</p><p>two</p></article>') == "one\ntwo"
+    assert found('<body><a class="skip-nav" href="#x">Skip</a><div><p>one <a href="y">two</a></p></div></body>') == "one two"
+    assert found('<article><a class="share">tweet<a href="y">one</a><p>two</p></article>') == "one\ntwo"
+    assert found('<article><p>one <span class="ad">buy</p><p>two</span> three</p></article>') == "one\ntwo three"
+
+
 # Mixing
 
 
