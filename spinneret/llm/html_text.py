@@ -9,7 +9,9 @@ page; branches of low importance are cut from every page.
 Two things entropy cannot show are stated instead. Elements that say what they are
 (``nav``, ``footer``, a class ``ad``...) have no importance, however often their text
 changes. Paragraphs and headings of an ``article`` or ``main`` keep theirs, since copies
-of an article repeat it.
+of an article repeat it. A class word counts whole: all its parts must be listed words or
+neutral ones, and none a negation. Where no ``article`` or ``main`` stands elsewhere, neither
+a name nor a form around one cuts it.
 """
 
 from __future__ import annotations
@@ -70,24 +72,44 @@ _OTHER_WORDS = frozenset(
     "search complementary contentinfo dialog alert".split()
 )
 _HEADERS = frozenset(("header", "topbar"))
+# What may stand beside a listed word in a class word, and what turns it into its opposite.
+_NEUTRAL_WORDS = frozenset(
+    "area bar block body bottom box button buttons center col column container content desktop fixed float form global "
+    "google group header heading home icon icons inner item items label left level link links list main mobile off "
+    "outer overlay page panel post posts primary right row secondary section side site skip slot small space sticky "
+    "tertiary text title to top unit view wrap wrapper zone".split()
+)
+_NEGATIONS = frozenset("no not non without with has have".split())
 _TEXT_ROOTS = frozenset(("html", "body", "article", "main"))
 
 
 class Node:
     """An element: its style key, what stands in it, and whether it says it is not content."""
 
-    __slots__ = ("name", "key", "parts", "other", "path", "main")
+    __slots__ = ("name", "key", "parts", "other", "named", "path", "main")
 
-    def __init__(self, name: str, key: str, parent: Node | None, other: bool):
+    def __init__(self, name: str, key: str, parent: Node | None, other: bool, named: bool = False):
         self.name, self.key, self.other = name, key, other
+        # Whether only its name, or that it is a form, says that it is not content.
+        self.named = named
         self.parts: list[Node | str] = []
         self.main = name in _MAIN or (parent is not None and parent.main)
         above = parent.path if parent is not None else 0
         self.path = xxhash.xxh3_64_intdigest(key, above) & ((1 << 63) - 1)
 
 
-def _marked(name: str, rest: str, parent: Node) -> tuple[str, bool]:
-    """The style key of a start tag, and whether the element is not content by name."""
+def _listed(word: str, listed: frozenset[str]) -> bool:
+    """Whether a word of a class, id or role names one of ``listed``."""
+    parts = [x for x in re.split(r"[^a-z]+", word) if len(x) > 1]
+    return (
+        not listed.isdisjoint(parts)
+        and _NEGATIONS.isdisjoint(parts)
+        and all(x in listed or x in _OTHER_WORDS or x in _NEUTRAL_WORDS for x in parts)
+    )
+
+
+def _marked(name: str, rest: str, parent: Node) -> tuple[str, bool, bool]:
+    """The style key of a start tag, whether it is not content, and whether only a name or a form says so."""
     words, hidden, label = set(), False, name
     if "=" in rest or "hidden" in rest:
         for m in _MARKER.finditer(rest):
@@ -95,18 +117,52 @@ def _marked(name: str, rest: str, parent: Node) -> tuple[str, bool]:
             if kind == "hidden" or (kind == "aria-hidden" and value == "true"):
                 hidden = True
             elif kind != "aria-hidden":
-                words.update(re.split(r"[^a-z]+", value))
+                words.update(value.split())
                 if kind == "class":
                     label = f"{name}.{' '.join(sorted(value.split()))}"
     if name in _TEXT_ROOTS:
-        return label, False
-    other = hidden or name in _OTHER or bool(words & _OTHER_WORDS)
-    other = other or (not parent.main and (name == "header" or bool(words & _HEADERS)))
-    return label, other
+        return label, False, False
+    sure = hidden or (name in _OTHER and name != "form") or (name == "header" and not parent.main)
+    other = sure or name == "form" or any(_listed(x, _OTHER_WORDS) for x in words)
+    other = other or (not parent.main and any(_listed(x, _HEADERS) for x in words))
+    return label, other, other and not sure
 
 
 def parse(page: str) -> Node:
     """The tree of a page. Any text is read, each character a bounded number of times."""
+    root = _tree(page)
+    _free(root)
+    return root
+
+
+def _free(root: Node) -> None:
+    """Take back marks by name around the article, or else those of forms around all there is."""
+    texts, forms = False, []
+    for node in _walk(root):
+        if node.name in _MAIN:
+            return
+        texts = texts or any(isinstance(x, str) and x.strip() for x in node.parts)
+        forms += [x for x in node.parts if isinstance(x, Node) and x.named and x.name == "form"]
+    above: dict[int, Node] = {}
+    waiting, freed, found = [root], set(), False
+    while waiting:
+        node = waiting.pop()
+        if node.name in _MAIN:
+            found, up = True, above.get(id(node))
+            while up is not None and id(up) not in freed:
+                freed.add(id(up))
+                up.other = False
+                up = above.get(id(up))
+        for x in node.parts:
+            if isinstance(x, Node) and (x.named or not x.other):
+                above[id(x)] = node
+                waiting.append(x)
+    if not found and not texts:
+        for form in forms:
+            form.other = False
+
+
+def _tree(page: str) -> Node:
     root = Node("", "", None, False)
     stack, opened = [root], {"": 1}
 
@@ -168,7 +224,7 @@ def parse(page: str) -> Node:
                     return root
                 at = closing + 1
         else:
-            key, other = _marked(name, rest[0][:-1], stack[-1])
+            key, other, named = _marked(name, rest[0][:-1], stack[-1])
             if name == "a":
                 close("a", _CELLS)
             # Inside an inline element that is not content, those of its name are kept, as
@@ -179,7 +235,7 @@ def parse(page: str) -> Node:
                 close("p", _SCOPE)
             for sibling in _SIBLINGS.get(name, ()):
                 close(sibling, _SCOPE - {"td", "th"} if name in ("tr", "td", "th", "tbody", "thead") else _SCOPE)
-            node = Node(name, key, stack[-1], other)
+            node = Node(name, key, stack[-1], other, named)
             stack[-1].parts.append(node)
             if name not in _VOID and not rest[0].endswith("/>"):
                 stack.append(node)

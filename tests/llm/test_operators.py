@@ -131,6 +131,21 @@ def test_inline_elements_that_are_not_content_end():
     assert found('<article><p>one <span class="ad">buy</p><p>two</span> three</p></article>') == "one\ntwo three"
 
 
+def test_names_cut_no_article_and_count_whole():
+    def found(page):
+        return html_text.main_text(html_text.parse(page))
+
+    article = "<article><h1>one</h1><p>two</p></article>"
+    for around in ('<div class="layout with-sidebar">%s</div>', '<div id="page-no-ads">%s</div>', '<div class="search">%s</div>',
+                   "<form>%s</form>", '<form><div class="social"><div>%s</div></div></form>'):
+        assert found(f"<body><nav>menu</nav>{around % article}<footer>foot</footer></body>") == "one\ntwo"
+    assert found("<body><form><div><p>one</p></div><nav>menu</nav></form></body>") == "one"
+    assert found(f'<article><p>one</p><p class="related-work">two</p></article><div class="comments">{article}</div>') == "one\ntwo"
+    for word in ("ad-slot", "site-footer", "related-posts", "skip-nav", "menu-item-12", "cookie-notice", "page__sidebar", "ad"):
+        assert found(f'<article><p>one</p><div class="x {word}">two</div><form>three</form></article>') == "one"
+    assert found(f"<body><p>one</p><aside>{article}</aside></body>") == "one"
+
+
 # Mixing
 
 
