@@ -1,22 +1,28 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by content-defined chunks of lines and by windows of 50 words.
 
 A rolling hash over the hashes of neighbouring lines decides where a chunk ends, so the
 same passage is cut alike wherever it stands in a text. Chunks of several lines that
 occur more than once, in one document or in many, are removed but for their first
-occurrence, after their bytes are found equal.
+occurrence.
+
+Chunks depend on the line before a passage, so they miss parts of short ones. Of each
+line, the shortest run of lines with 50 words that starts with it and the shortest that
+ends with it are treated like chunks as well. Any repeated run of 50 words or more is
+made of such windows, whatever stands around it, so all of it is found.
 
 The first pass shuffles digests only. Those that repeat set bits in a filter of fixed
-size, so that the second pass carries the bytes of chunks that may repeat, not of all.
+size, so that the second pass carries only what may repeat, as the SHA-256 of its bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spinneret.llm.common import bounded_batches, mixed, slices, text_of, texts
@@ -57,16 +63,41 @@ def chunk_ends(lines: list[bytes], window: int = WINDOW, one_in: int = ONE_IN) -
     return ends
 
 
+def _windows(words: list[int]) -> Iterator[tuple[int, int]]:
+    """For each line with words, the shortest runs of ``LONG_WORDS`` words that start and end with it."""
+    end = total = 0
+    for begin, n in enumerate(words):
+        while total < LONG_WORDS and end < len(words):
+            total += words[end]
+            end += 1
+        if total < LONG_WORDS:
+            break
+        if n:
+            yield begin, end
+        total -= n
+    begin = total = 0
+    for end, n in enumerate(words, 1):
+        total += n
+        while total - words[begin] >= LONG_WORDS:
+            total -= words[begin]
+            begin += 1
+        if n and total >= LONG_WORDS:
+            yield begin, end
+
+
 def _chunks(text: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """First line, line after the last, and bytes of each chunk that can be removed."""
+    """First line, line after the last, and bytes of each chunk or window that can be removed."""
     lines = text.split(b"\n")
-    start = 0
+    words = [len(x.split()) for x in lines]
+    found, start = set(_windows(words)), 0
     for end in chunk_ends(lines):
-        words = [len(x.split()) for x in lines[start:end]]
-        total = sum(words)
-        if total >= LONG_WORDS or (total >= MIN_WORDS and sum(n > 0 for n in words) >= MIN_LINES):
-            yield start, end, b"\n".join(lines[start:end])
+        total = sum(words[start:end])
+        if total >= MIN_WORDS and sum(n > 0 for n in words[start:end]) >= MIN_LINES:
+            found.add((start, end))
         start = end
+    at = np.cumsum([0, *(len(x) + 1 for x in lines)]).tolist()
+    for begin, end in sorted(found):
+        yield begin, end, text[at[begin] : at[end] - 1]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -90,7 +121,7 @@ def _filter(repeated: DataFrame, bits: int) -> np.ndarray:
 
 
 def removable(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """``_id, _th, begin, end``: runs of lines to remove, one row for each repeated chunk."""
+    """``_id, _th, begin, end``: runs of lines to remove, no two of a text overlap or touch."""
     spark = docs.sparkSession
     bounded_batches(spark)
     keyed = _keyed(docs)
@@ -112,7 +143,7 @@ def removable(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
                 for begin, end, content in _chunks(text):
                     place = np.uint64(xxhash.xxh3_64_intdigest(content)) & mask
                     if table[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1):
-                        rows.append((ids[i], hashes[i], begin, end, content))
+                        rows.append((ids[i], hashes[i], begin, end, hashlib.sha256(content).digest()))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays(
@@ -125,28 +156,42 @@ def removable(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
         ),
         "line-chunks",
     )
-    # Groups are formed by the bytes themselves.
     first = (
         found.groupBy("content")
-        .agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("_id", "_th", "begin")).alias("first"))
+        .agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("_id", "_th", "begin", "end")).alias("first"))
         .where("c > 1")
         .drop("c")
     )
     first = written(first, "line-first")
-    return (
+    here = F.struct("_id", "_th").eqNullSafe(F.struct("first._id", "first._th"))
+    later = (
         found.join(first, "content")
-        .where(~F.struct("_id", "_th", "begin").eqNullSafe(F.col("first")))
+        .where(~(here & (F.col("begin") == F.col("first.begin"))))
+        # The first occurrence stays whole where the next one overlaps it.
+        .withColumn("begin", F.when(here, F.greatest("begin", "first.end")).otherwise(F.col("begin")))
         .select("_id", "_th", "begin", "end")
+        .distinct()
+    )
+    lines = Window.partitionBy("_id", "_th").orderBy("begin", "end")
+    reached = F.max("end").over(lines.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.when(F.col("begin") <= reached, 0).otherwise(1)
+    return (
+        later.withColumn("_apart", apart)
+        .withColumn("_run", F.sum("_apart").over(lines.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("_id", "_th", "_run")
+        .agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+        .drop("_run")
     )
 
 
 def dedup_lines(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """``docs``, all columns, with ``text`` less its repeated chunks, and what was removed.
+    """``docs``, all columns, with ``text`` less its repeated chunks and windows, and what was removed.
 
     Added are ``n_lines``, ``n_removed`` (lines) and ``removed``, runs of line numbers
     ``begin:end`` from 0, end exclusive, comma-joined. Of equal chunks the one in the
     row with the smallest id (null first), then the smallest hash of its text, then the
-    earliest in it, stays. Rows equal in id and text are treated alike. A null text
+    earliest in it, stays, but for what repeats an even earlier one: every line that is
+    removed stays in an earlier place. Rows equal in id and text are treated alike. A null text
     stays null and has one empty line, an empty one too. The names added must be new;
     other columns may have any name.
     """

@@ -362,6 +362,16 @@ def test_line_dedup(docs):
     assert by_id[1]["text"] is None and set(by_id[1]) == {*df.columns, "n_lines", "n_removed", "removed"}
 
 
+def test_line_dedup_finds_all_runs_of_50_words(docs):
+    # Passages of 2 to 5 lines under 50 words, each time between other lines.
+    passages = [text(700 + i, n * words, words).split("\n") for i, (n, words) in enumerate([(2, 30), (3, 20), (4, 15), (5, 11)] * 6)]
+    around = [[text(1000 * at + 10 * i, 24).split("\n"), text(1000 * at + 10 * i + 5, 36).split("\n")] for at in (1, 2, 3) for i in range(24)]
+    rows = [(i, "\n".join(around[i][0] + passages[i % 24] + around[i][1]), "s") for i in range(72)]
+    found = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs(rows)).collect()}
+    for i in range(72):
+        assert found[i]["removed"] == ("" if i < 24 else f"2:{2 + len(passages[i % 24])}"), i
+
+
 # Quality classifier
 
 
