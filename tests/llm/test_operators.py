@@ -222,6 +222,27 @@ def test_licences(spark, docs):
     assert licences.licence_scan(docs(rows).limit(0), licences.known_licences(spark)).count() == 0
 
 
+def test_whole_licences_notices_and_one_row_each(spark, docs):
+    known = dict(x for x in licences._whole())
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= set(known)
+    apache = licences.resources.files(licences.__package__).joinpath("licence_texts/Apache-2.0.txt").read_text()
+    isc = next(x for name, x in licences.KNOWN if name == "ISC")
+    notices = {
+        "GPL-2.0-or-later": "Licensed under the GNU General Public License, either version 2 or later.",
+        "BSD-2-Clause": "Released under the BSD 2-Clause License", "CC-BY-4.0": "This article is licensed under CC BY 4.0",
+        "CC0-1.0": "Published under CC0 1.0.", "MPL-2.0": "# SPDX-License-Identifier: MPL-2.0", "LGPL-3.0-or-later": "// SPDX-License-Identifier: LGPL-3.0+",
+        "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    }
+    rows = [(10, apache.replace("[yyyy] [name of copyright owner]", "2021 Some One"), "a"), (11, apache[: apache.index("END OF")], "a")]
+    rows += [(12, "ISC License\n\nCopyright (c) 2020, Some One\n\n" + isc, "a"), (13, "\n".join(["text", *notices.values(), "text"]), "a")]
+    rows += [(14, "MIT License\n\nCopyright (c) 2020 Some One\n\n" + licences.KNOWN[2][1], "a")]
+    found = licences.licence_scan(docs(rows + ODD), licences.known_licences(spark)).collect()
+    assert len(found) == len(rows + ODD) and sum(r["doc_id"] is None for r in found) == 2
+    by_id = {r["doc_id"]: r for r in found}
+    assert [by_id[i]["licence"] for i in (10, 11, 12, 13, 14)] == ["Apache-2.0", "Apache-2.0", "ISC", None, "MIT"]
+    assert by_id[13]["notices"] == ",".join(sorted(notices)) and by_id[13]["n_notices"] == len(notices)
+
+
 # Personal data
 
 
