@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from spinneret.llm.common import text_of
 
-# Characters before a match, back to the match before it, that are read for context.
+# Characters before and after a match that are read for context.
 CONTEXT = 40
+# What stands between the items of a list: no word but a short one.
+_LIST_GAP = r"^[^\p{L}]*+(?:\p{L}{1,3}+[^\p{L}]*+)?$"
 # Scores: what a pattern alone, a checksum, and a word nearby are worth.
 BASE_SCORE, CHECKED, NEARBY = 0.5, 0.3, 0.2
 
@@ -68,7 +70,7 @@ class Kind:
     """A kind of personal data.
 
     ``needs`` is a cheap test that every text with a match passes. ``valid`` decides on
-    a match; with ``only_near`` one of the ``near`` words must also stand before it.
+    a match; with ``only_near`` one of the ``near`` words must also stand near it.
     """
 
     name: str
@@ -146,22 +148,60 @@ def _matches(kind: Kind, text: Column) -> Column:
     return F.when(text.rlike(kind.needs), matches)
 
 
-def _placed(kind: Kind, text: Column, matches: Column) -> Column:
+def _gaps(kind: Kind, text: Column, matches: Column) -> Column:
+    """The texts before, between and after the matches; null where there are none."""
+    return F.when(F.size(matches) > 0, F.split(text, kind.pattern, -1))
+
+
+def _near(kind: Kind, gaps: Column, matches: Column, before: bool) -> Column:
+    """For each match whether a word of the kind is near, on the side where its gap of ``gaps`` is.
+
+    Arrays run towards the matches: from the end of the text for what is after them.
+    Other matches count as blanks, so that none is the word near the next. Items of a
+    list share what stands at its end, however long it is.
+    """
+    start = F.struct(F.lit("").alias("around"), F.lit(False).alias("near"), F.array().cast("array<boolean>").alias("all"))
+
+    def add(state: Column, pair: Column) -> Column:
+        gap = pair["gap"]
+        blank = F.repeat(F.lit(" "), F.least(F.length(pair["behind"]), F.lit(CONTEXT)))
+        if before:
+            around = F.right(F.concat(state["around"], blank, F.right(gap, F.lit(CONTEXT))), F.lit(CONTEXT))
+        else:
+            around = F.left(F.concat(F.left(gap, F.lit(CONTEXT)), blank, state["around"]), F.lit(CONTEXT))
+        listed = state["near"] & (F.length(gap) <= CONTEXT) & F.left(gap, F.lit(CONTEXT)).rlike(_LIST_GAP)
+        near = F.lower(around).rlike(kind.near) | listed
+        return F.struct(around.alias("around"), near.alias("near"), F.array_append(state["all"], near).alias("all"))
+
+    behind = F.slice(F.concat(F.array(F.lit("")), matches), 1, F.size(matches))
+    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("gap"), behind.alias("behind"))
+    return F.aggregate(pairs, start, add, lambda state: state["all"])
+
+
+def _placed(kind: Kind, gaps: Column, matches: Column) -> Column:
     """The valid matches: array of start, end, score; null where nothing matches."""
-    gaps = F.split(text, kind.pattern, -1)
-    span = "struct<start:int,end:int,found:string,near:boolean>"
+    span = "struct<start:int,end:int,found:string>"
     start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("spans"))
 
     def add(state: Column, pair: Column) -> Column:
         begin = state["at"] + F.length(pair["gap"])
         end = begin + F.length(pair["found"])
-        # The gap alone is read, so that all contexts together are no longer than the text.
-        near = F.lower(F.right(pair["gap"], F.lit(CONTEXT))).rlike(kind.near)
-        one = F.struct(begin.alias("start"), end.alias("end"), pair["found"].alias("found"), near.alias("near"))
+        one = F.struct(begin.alias("start"), end.alias("end"), pair["found"].alias("found"))
         return F.struct(end.alias("at"), F.array_append(state["spans"], one).alias("spans"))
 
     pairs = F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("gap"), matches.alias("found"))
-    placed = F.aggregate(pairs, start, add, lambda state: state["spans"])
+    spans = F.aggregate(pairs, start, add, lambda state: state["spans"])
+    before = _near(kind, gaps, matches, True)
+    after = F.reverse(_near(kind, F.reverse(gaps), F.reverse(matches), False))
+    placed = F.transform(
+        F.arrays_zip(spans.alias("span"), before.alias("before"), after.alias("after")),
+        lambda x: F.struct(
+            x["span"]["start"].alias("start"),
+            x["span"]["end"].alias("end"),
+            x["span"]["found"].alias("found"),
+            (x["before"] | x["after"]).alias("near"),
+        ),
+    )
     good = F.filter(
         F.transform(
             placed,
@@ -186,7 +226,8 @@ def find_pii(docs: DataFrame, kinds: tuple[Kind, ...] = BASE + MORE) -> DataFram
 
     A span has ``start`` and ``end`` (code points, end exclusive) and a ``score``: 0.5
     for a pattern, 0.3 more where a checksum confirms it, 0.2 more where a word of the
-    kind stands among the 40 characters before it. Matches that fail their check are
+    kind stands among the 40 characters before or after it, or before or after a list
+    that it is an item of. Matches that fail their check are
     dropped and not tried again. One row per row of ``docs``, repeated rows and null ids
     included; null and empty texts have no spans (null arrays). Other columns are
     ignored, whatever their names.
@@ -194,8 +235,10 @@ def find_pii(docs: DataFrame, kinds: tuple[Kind, ...] = BASE + MORE) -> DataFram
     matched = docs.select("doc_id", text_of("text").alias("_text")).select(
         "doc_id", "_text", *[_matches(kind, F.col("_text")).alias(f"_{kind.name}") for kind in kinds]
     )
-    return matched.select(
-        "doc_id", *[_placed(kind, F.col("_text"), F.col(f"_{kind.name}")).alias(kind.name) for kind in kinds]
+    found = [F.col(f"_{kind.name}") for kind in kinds]
+    gaps = [_gaps(kind, F.col("_text"), x).alias(f"_gaps_{kind.name}") for kind, x in zip(kinds, found, strict=True)]
+    return matched.select("doc_id", *found, *gaps).select(
+        "doc_id", *[_placed(kind, F.col(f"_gaps_{kind.name}"), F.col(f"_{kind.name}")).alias(kind.name) for kind in kinds]
     )
 
 

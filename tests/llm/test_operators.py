@@ -282,6 +282,19 @@ def test_pii(docs):
     assert pii.digested(pii.find_pii(docs(rows).limit(0))).count() == 0
 
 
+def test_pii_context_on_both_sides_and_in_lists(docs):
+    amex = ["378282246310005", "371449635398431", "3787 344936 71000"]
+    texts = [
+        "Amex: " + ", ".join(amex[:2]), "3782 822463 10005 (Amex)", "cards:\n" + "\n".join(amex * 5), ", ".join(amex * 5) + " are cards",
+        "order " + amex[0] + " and nothing of that kind here, " + "x" * 40 + " card", "mail " + " and ".join(f"p{i}@h.org" for i in range(9)),
+        "p@gmail.com, q@h.org " + "é" * 41 + " mail", "fax +1 555 123 4567 / +1 555 123 4568, +44 20 7946 0000",
+    ]
+    rows = {r["doc_id"]: r for r in pii.digested(pii.find_pii(docs([(i, x, "s") for i, x in enumerate(texts)]))).collect()}
+    assert rows[0]["spans"] == "short_card:6:21,short_card:23:38" and rows[1]["spans"] == "short_card:0:17"
+    assert [rows[i]["spans"].count("short_card") for i in (2, 3, 4)] == [15, 15, 0]
+    assert rows[5]["scores"] == ",".join(["0.7"] * 9) and rows[6]["scores"] == "0.5,0.5" and rows[7]["scores"] == "0.7,0.7,0.7"
+
+
 # Near duplicates
 
 
