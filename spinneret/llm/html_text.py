@@ -4,7 +4,8 @@ The DOMs of a host are merged: a style node is the path of element names and cla
 from the root. Over the host's pages, each node has a presentation (the kinds of its
 children) and a content (its own text). A node whose presentations and contents are the
 same on page after page has low entropy and is taken as part of the site, not of the
-page; branches of low importance are cut from every page.
+page. Pages equal in all contents count once. Of a node of low importance only contents
+that repeat on different pages are cut, so that one page's own text stays.
 
 Two things entropy cannot show are stated instead. Elements that say what they are
 (``nav``, ``footer``, a class ``ad``...) have no importance, however often their text
@@ -251,7 +252,10 @@ def _walk(root: Node) -> Iterator[Node]:
 
 
 def style_nodes(root: Node) -> list[tuple[int, int, int]]:
-    """For each path of a page that could be cut: path, presentation, content."""
+    """For each path of a page that could be cut: path, presentation, content.
+
+    Contents of different paths differ.
+    """
     kinds: dict[int, list] = {}
     for parent in _walk(root):
         for node in parent.parts:
@@ -265,8 +269,19 @@ def style_nodes(root: Node) -> list[tuple[int, int, int]]:
                 known = kinds.setdefault(node.path, ([], []))
                 known[0].extend(shape)
                 known[1].append(text)
-    digest = lambda x: xxhash.xxh3_64_intdigest("\0".join(x)) & ((1 << 63) - 1)
-    return [(path, digest(shape), digest(text)) for path, (shape, text) in kinds.items()]
+    digest = lambda x, seed: xxhash.xxh3_64_intdigest("\0".join(x), seed) & ((1 << 63) - 1)
+    return [(path, digest(shape, 0), digest(text, path)) for path, (shape, text) in kinds.items()]
+
+
+def low_paths(root: Node, low: frozenset[int]) -> frozenset[int]:
+    """The paths of a page whose content is one of ``low``."""
+    return frozenset(path for path, _, content in style_nodes(root) if content in low) if low else low
+
+
+def _contents(root: Node) -> int:
+    """Digest of all that a page could show."""
+    text = "\0".join(" ".join(x.split()) for node in _walk(root) for x in node.parts if isinstance(x, str) and x.strip())
+    return xxhash.xxh3_64_intdigest(text) & ((1 << 63) - 1)
 
 
 def main_text(root: Node, low: frozenset[int] = frozenset()) -> str:
@@ -321,14 +336,16 @@ def _host(url: str | None) -> str:
 
 
 def low_nodes(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
-    """``host, low``: for each host, the paths of its nodes of low importance.
+    """``host, low``: for each host, the repeated contents of its nodes of low importance.
 
     The entropy of a node's presentations, and of its contents, over the pages that have
     it is taken to the base of their number: 0 if all agree, 1 if all differ. A tenth of
     its importance is that of its presentation, the rest that of its content. Each child
     is judged as a node of its own, so a branch goes as far as all of it is unimportant.
-    Only nodes on ``min_pages`` pages of the host or more are judged. Pages are reduced to a row for each node before anything is shuffled, and
-    counted in each task first, so a host with any share of all pages is no hot key.
+    Only nodes on ``min_pages`` different pages of the host or more are judged; pages
+    with the same contents are one. Pages are reduced to a row of digests before anything
+    is shuffled, and nodes counted in each task first, so a host with any share of all
+    pages is no hot key.
     """
     bounded_batches(pages.sparkSession)
 
@@ -336,16 +353,23 @@ def low_nodes(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW) ->
         for batch in slices(batches, 128):
             rows: list[tuple] = []
             for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                host = _host(url)
-                rows += [(host, *x) for x in style_nodes(parse(page or ""))]
+                root = parse(page or "")
+                found = style_nodes(root)
+                if found:
+                    rows.append((_host(url), _contents(root), *zip(*found, strict=True)))
             if rows:
                 columns = list(zip(*rows, strict=True))
+                kinds = (pa.string(), pa.int64(), *[pa.list_(pa.int64())] * 3)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])],
-                    ["host", "path", "shape", "content"],
+                    [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["host", "page", "path", "shape", "content"]
                 )
 
-    seen = pages.select("url", "html").mapInArrow(nodes, "host string, path long, shape long, content long")
+    seen = (
+        pages.select("url", "html")
+        .mapInArrow(nodes, "host string, page long, path array<long>, shape array<long>, content array<long>")
+        .dropDuplicates(["host", "page"])
+        .select("host", F.inline(F.arrays_zip("path", "shape", "content")))
+    )
     # Presentation and content are counted alike, as values of two kinds.
     counted = (
         seen.select("host", "path", F.posexplode(F.array("shape", "content")).alias("kind", "value"))
@@ -362,11 +386,9 @@ def low_nodes(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW) ->
         F.max(F.when(F.col("kind") == 1, F.col("h"))).alias("content"),
     )
     importance = OWN_SHARE * F.col("shape") + (1 - OWN_SHARE) * F.greatest("content", F.lit(0.0))
-    return (
-        nodes_.where((F.col("m") >= min_pages) & (importance < low))
-        .groupBy("host")
-        .agg(F.collect_set("path").alias("low"))
-    )
+    low_ = nodes_.where((F.col("m") >= min_pages) & (importance < low)).select("host", "path")
+    repeated = counted.where((F.col("kind") == 1) & (c > 1)).select("host", "path", "value")
+    return repeated.join(low_, ["host", "path"]).groupBy("host").agg(F.collect_set("value").alias("low"))
 
 
 def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
@@ -388,10 +410,10 @@ def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 128):
-            found = [
-                main_text(parse(page or ""), frozenset(low or ()))
-                for page, low in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist(), strict=True)
-            ]
+            found = []
+            for page, low in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist(), strict=True):
+                root = parse(page or "")
+                found.append(main_text(root, low_paths(root, frozenset(low or ()))))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id").cast(pa.int64()), batch.column("url"), pa.array(found, pa.string()),
                  pa.array([len(x) for x in found], pa.int64())],

@@ -120,6 +120,16 @@ def test_site_parts_without_a_name_are_cut(spark):
     assert all(x.startswith("All rights") for x in few.values())
 
 
+def test_copies_do_not_make_text_part_of_the_site(spark):
+    def page(i):
+        return f"<body><div class=x1>All rights of the site</div><div class=post><p>{text(i, 30, 30)}</p></div></body>"
+
+    pages = [(i, f"http://h.example/{i}", page(max(i, 84))) for i in range(100)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in html_text.extract_text(df).collect()}
+    assert found == {i: text(max(i, 84), 30, 30) for i in range(100)}
+
+
 def test_inline_elements_that_are_not_content_end():
     def found(page):
         return html_text.main_text(html_text.parse(page))
