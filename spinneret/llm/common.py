@@ -10,6 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spinneret.session import fresh_path
+
 # Words are runs of other characters than space and \t to \r. Python's
 # bytes.split() without arguments splits at the same six characters.
 SPACE = r"[\x20\x09-\x0D]"
@@ -78,3 +80,24 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
 def renamed(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Only the columns named on the left, under the names on the right."""
     return df.select(*[F.col(f"`{old}`").alias(new) for old, new in columns.items()])
+
+
+class Scratch:
+    """Tables in the shared folder, each deleted as soon as its readers are done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        path = fresh_path(self.spark, label)
+        df.write.parquet(path)
+        found = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(found)] = (found, path)
+        return found
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that ``write`` returned; nothing may read them any more."""
+        for table in tables:
+            _, path = self.paths.pop(id(table))
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -2,4 +2,98 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+
+
+def _floor(total: str, n: str) -> str:
+    """Whole-number division that rounds down."""
+    return f"CAST(({total} - ((({total} % {n}) + {n}) % {n})) // {n} AS BIGINT)"
+
+
+def _clusters(k: int = 16, rounds: int = 3) -> str:
+    steps = [
+        f"""v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND {_FINITE}),
+c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS BIGINT) AS num, x AS c
+  FROM v QUALIFY num < {k})"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, min(CAST(list_inner_product(x, x) + list_inner_product(c, c) - 2 * list_inner_product(x, c) AS BIGINT) * {k} + num) AS m
+  FROM v, c{r} GROUP BY vec_id)""")
+        if r < rounds:
+            steps.append(f"""s{r} AS MATERIALIZED (
+  SELECT m % {k} AS num, pos, sum(CAST(x[pos] AS BIGINT)) AS total, count(*) AS n
+  FROM a{r} JOIN v USING (vec_id), range(1, 65) AS p(pos) GROUP BY 1, 2),
+c{r + 1} AS MATERIALIZED (
+  SELECT num, coalesce(any_value(fresh.c), any_value(c{r}.c)) AS c
+  FROM c{r} LEFT JOIN (
+    SELECT num, list(CAST({_floor("total", "n")} AS DOUBLE) ORDER BY pos) AS c FROM s{r} GROUP BY num) AS fresh USING (num)
+  GROUP BY num)""")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, CAST(m % {k} AS INTEGER) AS "cluster", m // {k} AS distance,
+  CAST(sum(m // {k}) OVER (PARTITION BY m % {k}) AS BIGINT) AS cluster_inertia,
+  CAST(sum(m // {k}) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(c, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON num = m % {k}"""
+
+
+def _codes(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    steps = [
+        f"""kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS x
+  FROM embeddings WHERE {_FINITE}),
+v AS MATERIALIZED (
+  SELECT vec_id, part, x[part * len(x) // {parts} + 1 : (part + 1) * len(x) // {parts}] AS x
+  FROM kept, range(0, {parts}) AS p(part)),
+b0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS idx, x AS c
+  FROM v QUALIFY idx < {entries})"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, part,
+    min(CAST(list_inner_product(x, x) + list_inner_product(c, c) - 2 * list_inner_product(x, c) AS BIGINT) * {entries} + idx) AS m
+  FROM v JOIN b{r} USING (part) GROUP BY vec_id, part)""")
+        if r < rounds:
+            steps.append(f"""s{r} AS MATERIALIZED (
+  SELECT part, m % {entries} AS idx, pos, sum(CAST(x[pos] AS BIGINT)) AS total, count(*) AS n
+  FROM a{r} JOIN v USING (vec_id, part), range(1, (SELECT max(len(x)) FROM v) + 1) AS p(pos) GROUP BY 1, 2, 3),
+b{r + 1} AS MATERIALIZED (
+  SELECT part, idx, coalesce(any_value(fresh.c), any_value(b{r}.c)) AS c
+  FROM b{r} LEFT JOIN (
+    SELECT part, idx, list(CAST({_floor("total", "n")} AS DOUBLE) ORDER BY pos) AS c FROM s{r} GROUP BY part, idx) AS fresh
+  USING (part, idx) GROUP BY part, idx)""")
+    return f"""WITH {", ".join(steps)},
+done AS MATERIALIZED (
+  SELECT vec_id, string_agg(printf('%02x', m % {entries}), '' ORDER BY part) AS code, CAST(sum(m // {entries}) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY part, idx))
+   FROM b{rounds}) AS codebooks_sha256
+FROM done JOIN kept USING (vec_id)"""
+
+
+_LINKS = f"""WITH RECURSIVE sound AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND {_FINITE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (
+  SELECT a.r AS a, b.r AS b, a.vec_id, b.vec_id AS other FROM sound a
+  JOIN sound b ON a.label = b.label AND a.r <> b.r AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+reach(vec_id, other) AS (
+  SELECT DISTINCT vec_id, other FROM links
+  UNION SELECT reach.vec_id, links.other FROM reach JOIN links ON reach.other = links.vec_id),
+found AS (SELECT vec_id, count(*) AS n FROM links GROUP BY vec_id),
+least AS (SELECT vec_id, min(other) AS other FROM reach GROUP BY vec_id)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, least(e.vec_id, coalesce(other, e.vec_id)) AS component_id,
+  least(e.vec_id, coalesce(other, e.vec_id)) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN found USING (vec_id) LEFT JOIN least USING (vec_id)"""
+
+ORACLE: dict[str, str] = {
+    "op11_centroid_clusters": _clusters(),
+    "op12_vector_codes": _codes(),
+    "op13_near_embeddings": _LINKS,
+}

@@ -7,7 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spinneret.llm import (
+    ball_codes,
+    centroid_clusters,
     decontaminate,
+    flat_graph,
     html_text,
     licences,
     line_dedup,
@@ -82,6 +85,21 @@ def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.score_documents(docs, quality_crf.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, distance and inertia of every vector."""
+    return centroid_clusters.centroid_clusters(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and quantisation error of every vector."""
+    return ball_codes.ball_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of links and near-duplicate group of every vector."""
+    return flat_graph.near_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -95,5 +113,8 @@ QUERIES = {
         op8_minhash,
         op9_line_dedup,
         op10_quality_crf,
+        op11_centroid_clusters,
+        op12_vector_codes,
+        op13_near_embeddings,
     )
 }
