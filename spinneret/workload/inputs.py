@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from spinneret.operators.results import page_rows
 from spinneret.operators.rollup import counters
 from spinneret.schemas import CRAWL_COLUMNS, CRAWL_STATUSES
-from spinneret.session import prepare
+from spinneret.session import fresh_path, prepare
 from spinneret.sources.store import is_folder
 
 SITES = 16
@@ -266,3 +266,25 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         return event_results(files.parquet(path))
     # a stream reads folders: take the one file out of its folder
     return event_results(files.option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+
+
+# Parts that the events arrive in, one after the other.
+ARRIVALS = 4
+
+
+def early_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results that are stored before the stream starts: every third event."""
+    return event_results(table(spark, sf_dir, "events").where(F.col("event_id") % 3 == 0))
+
+
+def arriving_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other events as a stream of files, one a micro-batch, in the order of their ids."""
+    events = table(spark, sf_dir, "events")
+    path = fresh_path(spark, "arrivals")
+    end = events.agg(F.max("event_id")).first()[0] or 0
+    part = F.floor(F.col("event_id") * ARRIVALS / (end + 1))
+    for number in range(ARRIVALS):  # files are streamed in the order of writing
+        late = events.where((F.col("event_id") % 3 != 0) & (part == number))
+        late.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return event_results(stream)

@@ -23,9 +23,10 @@ from spinneret.plans.crawl import run_crawls, totals_of
 from spinneret.schemas import CRAWLS
 from spinneret.session import fresh_path, written
 from spinneret.sources import export, store
+from spinneret.sources.page_table import PageTable
 from spinneret.sources.tables import read_pages
 from spinneret.streaming.counters import count_pages_live, latest_counters
-from spinneret.streaming.ingest import ingest_pages
+from spinneret.streaming.ingest import ingest_into, ingest_pages
 from spinneret.workload import inputs
 
 URL_CAP = 12
@@ -290,6 +291,37 @@ def stored_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_pages(spark, path).select(*_STORED)
 
 
+def _page_table(spark: SparkSession, rows: DataFrame) -> PageTable:
+    table = PageTable(spark, fresh_path(spark, "page-table"))
+    table.insert_new(rows)
+    return table
+
+
+def table_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawls deleted from a table, then folded in, then every page sent again."""
+    batch = _page_batch(spark, sf_dir)
+    table = _page_table(spark, batch.where(F.col("id") % 3 == 0))
+    table.delete(_requested_ids(spark, sf_dir))
+    table.insert_new(batch.withColumn("title", F.lit("late")))
+    table.compact()
+    return table.read().select(*_STORED)
+
+
+def table_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page and its crawl's neighbours looked up in the stored table, bodies included."""
+    page = (2 << 32) + 17
+    rows = _page_table(spark, _page_batch(spark, sf_dir)).read()
+    return listing.page_by_id(rows, page).select(*_STORED, F.length("html").alias("html_length"))
+
+
+def table_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of a crawl's listing, with bodies, from the last id of the first."""
+    table = _page_table(spark, _page_batch(spark, sf_dir))
+    first = table.list_after(1, limit=5)
+    second = table.list_after(1, first.agg(F.max("id")).first()[0], limit=7, with_html=True)
+    return second.select(*_STORED, F.md5("html").alias("html_md5"))
+
+
 # audits
 
 
@@ -363,6 +395,14 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_pages(spark, path).select("id", "crawl_id", "url", "status_code", "response_time_ms", "error")
 
 
+def stream_into_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results streamed file by file into a table that holds some already."""
+    table = _page_table(spark, written(inputs.early_events(spark, sf_dir), "early"))
+    stream = inputs.arriving_events(spark, sf_dir)
+    ingest_into(stream, table, fresh_path(spark, "arrivals-state")).awaitTermination()
+    return table.read().select("id", "crawl_id", "url", "status_code", "response_time_ms", "error")
+
+
 def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "stream-counters")
     stream = inputs.event_stream(spark, sf_dir)
@@ -406,6 +446,9 @@ QUERIES = {
         delete_cascade,
         stored_append,
         stored_delete,
+        table_delete,
+        table_page,
+        table_listing,
         bulk_append_audit,
         pages_with_crawl,
         constraint_audit,
@@ -413,6 +456,7 @@ QUERIES = {
         page_json_fields,
         crawl_json_fields,
         stream_ingest,
+        stream_into_table,
         stream_counters,
     )
 }

@@ -36,7 +36,7 @@ def test_entry(spark):
     assert registry.entry(spark).count() > 0
 
 
-TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "timestamp": "TIMESTAMP"}
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "timestamp": "TIMESTAMP", "boolean": "BOOLEAN", "double": "DOUBLE"}
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
