@@ -1,12 +1,13 @@
 """From websites to the ordered page URLs their sitemaps list.
 
-Every place a sitemap is reached at is a *visit* with a ``path``: the position of
-its root, then of each entry on the way. Arrays compare element by element, so
-the order of paths is the order of a depth-first walk.
+Every place a sitemap is reached at is a *visit* with a place: the position of its
+root, then of each entry on the way. Places compare position by position, so their
+order is the order of a depth-first walk.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 from typing import NamedTuple
 
@@ -18,17 +19,22 @@ from spinneret.functions.predicates import body_accepted
 from spinneret.functions.urls import on_host
 from spinneret.operators.joins import lookup, rows_per_task, without
 from spinneret.operators.ordering import first_per_key
+from spinneret.operators.places import places
 from spinneret.session import pinned_counted, written
 
 # The deepest level that is read, and where robots files are.
 MAX_DEPTH = 5
 ROBOTS_PATH = "/robots.txt"
 
+# Numbers of visits grow with the power of the depth.
+_TIMES = "decimal(38,0)"
+
 
 class Discovery(NamedTuple):
     urls: DataFrame  # crawl_id, url, path: each URL once, at its first place
-    errors: DataFrame  # crawl_id, sitemap_url, depth, error
+    errors: DataFrame  # crawl_id, sitemap_url, depth, error: one row per visit
     stats: DataFrame  # crawl_id, urls_found, sitemaps_found, errors
+    failures: DataFrame  # the errors with ``times``, one row for all alike
 
 
 def first_documents(documents: DataFrame) -> DataFrame:
@@ -113,49 +119,78 @@ def _places() -> Column:
     return F.arrays_zip(F.col("entries.pos"), F.col("entries.loc"))
 
 
-def _longest(documents: DataFrame, entries: str) -> int:
-    """The most entries that any document lists."""
-    return documents.agg(F.max(F.size(entries))).first()[0] or 0
+def _largest(parsed: DataFrame) -> tuple[int, int]:
+    """The most entries that a document lists, and the largest position of one."""
+    found = parsed.where(F.col("kind").isNotNull()).agg(
+        F.max(F.size("entries")).alias("n"), F.max(F.array_max("entries.pos")).alias("pos")
+    ).first()
+    return found["n"] or 0, found["pos"] or 0
 
 
 class Visits(NamedTuple):
-    rows: DataFrame  # crawl_id, sitemap_url, path, depth
+    """Sitemaps reached from the roots, one row for all visits of a crawl to a sitemap at
+    one depth: how many there are, and the place of the first."""
+
+    rows: DataFrame  # crawl_id, sitemap_url, depth, times, place
     count: int
     too_deep: DataFrame  # the same columns: one level past the deepest allowed
+    places: type  # how places are written
+    longest: int  # the most entries that a sitemap lists
 
 
 def visits(roots: DataFrame, parsed: DataFrame, max_depth: int = MAX_DEPTH) -> Visits:
     """Every sitemap reached from the roots.
 
-    Sitemaps already visited are visited again, so a loop ends by depth.
+    Sitemaps already visited are visited again, so a loop ends by depth. Visits are not
+    listed but counted: those of a level that share crawl and sitemap go on alike, as
+    often as they are, and of their places only the first can be the first of anything
+    below them. So a sitemap has at most one row for each depth, whatever loops.
     """
-    children = parsed.where(F.col("kind") == sitemaps.INDEX).select(
-        "sitemap_url", _places().alias("children")
+    longest, position = _largest(parsed)
+    roots, _ = pinned_counted(roots)
+    position = max(position, roots.agg(F.max(F.col("path")[0])).first()[0] or 0)
+    walk = places(position, max_depth + 2)
+    entries = parsed.where(F.col("kind") == sitemaps.INDEX).select("sitemap_url", F.inline(_places()))
+    # An index may list the same sitemap often.
+    listed = entries.groupBy("sitemap_url", "loc").agg(F.count(F.lit(1)).alias("often"), F.min("pos").alias("pos"))
+    children = written(
+        listed.groupBy("sitemap_url").agg(F.collect_list(F.struct("loc", "often", "pos")).alias("children")), "children"
     )
-    per_task = rows_per_task(_longest(children, "children"))
-    below, levels, total = roots.withColumn("depth", F.lit(0)), [], 0
+    fan_out = children.agg(F.max(F.size("children"))).first()[0] or 0
+
+    def merged(rows: DataFrame, depth: int) -> DataFrame:
+        return rows.groupBy("crawl_id", "sitemap_url").agg(
+            F.sum("times").cast(_TIMES).alias("times"), F.min("place").alias("place")
+        ).withColumn("depth", F.lit(depth))
+
+    start = walk.start(F.col("path")[0]).alias("place")
+    below = merged(roots.select("crawl_id", "sitemap_url", F.lit(1).cast(_TIMES).alias("times"), start), 0)
+    levels, total = [], 0
     for depth in range(max_depth + 1):
         level, size = pinned_counted(below)
         if size or not levels:
             levels.append(level)
         total += size
-        below = (
-            lookup(level, children, "sitemap_url", ["crawl_id", "path"], "inner", rows=size, per_task=per_task)
-            .select("crawl_id", "path", F.inline("children"))
+        below = merged(
+            lookup(
+                level, children, "sitemap_url", ["crawl_id"], "inner", rows=size, per_task=rows_per_task(fan_out)
+            )
+            .select("crawl_id", F.col("times").alias("_times"), F.col("place").alias("_place"), F.inline("children"))
             .select(
                 "crawl_id",
                 F.col("loc").alias("sitemap_url"),
-                F.concat("path", F.array("pos")).alias("path"),
-                F.lit(depth + 1).alias("depth"),
-            )
+                (F.col("_times") * F.col("often").cast("decimal(20,0)")).cast(_TIMES).alias("times"),
+                walk.below(F.col("_place"), F.lit(depth + 1), F.col("pos")).alias("place"),
+            ),
+            depth + 1,
         )
         if not size:
             break
-    return Visits(reduce(DataFrame.unionByName, levels), total, below)
+    return Visits(reduce(DataFrame.unionByName, levels), total, below, walk, longest)
 
 
 def visit_outcomes(visited: Visits, parsed: DataFrame) -> DataFrame:
-    """``crawl_id, sitemap_url, depth, kind, error`` per visit; kind or error is set."""
+    """``crawl_id, sitemap_url, depth, times, kind, error``; kind or error is set."""
     url = F.col("sitemap_url")
     known = parsed.select("sitemap_url", "kind", "error")
     reached = visited.rows.join(known, "sitemap_url", "left").withColumn(
@@ -166,40 +201,61 @@ def visit_outcomes(visited: Visits, parsed: DataFrame) -> DataFrame:
     )
     no_kind = F.lit(None).cast("string")
     stopped = visited.too_deep.withColumn("kind", no_kind).withColumn("error", messages.too_deep(url))
-    columns = ["crawl_id", "sitemap_url", "depth", "kind", "error"]
+    columns = ["crawl_id", "sitemap_url", "depth", "times", "kind", "error"]
     return reached.select(*columns).unionByName(stopped.select(*columns))
 
 
+def repeated(rows: DataFrame, times: str = "times", part: int = 10_000) -> DataFrame:
+    """Each row as often as its column ``times`` says, without that column.
+
+    In two steps, so that no row makes a longer array than ``part``.
+    """
+    whole = F.floor((F.col(times) - 1) / part).cast("long")
+    split = rows.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), whole)))
+    rest = F.least(F.lit(part).cast(_TIMES), F.col(times) - F.col("_part") * part).cast("int")
+    return split.withColumn("_copy", F.explode(F.sequence(F.lit(1), rest))).drop("_part", "_copy", times)
+
+
 def listed_urls(visited: Visits, parsed: DataFrame) -> DataFrame:
     """Each page URL of a crawl once, with the path it is first reached by."""
     pages = parsed.where(F.col("kind") == sitemaps.URLSET).select(
         "sitemap_url", _places().alias("listed")
     )
-    split = {"rows": visited.count, "per_task": rows_per_task(_longest(pages, "listed"))}
+    split = {"rows": visited.count, "per_task": rows_per_task(visited.longest)}
     every = (
-        lookup(visited.rows, pages, "sitemap_url", ["crawl_id", "path"], "inner", **split)
-        .select("crawl_id", "path", F.inline("listed"))
-        .select("crawl_id", F.col("loc").alias("url"), F.concat("path", F.array("pos")).alias("path"))
+        lookup(visited.rows, pages, "sitemap_url", ["crawl_id", "depth"], "inner", **split)
+        .select("crawl_id", "place", "depth", F.inline("listed"))
+        .select(
+            "crawl_id",
+            F.col("loc").alias("url"),
+            visited.places.below(F.col("place"), F.col("depth") + 1, F.col("pos")).alias("place"),
+        )
     )
-    return first_per_key(every, ["crawl_id", "url"], "path")
+    first = first_per_key(every, ["crawl_id", "url"], "place")
+    return first.select("crawl_id", "url", visited.places.path(F.col("place")).alias("path"))
 
 
 def discovery_stats(sites: DataFrame, outcomes: DataFrame, urls: DataFrame) -> DataFrame:
-    """``crawl_id, urls_found, sitemaps_found, errors`` for every site."""
-    none, one = F.lit(0), F.lit(1)
+    """``crawl_id, urls_found, sitemaps_found, errors`` for every site.
+
+    Counts of visits past the largest 64-bit number stay there.
+    """
+    none, one = F.lit(0).cast(_TIMES), F.lit(1).cast(_TIMES)
 
     def counted(rows: DataFrame, url, sitemap, error) -> DataFrame:
         return rows.select(
             "crawl_id", url.alias("urls_found"), sitemap.alias("sitemaps_found"), error.alias("errors")
         )
 
+    found, failed = (F.when(F.col(c).isNotNull(), F.col("times")).otherwise(none) for c in ("kind", "error"))
     parts = [
         counted(sites, none, none, none),
         counted(urls, one, none, none),
-        counted(outcomes, none, F.col("kind").isNotNull().cast("int"), F.col("error").isNotNull().cast("int")),
+        counted(outcomes, none, found, failed),
     ]
+    most = F.lit(Decimal(2**63 - 1)).cast(_TIMES)
     return reduce(DataFrame.unionByName, parts).groupBy("crawl_id").agg(
-        *[F.sum(c).alias(c) for c in ("urls_found", "sitemaps_found", "errors")]
+        *[F.least(F.sum(c), most).cast("long").alias(c) for c in ("urls_found", "sitemaps_found", "errors")]
     )
 
 
@@ -214,5 +270,5 @@ def discover(sites: DataFrame, documents: DataFrame, max_depth: int = MAX_DEPTH)
     visited = visits(sitemap_roots(sites, documents), parsed, max_depth)
     outcomes = visit_outcomes(visited, parsed)
     urls = listed_urls(visited, parsed)
-    errors = outcomes.where(F.col("error").isNotNull()).select("crawl_id", "sitemap_url", "depth", "error")
-    return Discovery(urls, errors, discovery_stats(sites, outcomes, urls))
+    failed = outcomes.where(F.col("error").isNotNull()).select("crawl_id", "sitemap_url", "depth", "error", "times")
+    return Discovery(urls, repeated(failed), discovery_stats(sites, outcomes, urls), failed)
