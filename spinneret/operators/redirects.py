@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spinneret.functions.messages import too_many_redirects
-from spinneret.session import pinned_counted
+from spinneret.session import pinned_counted, written, written_counted
 
 # The usual and the highest number of requests per URL.
 MAX_REDIRECTS = 5
@@ -54,21 +54,55 @@ def resolved(url: Column, location: Column) -> Column:
     )
 
 
-def redirect_chains(hops: DataFrame, limit: int) -> DataFrame:
-    """``url, target, steps`` for each redirecting URL of ``hops``.
+def known_hops(hops: DataFrame) -> DataFrame:
+    """``url, target``: where each redirecting URL of ``hops`` leads.
 
-    Each round joins the table with itself and doubles how far a row can see, so
-    few rounds do. A URL captured more than once counts once, with its first location
-    by ``capture_id`` where there is one, else the smallest. Locations are resolved
-    against their URL. ``steps`` is exact below ``limit``; at ``limit`` or more the
-    chain is too long (or a loop).
+    A URL captured more than once counts once, with its first location by
+    ``capture_id`` where there is one, else the smallest. Locations are resolved
+    against their URL.
     """
     if "capture_id" in hops.columns:
         first = F.min_by("location", F.when(F.col("location").isNotNull(), F.col("capture_id")))
     else:
         first = F.min("location")
     known = hops.groupBy("url").agg(first.alias("location")).where("location IS NOT NULL")
-    chains = known.select("url", resolved(F.col("url"), F.col("location")).alias("target"), F.lit(1).alias("steps"))
+    return known.select("url", resolved(F.col("url"), F.col("location")).alias("target"))
+
+
+def reached_hops(urls: DataFrame, hops: DataFrame, limit: int) -> DataFrame:
+    """``known_hops`` of only those URLs that ``urls (url)`` lead to in ``limit`` steps.
+
+    The frontier holds addresses, each once: a target that many URLs share is one row,
+    and a loop adds nothing, so rounds end when no new address is reached.
+    """
+    frontier = written(urls.select("url").where("url IS NOT NULL").distinct(), "reached")
+    seen, found = frontier, known_hops(hops.limit(0))
+    for _ in range(limit):
+        step, size = written_counted(known_hops(hops.join(frontier, "url", "left_semi")), "reached-hops")
+        if not size:
+            break
+        found = found.unionByName(step)
+        onward = step.select(F.col("target").alias("url")).distinct()
+        frontier, size = written_counted(onward.join(seen, "url", "left_anti"), "reached")
+        if not size:
+            break
+        seen = seen.unionByName(frontier)
+    return found
+
+
+def redirect_chains(hops: DataFrame, limit: int) -> DataFrame:
+    """``url, target, steps`` for each redirecting URL of ``hops``."""
+    return chains_of(known_hops(hops), limit)
+
+
+def chains_of(known: DataFrame, limit: int) -> DataFrame:
+    """``url, target, steps`` for each row of ``known (url, target)``.
+
+    Each round joins the table with itself and doubles how far a row can see, so
+    few rounds do. ``steps`` is exact below ``limit``; at ``limit`` or more the chain
+    is too long (or a loop).
+    """
+    chains = known.withColumn("steps", F.lit(1))
     reach = 1
     while reach < limit:
         chains, size = pinned_counted(chains)
@@ -86,14 +120,19 @@ def redirect_chains(hops: DataFrame, limit: int) -> DataFrame:
     return chains
 
 
-def resolve_redirects(urls: DataFrame, hops: DataFrame, max_redirects: int = MAX_REDIRECTS) -> DataFrame:
+def resolve_redirects(
+    urls: DataFrame, hops: DataFrame, max_redirects: int = MAX_REDIRECTS, only_reached: bool = False
+) -> DataFrame:
     """Add ``final_url, requests, redirect_error`` to rows with a ``url``.
 
     ``hops`` may repeat a URL; a null or absent location is an end. A URL that
     needs more than ``max_redirects`` requests has an error and no final URL.
+    ``only_reached`` leaves out hops that no row leads to: worth its extra rounds where
+    ``urls`` are few beside ``hops``. Give stored ``urls`` then: they are read twice.
     """
     limit = request_limit(max_redirects)
-    found = urls.join(redirect_chains(hops, limit), "url", "left")
+    known = reached_hops(urls, hops, limit) if only_reached else known_hops(hops)
+    found = urls.join(chains_of(known, limit), "url", "left")
     stopped = F.coalesce(F.col("steps") >= limit, F.lit(False))
     return (
         found.withColumn("final_url", F.when(~stopped, F.coalesce("target", "url")))

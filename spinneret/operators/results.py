@@ -13,14 +13,17 @@ from spinneret.functions.measures import byte_length, whole_millis
 from spinneret.functions.messages import NOT_CAPTURED, request_failed
 from spinneret.functions.predicates import counts_as_success, is_html
 from spinneret.functions.titles import html_title, plain_title
-from spinneret.operators.joins import BODIES_PER_SALT, hot_keys, lookup
+from spinneret.operators.joins import BODIES_PER_SALT, MAX_BROADCAST_ROWS, hot_keys, lookup
 from spinneret.operators.ordering import first_per_key
 from spinneret.operators.redirects import MAX_REDIRECTS, resolve_redirects
 from spinneret.schemas import PAGE_COLUMNS
+from spinneret.session import pinned_counted
 
 # Page ids are crawl_id * 2^32 + position: unique, and rising within a crawl,
 # without numbering the table.
 ID_SHIFT = 32
+# Larger ids have no room beside a position.
+MAX_CRAWL_ID = (1 << (63 - ID_SHIFT)) - 1
 
 _RESPONSE = ("status_code", "content_type", "body", "response_time_us")
 
@@ -64,7 +67,34 @@ def page_results(plan: DataFrame, captures: DataFrame, rows: int | None = None)
     hot_captures = first.join(hot_urls, "final_url").select("capture_id", "_parts")
     bodies = captures.select("capture_id", *_RESPONSE, F.col("error").alias("_fetch_error"))
     # Hash the narrow plan side, so that bodies stream by without a sort.
-    joined = lookup(placed, bodies, "capture_id", spread, hot=hot_captures, strategy="shuffle_hash", **split)
+    return _as_results(lookup(placed, bodies, "capture_id", spread, hot=hot_captures, strategy="shuffle_hash", **split))
+
+
+def stored_results(plan: DataFrame, captures: DataFrame) -> DataFrame:
+    """``page_results`` from captures that are laid out by URL and hold each URL once.
+
+    The plan is hashed as the captures are laid out, so their bodies are joined where
+    they lie. URLs that very many planned rows end at take the salted join, with only
+    the few bodies of these; rows without a final URL are not joined at all.
+    """
+    plan = _with_targets(plan)
+    bodies = captures.select(F.col("url").alias("final_url"), *_RESPONSE, F.col("error").alias("_fetch_error"))
+    hot, some = pinned_counted(hot_keys(plan, "final_url", BODIES_PER_SALT))
+    ends = plan.where(F.col("final_url").isNotNull())
+    hot_urls = F.broadcast(hot.select("final_url")) if some <= MAX_BROADCAST_ROWS else hot.select("final_url")
+    cold = ends.join(hot_urls, "final_url", "left_anti") if some else ends
+    # Hash the narrow plan side, so that bodies stream by without a sort.
+    joined = cold.hint("shuffle_hash").join(bodies, "final_url", "left")
+    if some:
+        few = bodies.join(hot_urls, "final_url", "left_semi")
+        busy = ends.join(hot_urls, "final_url", "left_semi")
+        split = {"hot": hot, "per_task": BODIES_PER_SALT, "strategy": "shuffle_hash"}
+        joined = joined.unionByName(lookup(busy, few, "final_url", ["crawl_id", "url"], **split))
+    lost = plan.where(F.col("final_url").isNull())
+    return _as_results(joined.unionByName(lost, allowMissingColumns=True))
+
+
+def _as_results(joined: DataFrame) -> DataFrame:
     return joined.withColumn("error", _result_error(F.col("_fetch_error"))).select(
         "crawl_id",
         "position",
@@ -102,14 +132,18 @@ def page_rows(results: DataFrame, now: Column | None = None) -> DataFrame:
     """Rows of the pages table, with ``position`` beside them.
 
     A failed fetch has an error and nothing else. Title and html are set only
-    for HTML responses, whatever their status.
+    for HTML responses, whatever their status. A crawl whose id leaves no room for page
+    ids is an error.
     """
     now = F.current_timestamp() if now is None else now
     fetched = F.col("error").isNull()
     body = F.col("body")
     # The body goes on only as html, so that it is carried once past the title parser.
+    crawl = F.col("crawl_id")
+    fits = F.coalesce(crawl.between(-MAX_CRAWL_ID - 1, MAX_CRAWL_ID), F.lit(True))
+    too_large = F.raise_error(F.concat(F.lit("no page ids for crawl "), crawl.cast("string"))).cast("long")
     rows = results.select(
-        (F.shiftleft(F.col("crawl_id"), ID_SHIFT) + F.col("position")).alias("id"),
+        F.when(fits, F.shiftleft(crawl, ID_SHIFT) + F.col("position")).otherwise(too_large).alias("id"),
         "crawl_id",
         "position",
         "url",

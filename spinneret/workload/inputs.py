@@ -288,3 +288,32 @@ def arriving_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         late.coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
     return event_results(stream)
+
+
+def run_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Redirects between page URLs: chains, some too long; relative locations; loops."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    page, url = F.col("page_id"), F.col("url")
+    following = pages.select((page - 1).alias("page_id"), url.alias("_next"))
+    own_path = F.regexp_replace(url, "^https?://[^/]*", "")
+    return (
+        pages.join(following, "page_id", "left")
+        .where((page % 10 == 7) | (page % 40).between(30, 37))
+        .select(
+            "url",
+            F.when(page % 50 == 27, own_path).when(page % 50 == 7, "moved").otherwise(F.col("_next")).alias("location"),
+        )
+    )
+
+
+def seed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a JSON file of seeds, some cut off, some of a wrong type, some incomplete."""
+    page, raw = F.col("seed_id"), F.regexp_replace("website_raw", '"', "'")
+    number, name = F.concat(F.lit('"seed_id":'), page.cast("string")), F.concat(F.lit('"website_raw":"'), raw, F.lit('"'))
+    return seeds(spark, sf_dir).select(
+        F.when(page % 9 == 4, F.concat(F.lit("{"), number, F.lit(","), F.substring(name, 1, 16)))
+        .when(page % 9 == 5, F.concat(F.lit("{"), name, F.lit("}")))
+        .when(page % 9 == 6, F.concat(F.lit('{"seed_id":"no '), page.cast("string"), F.lit('",'), name, F.lit("}")))
+        .otherwise(F.concat(F.lit("{"), number, F.lit(","), name, F.lit("}")))
+        .alias("value")
+    )

@@ -15,14 +15,15 @@ from spinneret.operators.discovery import sitemap_entries as entries_of
 from spinneret.operators.discovery import sitemap_roots as roots_of
 from spinneret.operators.ordering import numbered
 from spinneret.operators.redirects import resolve_redirects
-from spinneret.operators.results import fetch_outcomes, page_results, process_pages, with_success
+from spinneret.operators.results import fetch_outcomes, page_results, process_pages, stored_results, with_success
 from spinneret.operators.results import page_rows as rows_of
 from spinneret.operators.rollup import rollup
 from spinneret.operators.seeds import accepted_seeds, check_seeds, new_crawls, rejected_seeds, reused_crawls
-from spinneret.plans.crawl import run_crawls, totals_of
-from spinneret.schemas import CRAWLS
+from spinneret.plans.crawl import CrawlRun, run_crawls, totals_of
+from spinneret.schemas import SEEDS
 from spinneret.session import fresh_path, written
-from spinneret.sources import export, store
+from spinneret.sources import export, store, tables
+from spinneret.sources.captures import CaptureStore
 from spinneret.sources.page_table import PageTable
 from spinneret.sources.tables import read_pages
 from spinneret.streaming.counters import count_pages_live, latest_counters
@@ -146,21 +147,72 @@ def crawl_plan_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_crawls(inputs.sites(spark, sf_dir), _discovered(spark, sf_dir).urls, 0)
 
 
-def crawl_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole job, from seeds to finished crawls."""
+def _files(df: DataFrame, label: str, fmt: str = "parquet") -> str:
+    path = fresh_path(df.sparkSession, label)
+    df.write.format(fmt).save(path)
+    return path
+
+
+def _run(spark: SparkSession, sf_dir: str, stored: bool) -> CrawlRun:
+    """The whole job over files that the typed readers read.
+
+    Crawls in flight, redirect chains, relative locations and loops included.
+    """
     sites = inputs.sites(spark, sf_dir)
     seeds = sites.select(F.col("crawl_id").alias("seed_id"), F.col("website").alias("website_raw"))
-    none_yet = spark.createDataFrame([], CRAWLS)
-    hops = inputs.table(spark, sf_dir, "pages").select("url", F.lit(None).cast("string").alias("location"))
-    run = run_crawls(
-        seeds,
-        none_yet,
-        _documents(spark, sf_dir),
-        inputs.captures(spark, sf_dir),
-        hops,
+    captures = tables.read_captures(spark, _files(inputs.captures(spark, sf_dir), "captures"))
+    if stored:
+        kept = CaptureStore(spark, fresh_path(spark, "capture-store"), 8)
+        kept.append(captures)
+        captures = kept
+    return run_crawls(
+        tables.read_seeds(spark, _files(seeds, "seeds", "json"), "json"),
+        tables.read_crawls(spark, _files(inputs.crawls(spark, sf_dir), "crawls")),
+        tables.read_documents(spark, _files(inputs.documents(spark, sf_dir), "documents"), repeated=False),
+        captures,
+        tables.read_hops(spark, _files(inputs.run_hops(spark, sf_dir), "hops")),
         now=inputs.now(),
     )
-    return run.crawls
+
+
+def crawl_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The new crawls of the whole job, finished."""
+    return _run(spark, sf_dir, stored=False).crawls
+
+
+def crawl_run_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of the whole job, stored and read back, with digests of their bodies."""
+    rows = _page_table(spark, written(_run(spark, sf_dir, stored=True).pages, "run-pages")).read()
+    return rows.select(
+        "id", "crawl_id", "url", "status_code", "content_type", "title", F.md5("html").alias("html_md5"), "error"
+    )
+
+
+def stored_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page rows from captures that are stored by URL, in two batches; digests of bodies."""
+    captures = written(inputs.repeated_captures(spark, sf_dir), "captures")
+    kept = CaptureStore(spark, fresh_path(spark, "capture-store"), 8)
+    page = F.floor(F.col("capture_id") / 2)
+    for turn in (0, 1):  # of every third URL the later capture is sent again
+        again = (page % 3 == 0) & (F.col("capture_id") % 2 == 1)
+        kept.append(captures.where((page % 2 == turn) | (again if turn else F.lit(False))))
+    rows = rows_of(stored_results(inputs.plan(spark, sf_dir), kept.read()), inputs.now())
+    return rows.select(
+        "id", "crawl_id", "position", "url", "status_code", "content_type", "content_length", "title",
+        F.md5("html").alias("html_md5"), "error",
+    )
+
+
+def seed_file_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a JSON file of seeds holds besides seeds."""
+    path = _files(inputs.seed_lines(spark, sf_dir), "seed-lines", "text")
+    return tables.read_checked(spark, path, SEEDS, "json").rejects
+
+
+def seed_file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seeds that the file holds."""
+    path = _files(inputs.seed_lines(spark, sf_dir), "seed-lines", "text")
+    return tables.read_checked(spark, path, SEEDS, "json").rows
 
 
 def _requested_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -431,6 +483,10 @@ QUERIES = {
         crawl_plan,
         crawl_plan_uncapped,
         crawl_run,
+        crawl_run_pages,
+        stored_captures,
+        seed_file_rejects,
+        seed_file_rows,
         crawl_terminal,
         crawls_by_status,
         recent_crawls,
