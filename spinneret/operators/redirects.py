@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spinneret.functions.messages import too_many_redirects
-from spinneret.session import pinned_counted, written, written_counted
+from spinneret.session import pinned_counted, written_counted
 
 # The usual and the highest number of requests per URL.
 MAX_REDIRECTS = 5
@@ -73,20 +73,16 @@ def reached_hops(urls: DataFrame, hops: DataFrame, limit: int) -> DataFrame:
     """``known_hops`` of only those URLs that ``urls (url)`` lead to in ``limit`` steps.
 
     The frontier holds addresses, each once: a target that many URLs share is one row,
-    and a loop adds nothing, so rounds end when no new address is reached.
+    and an address whose hop is known is not asked for again, so loops end.
     """
-    frontier = written(urls.select("url").where("url IS NOT NULL").distinct(), "reached")
-    seen, found = frontier, known_hops(hops.limit(0))
+    frontier, found = urls.select("url").where("url IS NOT NULL").distinct(), known_hops(hops.limit(0))
     for _ in range(limit):
         step, size = written_counted(known_hops(hops.join(frontier, "url", "left_semi")), "reached-hops")
         if not size:
             break
         found = found.unionByName(step)
         onward = step.select(F.col("target").alias("url")).distinct()
-        frontier, size = written_counted(onward.join(seen, "url", "left_anti"), "reached")
-        if not size:
-            break
-        seen = seen.unionByName(frontier)
+        frontier = onward.join(found.select("url"), "url", "left_anti")
     return found
 
 
