@@ -17,8 +17,8 @@ from spinneret.session import fresh_path
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 
-# Words that a task remembers the hash of; a few hundred MB at most.
-_REMEMBERED = 500_000
+# Words that a task remembers the hash of, and their length; 100 MB at most.
+_REMEMBERED, _LONGEST = 500_000, 64
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -45,14 +45,16 @@ class WordHashes(dict):
     """64-bit hash of each word, remembered for a bounded number of words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= _REMEMBERED:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(self.normal(word))
+        found = self.hashed(word)
+        if len(word) <= _LONGEST:
+            if len(self) >= _REMEMBERED:
+                self.clear()
+            self[word] = found
         return found
 
     @staticmethod
-    def normal(word: bytes) -> bytes:
-        return word
+    def hashed(word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word)
 
     def of(self, found: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
