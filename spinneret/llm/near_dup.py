@@ -23,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spinneret.llm.common import WordHashes, bounded_batches, mixed, slices, text_of, texts
+from spinneret.llm.common import NOT_SPACE, WordHashes, bounded_batches, mixed, slices, text_of, texts
 from spinneret.session import written, written_counted
 
 # At a similarity of 0.8 a pair shares none of 32 bands of 5 with probability 3e-6.
@@ -102,7 +102,8 @@ class _Sets:
 
 
 def sketched(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, n, node, keys``: size and digest of each row's set, and its band keys.
+    """``doc_id, mark, n, node, keys``: digests of each row's text and of its set, the
+    set's size and its band keys.
 
     ``node`` and ``keys`` are null for texts without words.
     """
@@ -116,33 +117,41 @@ def sketched(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
             keys = iter(band_keys(sketches(full, bands * rows), bands, rows))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").cast(pa.int64()),
+                    batch.column("doc_id"),
+                    batch.column("mark"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n", "node", "keys"],
+                ["doc_id", "mark", "n", "node", "keys"],
             )
 
-    return docs.select("doc_id", text_of("text").alias("text")).mapInArrow(
-        sketch, "doc_id long, n long, node binary, keys array<long>"
-    )
+    return _marked(docs).mapInArrow(sketch, "doc_id long, mark binary, n long, node binary, keys array<long>")
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, mark``: rows with the digest of their text."""
+    text = text_of("`text`")
+    return docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), text.alias("text"), _mark(text).alias("mark"))
+
+
+def _mark(text: Column) -> Column:
+    return F.unhex(F.md5(text))
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """``node, set``: the full set of each of ``nodes`` (node, rep), from their texts."""
+    """``node, set``: the full set of each of ``nodes`` (node, place), from their texts."""
     bounded_batches(docs.sparkSession)
-    where = nodes.select(F.col("node").alias("_node"), F.col("rep").alias("_rep"))
-    named = docs.select("doc_id", text_of("text").alias("text"))
-    read = named.join(where, named["doc_id"].eqNullSafe(where["_rep"])).select("text", "_node")
+    where = nodes.select(F.col("node").alias("_node"), F.col("place.doc_id").alias("_id"), F.col("place.mark").alias("_mark"))
+    named = _marked(docs)
+    here = named["doc_id"].eqNullSafe(where["_id"]) & (named["mark"] == where["_mark"])
+    read = named.join(where, here).select("text", "_node")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = _Sets(k)
         for batch in slices(batches, 256):
             names = batch.column("_node").to_pylist()
-            found = [(node, s) for s, node in zip(map(maker.of, texts(batch)), names, strict=True)]
-            # Rows that share an id may hold other texts.
-            found = [(node, s.tobytes()) for node, s in found if _digest(s) == node]
+            found = [(node, s.tobytes()) for s, node in zip(map(maker.of, texts(batch)), names, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], ["node", "set"]
             )
@@ -257,9 +266,26 @@ def near_duplicates(
     ``component_id`` is null and all are kept. Other columns of ``docs`` are ignored,
     whatever their names. Empty tables give no rows.
     """
+    return (
+        _grouped(docs, k, percent, bands, rows)
+        .select(
+            "doc_id",
+            F.col("n").alias("n_shingles"),
+            F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        )
+        .withColumn("kept", F.col("component_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id")))
+    )
+
+
+def _grouped(docs: DataFrame, k: int, percent: int, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
+    """``doc_id, mark, n, node, label, component_id`` for every row of ``docs``; rows of a
+    group share ``label``, which is null for texts without words."""
     sketch = written(sketched(docs, k, bands, rows), "near-sketch")
     full = sketch.where("node IS NOT NULL")
-    nodes = written(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "near-nodes")
+    place = F.min(F.struct("doc_id", "mark")).alias("place")
+    nodes = written(
+        full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), place), "near-nodes"
+    )
     members = written(
         full.select("node", "n", F.explode("keys").alias("key")).groupBy("key", "node").agg(F.min("n").alias("n")),
         "near-members",
@@ -321,37 +347,44 @@ def near_duplicates(
             edges = found if edges is None else edges.union(found)
             labels = components(edges)
     if labels is None:
-        owner = nodes.select("node", F.col("rep").alias("component_id"))
+        owner = nodes.select("node", F.col("node").alias("label"), F.col("rep").alias("component_id"))
     else:
         placed = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         placed = written(placed.select("node", "label", "rep"), "near-placed")
         least = written(placed.groupBy("label").agg(F.min("rep").alias("component_id")), "near-least")
-        owner = placed.join(least, "label").select("node", "component_id")
+        owner = placed.join(least, "label").select("node", "label", "component_id")
     owner = written(owner, "near-owner")
-    return (
-        sketch.select("doc_id", "n", "node")
-        .join(owner, "node", "left")
-        .select(
-            "doc_id",
-            F.col("n").alias("n_shingles"),
-            F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        )
-        .withColumn("kept", F.col("component_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id")))
-    )
+    return sketch.select("doc_id", "mark", "n", "node").join(owner, "node", "left")
 
 
 def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
     """``docs``, all columns, with one row of each group of near-duplicates.
 
-    Of a group the row with the smallest id stays; of rows that repeat this id, the one
-    with the smallest text. Rows without an id in groups without any all stay.
+    Of a group the row with the smallest id stays, ids before none; of rows that share
+    this id, or of rows without one, that with the smallest digest of its text, and of
+    rows that share id and text one. Null texts and texts without words are in no group
+    and stay, but rows that share an id and such a text are one. Columns may have any
+    names; empty tables give no rows.
     """
-    found = near_duplicates(docs, k, percent)
-    ids = found.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept_id")).distinct()
-    names = docs.columns
-    kept = docs.join(ids, docs["doc_id"] == ids["_kept_id"]).withColumn(
-        "_turn", F.row_number().over(Window.partitionBy("_kept_id").orderBy("text"))
+    found = written(_grouped(docs, k, percent).select("doc_id", "mark", "label"), "near-found")
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark")
+    first = found.where("label IS NOT NULL").groupBy("label").agg(F.min(order).alias("first"))
+    first = written(first.select(F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark")), "near-first")
+    text = text_of("`text`")
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col("`doc_id`").cast("long").alias("id"), _mark(text).alias("mark"),
+        text.rlike(NOT_SPACE).alias("words"),
+    )
+
+    def those(of: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        return of.join(keys, of["id"].eqNullSafe(keys["_id"]) & (of["mark"] == keys["_mark"]), how)
+
+    kept = those(rows.where("words"), first, "left_semi").unionByName(rows.where("NOT words"))
+    repeats = found.where("label IS NOT NULL OR doc_id IS NOT NULL").groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("c"))
+    twins, some = written_counted(
+        repeats.where("c > 1").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")), "near-twins"
     )
-    nameless = found.where("kept AND doc_id IS NULL").limit(1).count()
-    kept = kept.where("_turn = 1").select(*names)
-    return kept.union(docs.where("doc_id IS NULL")) if nameless else kept
+    if some:
+        one = those(kept, twins, "left_semi").groupBy("id", "mark").agg(F.first("row").alias("row")).select("row")
+        kept = those(kept, twins, "left_anti").select("row").unionByName(one)
+    return kept.select("row.*")
