@@ -1,7 +1,7 @@
 """Mixing sources to target weights by weighted sampling without replacement.
 
 Every document gets an exponential key, -ln(u) / weight, with u from a hash of its id and
-a weight from its text's quality (Efraimidis and Spirakis: the smallest keys are a
+text and a weight from its text's quality (Efraimidis and Spirakis: the smallest keys are a
 weighted sample). A source takes whole epochs first; for the rest its documents are
 taken in the order of their keys until the words taken reach the budget.
 
@@ -39,7 +39,10 @@ def quality_weight(text: Column) -> Column:
 
 def _keyed(docs: DataFrame, seed: int, *carried: Column) -> DataFrame:
     """``doc_id, source, size``, the key ``_key`` and its place ``_at`` on the key line."""
-    named = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    # Rows that share an id, or have none, have keys of their own by their texts.
+    named = F.concat_ws(
+        ":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("_text").cast("string")
+    )
     u = (F.conv(F.substring(F.md5(named), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     places = 1 << (_BITS * _LEVELS)
     place = F.floor((1 - F.exp(-F.col("_key") * LEAST_WEIGHT)) * float(places))
@@ -160,7 +163,7 @@ def mix_counts(
     ``docs`` has ``doc_id, text, source``; other columns are ignored, whatever their
     names. Size is the number of words, 0 for null and empty texts. A null source is a
     source of its own, the last; null ids are one id below all others. Rows that agree
-    in source, id and size are taken alike. A source's taken words differ from its
+    in source, id and text are taken alike. A source's taken words differ from its
     target by at most half a document (or half of the words of such equal rows). A
     document taken in part of an epoch is taken whole. Empty tables give no rows.
     """
