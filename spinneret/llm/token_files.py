@@ -25,8 +25,9 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 128 << 10
 FILE_SCHEMA = "doc_id long, shard int, start_in_shard long, n_tokens long, ids array<int>"
 
-# Words whose ids a Python worker remembers, about 150 MB; others are encoded again.
-_REMEMBERED = 700_000
+# Words whose ids a Python worker remembers, and their length, about 200 MB at most;
+# others are encoded again.
+_REMEMBERED, _LONGEST = 700_000, 48
 # Words that show whether a vocabulary takes letters and the marks after them apart.
 _PROBES = (("thereof", ","), ("Nation", "."), ("WORD", "!!"), ("sevenfold", "?"), ("a", "..."))
 _MARKS = ".,;:!?"
@@ -37,7 +38,7 @@ class _Encoder(dict):
 
     A word is a run between spaces: no token spans white space, so a text's ids are those
     of its words. Where the vocabulary also takes letters and the punctuation after them
-    apart and ignores case, a word's letters are looked up without either.
+    apart and ignores case, the letters of an ASCII word are looked up without either.
     """
 
     def __init__(self, vocabulary: str):
@@ -59,17 +60,16 @@ class _Encoder(dict):
 
     def __missing__(self, word: str) -> bytes:
         core = word.rstrip(_MARKS)
-        if not self.plain or not core.isalpha():
+        # Other letters may become several when their case goes, marks among them.
+        if not (self.plain and core.isascii() and core.isalpha()):
             ids = self._ids(word)
         elif len(core) < len(word):
             ids = self[core] + self[word[len(core) :]]
-        elif not word.isascii():
-            ids = self._ids(word)
         elif word.islower():
             ids = self._bare(word)
         else:
             ids = self[word.lower()]
-        if len(self) < _REMEMBERED:
+        if len(self) < _REMEMBERED and len(word) <= _LONGEST:
             self[word] = ids
         return ids
 
