@@ -2,7 +2,7 @@
 
 DataFrame functions only. Positions follow from the texts between matches: a match
 starts after all the gaps and matches before it, so each text is split once and added up
-once, however many matches it has. All patterns take each character a bounded number of
+once, in blocks of matches. All patterns take each character a bounded number of
 times: possessive repeats, and look-behinds where a pattern could start inside a run.
 """
 
@@ -17,6 +17,8 @@ from spinneret.llm.common import text_of
 
 # Characters before and after a match that are read for context.
 CONTEXT = 40
+# Matches of a text that are worked through together.
+BLOCK = 512
 # What stands between the items of a list: no word but a short one.
 _LIST_GAP = r"^[^\p{L}]*+(?:\p{L}{1,3}+[^\p{L}]*+)?$"
 # Scores: what a pattern alone, a checksum, and a word nearby are worth.
@@ -153,6 +155,35 @@ def _gaps(kind: Kind, text: Column, matches: Column) -> Column:
     return F.when(F.size(matches) > 0, F.split(text, kind.pattern, -1))
 
 
+def _scanned(items: Column, start: Column, add) -> Column:
+    """The array ``all`` of the struct that ``add`` makes of ``start`` with item after item.
+
+    Appending to an array copies it, so each block of items has an array of its own, and
+    blocks are appended whole: the work stays in proportion to the items.
+    """
+
+    def bound(value: Column, use) -> Column:
+        # An array of one, so that the value is worked out once however often it is used.
+        return F.transform(F.array(value), use)[0]
+
+    def scan(every: Column) -> Column:
+        def block(state: Column, number: Column) -> Column:
+            own = F.aggregate(F.slice(every, number * BLOCK + 1, F.lit(BLOCK)), state["now"], add)
+            empty = F.slice(state["now"]["all"], 1, 0)
+            return bound(
+                own,
+                lambda done: F.struct(
+                    done.withField("all", empty).alias("now"), F.array_append(state["blocks"], done["all"]).alias("blocks")
+                ),
+            )
+
+        blocks = F.sequence(F.lit(0), F.floor((F.size(every) - 1) / BLOCK).cast("int"))
+        none = F.slice(F.array(start["all"]), 1, 0)
+        return F.aggregate(blocks, F.struct(start.alias("now"), none.alias("blocks")), block, lambda s: F.flatten(s["blocks"]))
+
+    return bound(items, scan)
+
+
 def _near(kind: Kind, gaps: Column, matches: Column, before: bool) -> Column:
     """For each match whether a word of the kind is near, on the side where its gap of ``gaps`` is.
 
@@ -175,22 +206,22 @@ def _near(kind: Kind, gaps: Column, matches: Column, before: bool) -> Column:
 
     behind = F.slice(F.concat(F.array(F.lit("")), matches), 1, F.size(matches))
     pairs = F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("gap"), behind.alias("behind"))
-    return F.aggregate(pairs, start, add, lambda state: state["all"])
+    return _scanned(pairs, start, add)
 
 
 def _placed(kind: Kind, gaps: Column, matches: Column) -> Column:
     """The valid matches: array of start, end, score; null where nothing matches."""
     span = "struct<start:int,end:int,found:string>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("spans"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("all"))
 
     def add(state: Column, pair: Column) -> Column:
         begin = state["at"] + F.length(pair["gap"])
         end = begin + F.length(pair["found"])
         one = F.struct(begin.alias("start"), end.alias("end"), pair["found"].alias("found"))
-        return F.struct(end.alias("at"), F.array_append(state["spans"], one).alias("spans"))
+        return F.struct(end.alias("at"), F.array_append(state["all"], one).alias("all"))
 
     pairs = F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("gap"), matches.alias("found"))
-    spans = F.aggregate(pairs, start, add, lambda state: state["spans"])
+    spans = _scanned(pairs, start, add)
     before = _near(kind, gaps, matches, True)
     after = F.reverse(_near(kind, F.reverse(gaps), F.reverse(matches), False))
     placed = F.transform(
