@@ -192,38 +192,37 @@ def dedup_lines(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     row with the smallest id (null first), then the smallest hash of its text, then the
     earliest in it, stays, but for what repeats an even earlier one: every line that is
     removed stays in an earlier place. Rows equal in id and text are treated alike. A null text
-    stays null and has one empty line, an empty one too. The names added must be new;
-    other columns may have any name.
+    stays null and has one empty line, an empty one too. Columns that have the names
+    added are an error; others may have any name.
     """
     gone = removable(docs, bits).groupBy("_id", "_th").agg(
         F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("_runs")
     )
-    gone = gone.select(F.col("_id").alias("_gone_id"), F.col("_th").alias("_gone_th"), "_runs")
-    th = F.xxhash64(text_of(docs["text"]))
-    both = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone_id"]) & (th == gone["_gone_th"]), "left")
-    lines = F.split(text_of(docs["text"]), "\n", -1)
+    taken = sorted({"n_lines", "n_removed", "removed"}.intersection(docs.columns))
+    if taken:
+        raise ValueError(f"columns of these names are added: {', '.join(taken)}")
+    text = text_of("`text`")
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col("`doc_id`").cast("long").alias("id"), F.xxhash64(text).alias("th"),
+        F.split(text, "\n", -1).alias("lines"),
+    )
+    both = rows.join(gone, rows["id"].eqNullSafe(gone["_id"]) & (rows["th"] == gone["_th"]), "left")
     runs = F.col("_runs")
     # Runs are in order and apart: what stays are the slices between them.
     between = F.transform(
         F.sequence(F.lit(0), F.size(runs)),
         lambda i: F.slice(
-            F.col("_lines"),
+            F.col("lines"),
             F.coalesce(F.get(runs, i - 1)["end"], F.lit(0)) + 1,
-            F.coalesce(F.get(runs, i)["begin"], F.size("_lines")) - F.coalesce(F.get(runs, i - 1)["end"], F.lit(0)),
+            F.coalesce(F.get(runs, i)["begin"], F.size("lines")) - F.coalesce(F.get(runs, i - 1)["end"], F.lit(0)),
         ),
     )
-    text = F.when(runs.isNull(), F.col("text")).otherwise(F.array_join(F.flatten(between), "\n"))
-    return (
-        both.withColumn("_lines", lines)
-        .withColumn("n_lines", F.size("_lines").cast("long"))
-        .withColumn(
-            "n_removed",
-            F.coalesce(F.aggregate(runs, F.lit(0), lambda n, r: n + r["end"] - r["begin"]), F.lit(0)).cast("long"),
-        )
-        .withColumn(
-            "removed",
-            F.coalesce(F.array_join(F.transform(runs, lambda r: F.concat_ws(":", r["begin"], r["end"])), ","), F.lit("")),
-        )
-        .withColumn("text", text)
-        .select(*docs.columns, "n_lines", "n_removed", "removed")
+    left = F.when(runs.isNull(), F.col("row")["text"]).otherwise(F.array_join(F.flatten(between), "\n"))
+    removed = F.aggregate(runs, F.lit(0), lambda n, r: n + r["end"] - r["begin"])
+    spans = F.array_join(F.transform(runs, lambda r: F.concat_ws(":", r["begin"], r["end"])), ",")
+    return both.select(
+        *[left.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns],
+        F.size("lines").cast("long").alias("n_lines"),
+        F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(spans, F.lit("")).alias("removed"),
     )
