@@ -457,3 +457,112 @@ def test_registered_without_oracle_are_named():
     import __spark_entry__ as entry
 
     assert {f"op{i}_" for i in range(1, 11)} == {re.match(r"op\d+_", x)[0] for x in entry.queries() if re.match(r"op\d+_", x)}
+
+
+# Rows without an id or with a repeated one, names of columns, long texts
+
+
+def test_near_duplicates_keep_every_text_once(spark):
+    a, b, c, d, e = (text(100 + i, 80) for i in range(5))
+    rows = [(7, a, 0), (None, a, 0), (None, a, 0), (None, b, 0), (None, b, 0), (9, c, 0), (9, d, 0), (9, d, 0), (None, e, 0)]
+    rows += [(5, " \n", 0), (5, " \n", 0), (None, None, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _turn int").selectExpr("*", "1 AS _kept_id", "2 AS row", "3 AS mark")
+    kept = near_dup.without_near_duplicates(df)
+    assert kept.columns == df.columns
+    got = collected(kept)
+    assert {(r["_turn"], r["_kept_id"], r["row"], r["mark"]) for r in got} == {(0, 1, 2, 3)}
+    words = sorted((r["text"] for r in got if r["text"] and r["text"].strip()))
+    assert words == sorted([a, b, c, d, e])
+    assert {r["doc_id"] for r in got if r["text"] in (a, c, d)} == {7, 9}
+    assert len(got) == 5 + 2
+
+
+def test_sets_of_rows_without_an_id_are_read_once(spark):
+    rows = [(None, text(i, 40)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sketch = near_dup.sketched(df, 2, 32, 5)
+    nodes = sketch.groupBy("node").agg(near_dup.F.min(near_dup.F.struct("doc_id", "mark")).alias("place"))
+    assert near_dup._full_sets(df, nodes, 2).count() == 60
+    joined = near_dup._marked(df).alias("d").join(
+        nodes.select("place.*").alias("p"), near_dup.F.expr("d.doc_id <=> p.doc_id AND d.mark = p.mark")
+    )
+    assert joined.count() == 60
+
+
+def test_mixing_rows_without_an_id(spark):
+    rows = [(None, text(i, 40), "a") for i in range(100)] + [(i, text(500 + i, 40), "b") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = collected(mixing.mix_counts(df))
+    for source in ("a", "b"):
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 40
+
+
+def test_token_ids_equal_the_library_on_odd_words(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    with open(path) as f:
+        encoder = token_files._Encoder(f.read())
+    pick = random.Random(8)
+    letters = ["İ", "ı", "ß", "Å", "É", "é", "é", "中", "ﬁ", "K", "a", "B", "z", "٣", "ǅ", "ς", "🙂", " ", " ", "\x00"]
+    marks = [",", ".", "!?", ";:", "'", "-", "́", "...", "\"", ""]
+    texts = ["İ,", "İ!?", "İ.", "x" * 5000, "中" * 3000 + ","]
+    for _ in range(4000):
+        words = ["".join(pick.choice(letters) for _ in range(pick.randrange(1, 5))) + pick.choice(marks) for _ in range(3)]
+        texts.append(pick.choice([" ", "\n", "\t ", "  "]).join(words))
+    for x in texts:
+        want = np.array(library.encode(x, add_special_tokens=False).ids, "<i4").tobytes()
+        assert encoder.encode(x) == want, x
+    assert max(map(len, encoder)) <= token_files._LONGEST
+
+
+def test_pii_in_texts_of_many_matches(docs):
+    pick = random.Random(4)
+    parts = [pick.choice(["10.0.0.1", "a@b.co", "12", "4111 1111 1111 1111", "+44 20 7946 0018", "word", "é"]) for _ in range(3000)]
+    long = ", ".join(parts)
+    (row,) = collected(pii.find_pii(docs([(1, long, "a")])))
+    for kind, found in (("email", "a@b.co"), ("ip", "10.0.0.1")):
+        want, at = [], 0
+        while (at := long.find(found, at)) >= 0:
+            want.append((at, at + len(found)))
+            at += len(found)
+        assert [(s["start"], s["end"]) for s in row[kind]] == want
+
+
+def test_line_dedup_keeps_columns_and_refuses_its_own_names(spark):
+    df = spark.createDataFrame([(1, "a\nb", 5)], "doc_id long, text string, _lines int").selectExpr("*", "7 AS row", "8 AS id", "9 AS th")
+    (row,) = collected(line_dedup.dedup_lines(df))
+    assert (row["_lines"], row["row"], row["id"], row["th"], row["text"], row["n_lines"]) == (5, 7, 8, 9, "a\nb", 2)
+    with pytest.raises(ValueError, match="n_lines"):
+        line_dedup.dedup_lines(df.withColumnRenamed("_lines", "n_lines"))
+
+
+def test_word_hashes_hold_a_bounded_number_of_words(monkeypatch):
+    from spinneret.llm import common
+
+    monkeypatch.setattr(common, "_REMEMBERED", 100)
+    words = decontaminate._Words()
+    words.of([b"-" * (i % 60 + 1) + b"%d" % (i % 7) * (i % 2) for i in range(5000)])
+    words.of([b"x" * 1000, b"-" * 1000, *[("é%d" % i).encode() for i in range(300)]])
+    assert len(words) <= 100 and max(map(len, words)) <= 64
+    for word in (b"It's", b"--", b"A1b2", "Straße,".encode(), b"...", b"\xff\xfe"):
+        want = "".join(filter(str.isalnum, word.decode("utf-8", "replace").casefold())).encode()
+        assert words[word] == (common.xxhash.xxh3_64_intdigest(want) if want else 0)
+
+
+def test_latent_space_is_orthonormal_and_spans_the_leading_directions(spark):
+    pick = np.random.default_rng(3)
+    topics = pick.integers(0, 2**63, (6, 40)).astype(np.uint64)
+    rows = [(topics[i % 6][pick.integers(0, 40, 30)].tobytes(), 1.0) for i in range(300)]
+    sample = spark.createDataFrame([(bytearray(w), x) for w, x in rows], "words binary, weight double")
+    space = decontaminate.latent_space(sample, np.ones(decontaminate._FEATURES), rank=6, extra=4)
+    assert np.allclose(space.T @ space, np.eye(6), atol=1e-3)
+    row, feature, value = decontaminate._weighted([np.frombuffer(bytes(w), np.uint64) for w, _ in rows], np.ones(decontaminate._FEATURES))
+    used = np.unique(feature)
+    full = np.zeros((300, len(used)))
+    full[row, np.searchsorted(used, feature)] = value
+    best = np.linalg.svd(full)[1][:6]
+    held = np.linalg.svd(full @ space[used])[1]
+    assert (held >= 0.98 * best).all()
