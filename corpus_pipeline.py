@@ -1,4 +1,8 @@
-"""From raw documents to token files: five stages, each over all that the one before kept."""
+"""From raw documents to token files: five stages, each over all that the one before kept.
+
+All stages take documents as they come: null and empty texts, null and repeated ids,
+repeated rows and further columns of any names, and empty tables, which give empty ones.
+"""
 
 from __future__ import annotations
 
@@ -17,29 +21,45 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
+    """Documents that the classifier does not reject.
+
+    Null and empty texts have a score as well; a document at the threshold stays; each
+    of repeated rows is judged alike.
+    """
     model = quality_crf.train(docs, _table(spark, sf_dir, "labels"))
-    scored = quality_crf.with_quality(docs, model)
-    return scored.where(scored["_score"] >= quality_crf.THRESHOLD).select(*docs.columns)
+    score = "_".join(["score", *docs.columns])  # a name that no column has
+    scored = quality_crf.with_quality(docs, model, score)
+    return scored.where(scored[score] >= quality_crf.THRESHOLD).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, by shingles of five words."""
+    """One document of each group of near-duplicates, by shingles of five words.
+
+    That with the smallest id stays, then with the smallest digest of its text; texts
+    without words are in no group.
+    """
     return near_dup.without_near_duplicates(docs, SHINGLE)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no benchmark item leaks into."""
+    """Documents that no benchmark item leaks into; null and empty texts stay."""
     return decontaminate.without_leaks(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: every document as often as its source's target takes it."""
+    """The mix: every document as often as its source's target takes it.
+
+    Documents without words have no size and come as often as their source's epochs and
+    its cut say; rows equal in source, id and text are taken alike.
+    """
     return mixing.mix(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place and digest of every document in the token files, read back from them."""
+    """Place and digest of every document in the token files, read back from them.
+
+    Null and empty texts have the end id alone; rows without an id come first.
+    """
     return token_files.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
