@@ -17,8 +17,8 @@ from spinneret.session import fresh_path
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 
-# Words that a task remembers the hash of, and their length; 100 MB at most.
-_REMEMBERED, _LONGEST = 500_000, 64
+# Words that a task remembers the hash of, and their length; 60 MB at most.
+_REMEMBERED, _LONGEST = 300_000, 64
 
 
 def bounded_batches(spark: SparkSession) -> None:
