@@ -25,9 +25,9 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 128 << 10
 FILE_SCHEMA = "doc_id long, shard int, start_in_shard long, n_tokens long, ids array<int>"
 
-# Words whose ids a Python worker remembers, and their length, about 200 MB at most;
+# Words whose ids a Python worker remembers, and their length, about 120 MB at most;
 # others are encoded again.
-_REMEMBERED, _LONGEST = 700_000, 48
+_REMEMBERED, _LONGEST = 400_000, 48
 # Words that show whether a vocabulary takes letters and the marks after them apart.
 _PROBES = (("thereof", ","), ("Nation", "."), ("WORD", "!!"), ("sevenfold", "?"), ("a", "..."))
 _MARKS = ".,;:!?"
