@@ -13,8 +13,9 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spinneret.functions import messages, sitemaps
+from spinneret.functions import encodings, messages, sitemaps
 from spinneret.functions.predicates import body_accepted
 from spinneret.functions.urls import on_host
 from spinneret.operators.joins import lookup, rows_per_task, without
@@ -56,9 +57,10 @@ def sitemap_roots(sites: DataFrame, documents: DataFrame) -> DataFrame:
     The sitemaps robots.txt declares, else the two common addresses. A declared
     sitemap rules the common ones out even if it turns out to be broken.
     """
-    readable = F.col("url").endswith(ROBOTS_PATH) & body_accepted(F.col("status_code"), F.col("body"))
+    body = F.col("body").cast("string")
+    readable = F.col("url").endswith(ROBOTS_PATH) & body_accepted(F.col("status_code"), body)
     robots = documents.where(readable).select(
-        F.col("url").alias("robots_url"), sitemaps.declared_sitemaps(F.col("body")).alias("declared")
+        F.col("url").alias("robots_url"), sitemaps.declared_sitemaps(body).alias("declared")
     )
     asked = sites.withColumn("robots_url", on_host(F.col("website"), ROBOTS_PATH))
     guessed = F.array(*[on_host(F.col("website"), path) for path in sitemaps.COMMON_PATHS])
@@ -70,31 +72,57 @@ def sitemap_roots(sites: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
-def parse_sitemaps(documents: DataFrame) -> DataFrame:
+def parse_sitemaps(documents: DataFrame, decode: bool = False) -> DataFrame:
     """``sitemap_url, kind, entries, error``: one row per captured document.
 
-    Documents that were refused or do not parse have an error and no kind.
+    Documents that were refused or do not parse have an error and no kind. ``body`` is a
+    string or the bytes as they came. A document that declares another encoding than
+    UTF-8, or bytes that are not in it, cannot be read. With ``decode``, bytes are read in
+    the encoding that they declare, if it is known, and strings are taken as decoded.
     """
-    url, status, body = F.col("url"), F.col("status_code"), F.col("body")
+    url, status = F.col("url"), F.col("status_code")
+    raw = isinstance(documents.schema["body"].dataType, T.BinaryType)
+    bytes_ = F.col("body")
+    documents = documents.select(
+        "url",
+        "status_code",
+        (encodings.foreign_encoding(bytes_, raw) if raw or not decode else F.lit(None).cast("string")).alias("encoding"),
+        encodings.foreign_version(bytes_).alias("version"),
+        (encodings.valid_text(bytes_) if raw else F.lit(True)).alias("valid"),
+        "body",
+    )
+    if decode and raw:
+        # Bytes in another encoding: null text if they cannot be read.
+        text = encodings.decoded(F.col("body"), F.col("encoding"))
+        documents = documents.withColumn("body", text).withColumn(
+            "valid", F.col("valid") | F.col("encoding").isNotNull()
+        ).withColumn("encoding", F.when(F.col("body").isNull(), F.col("encoding")))
+    body = F.col("body").cast("string")
+    unread = F.when(
+        F.col("encoding").isNotNull(), F.concat(F.lit('encoding "'), "encoding", F.lit('" is not read'))
+    ).when(F.col("version").isNotNull(), F.concat(F.lit('version "'), "version", F.lit('" is not read')))
     read = (
-        documents.withColumn("ok", body_accepted(status, body))
-        .withColumn("root", F.when(F.col("ok"), sitemaps.root_name(body)))
+        documents.withColumn("unread", unread)
+        .withColumn("ok", body_accepted(status, F.when(F.col("unread").isNull(), body).otherwise("unread")))
+        .withColumn("root", F.when(F.col("ok") & F.col("unread").isNull(), sitemaps.root_name(body)))
         .withColumn("kind", sitemaps.sitemap_kind(F.col("root")))
         # robots files and error pages are not worth an XML parse
-        .withColumn("record", F.when(F.col("kind") != sitemaps.UNKNOWN, sitemaps.xml_record(body)))
+        .withColumn("record", F.when((F.col("kind") != sitemaps.UNKNOWN) & F.col("valid"), sitemaps.xml_record(body)))
     )
     reason = (
-        F.when(F.col("root") == "", "detecting sitemap type: no root element")
+        F.when(F.col("unread").isNotNull(), F.concat(F.lit("detecting sitemap type: "), "unread"))
+        .when(F.col("root") == "", "detecting sitemap type: no root element")
         .when(
             F.col("kind") == sitemaps.UNKNOWN,
             F.concat(F.lit("detecting sitemap type: unexpected root element <"), "root", F.lit(">")),
         )
         .when(
-            F.col("record._bad").isNotNull(),
+            ~F.col("valid") | F.col("record._bad").isNotNull(),
             F.concat(
                 F.lit("parsing "),
                 F.when(F.col("kind") == sitemaps.INDEX, "siteindex").otherwise("urlset"),
-                F.lit(" xml: malformed document"),
+                F.lit(" xml: "),
+                F.when(F.col("valid"), "malformed document").otherwise("invalid UTF-8"),
             ),
         )
     )
@@ -259,14 +287,17 @@ def discovery_stats(sites: DataFrame, outcomes: DataFrame, urls: DataFrame) -> D
     )
 
 
-def discover(sites: DataFrame, documents: DataFrame, max_depth: int = MAX_DEPTH) -> Discovery:
+def discover(
+    sites: DataFrame, documents: DataFrame, max_depth: int = MAX_DEPTH, decode: bool = False
+) -> Discovery:
     """Expand the sitemaps of all ``sites (crawl_id, website)`` at once.
 
-    ``documents`` may hold an address more than once if it has ``capture_id``.
+    ``documents`` may hold an address more than once if it has ``capture_id``. Bodies
+    and ``decode`` are as in ``parse_sitemaps``.
     """
     documents = first_documents(documents)
     # by kind, so that following an index does not read the URL lists
-    parsed = written(parse_sitemaps(documents), "sitemaps", partition_by="kind")
+    parsed = written(parse_sitemaps(documents, decode), "sitemaps", partition_by="kind")
     visited = visits(sitemap_roots(sites, documents), parsed, max_depth)
     outcomes = visit_outcomes(visited, parsed)
     urls = listed_urls(visited, parsed)

@@ -42,18 +42,19 @@ def run_crawls(
     max_depth: int = MAX_DEPTH,
     max_redirects: int = MAX_REDIRECTS,
     now: Column | None = None,
+    decode: bool = False,
 ) -> CrawlRun:
     """Start a crawl for every new website and compute what it finds.
 
     ``captures`` may be a store of captures by URL: their bodies are then joined where
     they lie. ``now`` is one point in time for all rows. New crawls and the plan, with its
     redirects followed, are written to the shared folder, since several later steps
-    read them.
+    read them. With ``decode``, sitemaps kept as bytes are read in the encoding they declare.
     """
     prepare(seeds.sparkSession)
     started = written(new_crawls(accepted_seeds(seeds), crawls, now), "crawls")
     sites = started.select(F.col("id").alias("crawl_id"), "website")
-    found = discover(sites, documents, max_depth)
+    found = discover(sites, documents, max_depth, decode)
     plan = written(crawl_plan(sites, found.urls, max_pages), "plan")
     resolved = resolve_redirects(plan, hops, max_redirects, only_reached=True)
     targets, size = written_counted(resolved.drop("requests"), "targets")

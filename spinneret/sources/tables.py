@@ -39,13 +39,16 @@ def read_captures(spark: SparkSession, path: str, fmt: str = "parquet", **option
 
 
 def read_documents(
-    spark: SparkSession, path: str, fmt: str = "parquet", repeated: bool = True, **options
+    spark: SparkSession, path: str, fmt: str = "parquet", repeated: bool = True, raw: bool = False, **options
 ) -> DataFrame:
     """Captured robots.txt and sitemap bodies, with the ``capture_id`` that orders repeats.
 
-    ``repeated=False`` is for tables that hold each body once and have no such column.
+    ``repeated=False`` is for tables that hold each body once and have no such column,
+    ``raw`` for those that hold bodies as bytes, in whatever encoding they came.
     """
     schema = _REPEATED_DOCUMENTS if repeated else schemas.DOCUMENTS
+    if raw:
+        schema = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == "body" else f for f in schema.fields])
     return _read(spark, path, schema, fmt, options)
 
 

@@ -317,3 +317,27 @@ def seed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("{"), number, F.lit(","), name, F.lit("}")))
         .alias("value")
     )
+
+
+def charset_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sitemap for each page, as bytes in one of several encodings, some not as declared."""
+    page = F.col("page_id")
+    kind = page % 8
+    declared = {0: "", 1: "UTF-8", 2: "ISO-8859-1", 3: "UTF-16", 4: "windows-1252", 5: "utf-8", 6: "UTF-8", 7: "x-unknown"}
+    head = F.lit("")
+    for k, name in declared.items():
+        if name:
+            head = F.when(kind == k, f'<?xml version="1.0" encoding="{name}"?>').otherwise(head)
+    address = F.concat(F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("#\u00e9"))
+    text = F.concat(head, F.lit("<urlset><url><loc>"), address, F.lit("</loc></url></urlset>"))
+    body = (
+        F.when(kind.isin(2, 4, 5), F.encode(text, "ISO-8859-1"))
+        .when(kind == 3, F.encode(text, "UTF-16"))
+        .when(kind == 6, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8")))
+        .otherwise(F.encode(text, "UTF-8"))
+    )
+    return table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("https://c.test/"), page.cast("string"), F.lit(".xml")).alias("url"),
+        F.lit(200).alias("status_code"),
+        body.alias("body"),
+    )

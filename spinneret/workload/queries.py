@@ -119,6 +119,18 @@ def sitemap_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("sitemap_url", "kind", "pos", "loc")
 
 
+def sitemap_charsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sitemaps in several encodings: read as UTF-8 only, and decoded as they declare."""
+    documents = inputs.charset_documents(spark, sf_dir)
+
+    def read(decode: bool, how: str) -> DataFrame:
+        return parse_sitemaps(documents, decode).select(
+            "sitemap_url", F.lit(how).alias("how"), "kind", F.explode_outer("entries.loc").alias("loc"), "error"
+        )
+
+    return read(False, "as it is").unionByName(read(True, "decoded"))
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(inputs.documents(spark, sf_dir), "documents")
 
@@ -462,6 +474,14 @@ def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_counters(spark, path)
 
 
+def stream_counters_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters after several micro-batches: a snapshot of three, and what came since."""
+    path = fresh_path(spark, "folded-counters")
+    stream = inputs.arriving_events(spark, sf_dir)
+    count_pages_live(stream, path, fresh_path(spark, "folded-counters-state"), fold_every=3).awaitTermination()
+    return latest_counters(spark, path)
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -477,6 +497,7 @@ QUERIES = {
         seed_dedup,
         sitemap_roots,
         sitemap_entries,
+        sitemap_charsets,
         sitemap_urls,
         sitemap_errors,
         discovery_stats,
@@ -514,5 +535,6 @@ QUERIES = {
         stream_ingest,
         stream_into_table,
         stream_counters,
+        stream_counters_folded,
     )
 }

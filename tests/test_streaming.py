@@ -10,7 +10,8 @@ from conftest import TESTDATA
 from spinneret.operators.rollup import rollup
 from spinneret.schemas import PAGES
 from spinneret.sources.tables import read_pages
-from spinneret.streaming.counters import count_pages_live, latest_counters
+from spinneret.sources import files
+from spinneret.streaming.counters import count_pages_live, fold, folded_to, latest_counters
 from spinneret.streaming.ingest import ingest_pages
 from spinneret.workload import inputs
 from spinneret.workload.queries import QUERIES
@@ -77,6 +78,44 @@ def test_counters_end_like_the_rollup(spark, tmp_path, arrivals):
     counted = str(tmp_path / "counters")
     query = count_pages_live(stream(spark, path), counted, str(tmp_path / "state"))
     query.awaitTermination()
-    assert len(os.listdir(counted)) == 5  # one folder per micro-batch
+    assert len(os.listdir(f"{counted}/updates")) == 5  # one folder per micro-batch
     batch = {tuple(r) for r in rollup(spark.read.schema(PAGES).parquet(path)).collect()}
     assert {tuple(r) for r in latest_counters(spark, counted).collect()} == batch
+
+
+def test_folded_counters_cost_one_row_a_crawl(spark, tmp_path, arrivals):
+    path, _ = arrivals
+    counted, state = str(tmp_path / "counters"), str(tmp_path / "state")
+    want = {tuple(r) for r in rollup(spark.read.schema(PAGES).parquet(path)).collect()}
+    count_pages_live(stream(spark, path), counted, state, fold_every=1).awaitTermination()
+    assert folded_to(spark, counted) == 4
+    latest = latest_counters(spark, counted)
+    assert "Exchange" not in latest._jdf.queryExecution().executedPlan().toString()
+    stored = spark.read.parquet(f"{counted}/snapshots/4")
+    assert stored.count() == stored.select("crawl_id").distinct().count() == len(want)
+    assert {tuple(r) for r in latest.collect()} == want
+    # What the snapshot before the last does not need is gone; a reader of it still reads.
+    assert sorted(os.listdir(f"{counted}/snapshots")) == ["3", "4"]
+    assert {x for x in os.listdir(f"{counted}/updates") if x.startswith("batch")} == {"batch_id=4"}
+    # Batches that were counted by a snapshot are not counted again when they are replayed.
+    spark.read.parquet(f"{counted}/snapshots/3").write.mode("overwrite").parquet(f"{counted}/updates/batch_id=2")
+    assert {tuple(r) for r in latest_counters(spark, counted).collect()} == want
+
+
+def test_counters_between_folds(spark, tmp_path, arrivals):
+    path, _ = arrivals
+    counted = str(tmp_path / "counters")
+    count_pages_live(stream(spark, path), counted, str(tmp_path / "state"), fold_every=3).awaitTermination()
+    assert folded_to(spark, counted) == 2  # batches 3 and 4 came since
+    want = {tuple(r) for r in rollup(spark.read.schema(PAGES).parquet(path)).collect()}
+    assert {tuple(r) for r in latest_counters(spark, counted).collect()} == want
+    # A fold that failed before it was published is written again.
+    spark.range(1).write.parquet(f"{counted}/snapshots/4")
+    assert {tuple(r) for r in latest_counters(spark, counted).collect()} == want
+    fold(spark, counted, 4)
+    assert {tuple(r) for r in latest_counters(spark, counted).collect()} == want
+
+
+def test_counters_of_nothing(spark, tmp_path):
+    assert latest_counters(spark, str(tmp_path / "nothing")).count() == 0
+    assert files.names(spark, str(tmp_path / "nothing")) == []
