@@ -4,15 +4,17 @@ The DOMs of a host are merged: a style node is the path of element names and cla
 from the root. Over the host's pages, each node has a presentation (the kinds of its
 children) and a content (its own text). A node whose presentations and contents are the
 same on page after page has low entropy and is taken as part of the site, not of the
-page. Pages equal in all contents count once. Of a node of low importance only contents
-that repeat on different pages are cut, so that one page's own text stays.
-
-Two things entropy cannot show are stated instead. Elements that say what they are
-(``nav``, ``footer``, a class ``ad``...) have no importance, however often their text
-changes. Paragraphs and headings of an ``article`` or ``main`` keep theirs, since copies
-of an article repeat it. A class word counts whole: all its parts must be listed words or
-neutral ones, and none a negation. Where no ``article`` or ``main`` stands elsewhere, neither
-a name nor a form around one cuts it.
+page. Pages equal in all contents of their article count once. Of a node of low importance
+only contents that repeat on different pages are cut, so that one page's own text stays.
+
+What entropy cannot show is stated as an importance beforehand. Elements that say what they
+are (``nav``, ``footer``, a class ``ad``...) have none, however often their text changes.
+Headings of an ``article`` or ``main`` have all, and its text blocks the more the longer
+their texts are, since near copies of an article repeat them; a short line that stands in
+article after article is the site's. A class word counts whole: all its parts must be listed
+words or neutral ones, and none a negation. Where no ``article`` or ``main`` stands elsewhere,
+neither a name nor a form around one cuts it. A ``main`` whose own paragraphs stand beside
+its articles is the article itself, and they are parts of it.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ MIN_PAGES = 5
 LOW = 0.2
 # How much of a node's importance is that of its presentation.
 OWN_SHARE = 0.1
+# Words of a text block in an article that make it important whatever repeats it; fewer in proportion.
+LONG_BLOCK = 50
 
 # Hosts whose low nodes are broadcast, and nodes in all; more are joined by a shuffle.
 _BROADCAST_NODES = 200_000
@@ -81,6 +85,8 @@ _NEUTRAL_WORDS = frozenset(
     "tertiary text title to top unit view wrap wrapper zone".split()
 )
 _NEGATIONS = frozenset("no not non without with has have".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_PARAGRAPHS = frozenset("p h1 blockquote pre".split())
 _TEXT_ROOTS = frozenset(("html", "body", "article", "main"))
 
 
@@ -251,48 +257,71 @@ def _walk(root: Node) -> Iterator[Node]:
         waiting += [x for x in node.parts if isinstance(x, Node) and not x.other]
 
 
-def style_nodes(root: Node) -> list[tuple[int, int, int]]:
-    """For each path of a page that could be cut: path, presentation, content.
+def style_nodes(root: Node) -> list[tuple[int, int, int, int]]:
+    """For each path of a page that could be cut: path, presentation, content, and how many
+    words speak for its importance beforehand.
 
     Contents of different paths differ.
     """
     kinds: dict[int, list] = {}
     for parent in _walk(root):
         for node in parent.parts:
-            if isinstance(node, Node) and not node.other and not (node.main and node.name in _TEXT_BLOCKS | _MAIN):
-                if node.name in ("html", "body"):
-                    continue
+            if isinstance(node, Node) and not node.other and node.name not in ("html", "body"):
                 children = [x.key for x in node.parts if isinstance(x, Node)]
                 # How often a kind of child follows itself is not part of a presentation.
                 shape = [k for i, k in enumerate(children) if not i or children[i - 1] != k]
-                text = " ".join(" ".join(x for x in node.parts if isinstance(x, str)).split())
-                known = kinds.setdefault(node.path, ([], []))
+                words = " ".join(x for x in node.parts if isinstance(x, str)).split()
+                known = kinds.setdefault(node.path, [[], [], 0])
                 known[0].extend(shape)
-                known[1].append(text)
+                known[1].append(" ".join(words))
+                if node.main and node.name in _HEADINGS:
+                    known[2] += LONG_BLOCK
+                elif node.main and node.name in _TEXT_BLOCKS | _MAIN:
+                    known[2] += len(words)
     digest = lambda x, seed: xxhash.xxh3_64_intdigest("\0".join(x), seed) & ((1 << 63) - 1)
-    return [(path, digest(shape, 0), digest(text, path)) for path, (shape, text) in kinds.items()]
+    return [(path, digest(shape, 0), digest(text, path), words) for path, (shape, text, words) in kinds.items()]
 
 
 def low_paths(root: Node, low: frozenset[int]) -> frozenset[int]:
     """The paths of a page whose content is one of ``low``."""
-    return frozenset(path for path, _, content in style_nodes(root) if content in low) if low else low
+    return frozenset(path for path, _, content, _ in style_nodes(root) if content in low) if low else low
 
 
 def _contents(root: Node) -> int:
-    """Digest of all that a page could show."""
-    text = "\0".join(" ".join(x.split()) for node in _walk(root) for x in node.parts if isinstance(x, str) and x.strip())
-    return xxhash.xxh3_64_intdigest(text) & ((1 << 63) - 1)
+    """Digest of all that a page could show, or of its article if it has one."""
+    digest = xxhash.xxh3_64()
+    for top in _articles(root):
+        for node in _walk(top):
+            for x in node.parts:
+                if isinstance(x, str) and x.strip():
+                    digest.update(" ".join(x.split()) + "\0")
+    return digest.intdigest() & ((1 << 63) - 1)
 
 
-def main_text(root: Node, low: frozenset[int] = frozenset()) -> str:
-    """The blocks of the article, one a line, without branches that are not content.
+def _articles(root: Node) -> list[Node]:
+    """What a page's text is taken from: its articles, or else what is main, or else all of it.
 
-    With an ``article``, or else a ``main``, only what is inside counts.
+    A main with paragraphs of its own beside its articles stands for them.
     """
-    whole = [root]
-    for name in ("main", "article"):
-        found = [x for x in _walk(root) if x.name == name]
-        whole = found or whole
+    mains = [x for x in _walk(root) if x.name == "main"]
+    found = [x for x in _walk(root) if x.name == "article"]
+    for main in mains:
+        waiting, articles, own = [main], [], False
+        while waiting:
+            node = waiting.pop()
+            if node.name == "article":
+                articles.append(node)
+                continue
+            own = own or (node.name in _PARAGRAPHS and any(isinstance(x, str) and x.strip() for x in node.parts))
+            waiting += [x for x in node.parts if isinstance(x, Node) and not x.other]
+        if own and articles:
+            inside = {id(x) for x in articles}
+            found = [x for x in found if id(x) not in inside] + [main]
+    return found or mains or [root]
+
+
+def main_text(root: Node, low: frozenset[int] = frozenset()) -> str:
+    """The blocks of the article, one a line, without branches that are not content."""
     blocks: list[str] = []
     line: list[str] = []
 
@@ -304,7 +333,7 @@ def main_text(root: Node, low: frozenset[int] = frozenset()) -> str:
 
     # _walk visits later siblings first, so the page's order is that of their starts.
     order: list[Node] = []
-    inside = {id(x) for x in whole}
+    inside = {id(x) for x in _articles(root)}
     waiting: list = [root]
     while waiting:
         node = waiting.pop()
@@ -335,17 +364,12 @@ def _host(url: str | None) -> str:
     return found[1].rpartition("@")[2].lower() if found else ""
 
 
-def low_nodes(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
-    """``host, low``: for each host, the repeated contents of its nodes of low importance.
+def _counted(pages: DataFrame) -> DataFrame:
+    """``host, path, kind, value, count, words``: how many different pages of a host have a
+    presentation (kind 0) or a content (kind 1) at a path, and their words beforehand.
 
-    The entropy of a node's presentations, and of its contents, over the pages that have
-    it is taken to the base of their number: 0 if all agree, 1 if all differ. A tenth of
-    its importance is that of its presentation, the rest that of its content. Each child
-    is judged as a node of its own, so a branch goes as far as all of it is unimportant.
-    Only nodes on ``min_pages`` different pages of the host or more are judged; pages
-    with the same contents are one. Pages are reduced to a row of digests before anything
-    is shuffled, and nodes counted in each task first, so a host with any share of all
-    pages is no hot key.
+    Pages are reduced to a row of digests before anything is shuffled, and nodes counted in
+    each task first, so a host with any share of all pages is no hot key.
     """
     bounded_batches(pages.sparkSession)
 
@@ -359,35 +383,65 @@ def low_nodes(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW) ->
                     rows.append((_host(url), _contents(root), *zip(*found, strict=True)))
             if rows:
                 columns = list(zip(*rows, strict=True))
-                kinds = (pa.string(), pa.int64(), *[pa.list_(pa.int64())] * 3)
+                kinds = (pa.string(), pa.int64(), *[pa.list_(pa.int64())] * 4)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["host", "page", "path", "shape", "content"]
+                    [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
+                    ["host", "page", "path", "shape", "content", "words"],
                 )
 
+    many = "array<long>"
     seen = (
         pages.select("url", "html")
-        .mapInArrow(nodes, "host string, page long, path array<long>, shape array<long>, content array<long>")
+        .mapInArrow(nodes, f"host string, page long, path {many}, shape {many}, content {many}, words {many}")
         .dropDuplicates(["host", "page"])
-        .select("host", F.inline(F.arrays_zip("path", "shape", "content")))
+        .select("host", F.inline(F.arrays_zip("path", "shape", "content", "words")))
     )
     # Presentation and content are counted alike, as values of two kinds.
-    counted = (
-        seen.select("host", "path", F.posexplode(F.array("shape", "content")).alias("kind", "value"))
+    return (
+        seen.select("host", "path", "words", F.posexplode(F.array("shape", "content")).alias("kind", "value"))
         .groupBy("host", "path", "kind", "value")
-        .count()
+        .agg(F.count(F.lit(1)).alias("count"), F.sum("words").alias("words"))
     )
+
+
+def _importance(counted: DataFrame) -> DataFrame:
+    """``host, path, m, importance`` of the nodes on ``m`` different pages of a host.
+
+    The entropy of a node's presentations, and of its contents, over the pages that have
+    it is taken to the base of their number: 0 if all agree, 1 if all differ. A tenth of
+    its importance is that of its presentation, the rest that of its content; what its
+    words say beforehand is the least it has.
+    """
     c = F.col("count")
     entropy = counted.groupBy("host", "path", "kind").agg(
-        F.sum(c).alias("m"), F.sum(c * F.log(c)).alias("s")
+        F.sum(c).alias("m"), F.sum(c * F.log(c)).alias("s"), F.sum("words").alias("words")
     ).withColumn("h", F.when(F.col("m") > 1, 1 - F.col("s") / (F.col("m") * F.log("m"))).otherwise(F.lit(1.0)))
-    nodes_ = entropy.groupBy("host", "path").agg(
+    nodes = entropy.groupBy("host", "path").agg(
         F.max("m").alias("m"),
+        F.max("words").alias("words"),
         F.max(F.when(F.col("kind") == 0, F.col("h"))).alias("shape"),
         F.max(F.when(F.col("kind") == 1, F.col("h"))).alias("content"),
     )
-    importance = OWN_SHARE * F.col("shape") + (1 - OWN_SHARE) * F.greatest("content", F.lit(0.0))
-    low_ = nodes_.where((F.col("m") >= min_pages) & (importance < low)).select("host", "path")
-    repeated = counted.where((F.col("kind") == 1) & (c > 1)).select("host", "path", "value")
+    seen = OWN_SHARE * F.greatest("shape", F.lit(0.0)) + (1 - OWN_SHARE) * F.greatest("content", F.lit(0.0))
+    before = F.least(F.col("words") / (F.col("m") * LONG_BLOCK), F.lit(1.0))
+    return nodes.select("host", "path", "m", F.greatest(seen, before).alias("importance"))
+
+
+def importance(pages: DataFrame) -> DataFrame:
+    """``host, path, m, importance`` of all style nodes of all hosts; see ``style_nodes``."""
+    return _importance(_counted(pages))
+
+
+def low_nodes(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
+    """``host, low``: for each host, the repeated contents of its nodes of low importance.
+
+    Each child is judged as a node of its own, so a branch goes as far as all of it is
+    unimportant. Only nodes on ``min_pages`` different pages of the host or more are
+    judged; pages with the same article are one.
+    """
+    counted = _counted(pages)
+    low_ = _importance(counted).where((F.col("m") >= min_pages) & (F.col("importance") < low)).select("host", "path")
+    repeated = counted.where((F.col("kind") == 1) & (F.col("count") > 1)).select("host", "path", "value")
     return repeated.join(low_, ["host", "path"]).groupBy("host").agg(F.collect_set("value").alias("low"))
 
 
