@@ -11,12 +11,12 @@ ends with it are treated like chunks as well. Any repeated run of 50 words or mo
 made of such windows, whatever stands around it, so all of it is found.
 
 The first pass shuffles digests only. Those that repeat set bits in a filter of fixed
-size, so that the second pass carries only what may repeat, as the SHA-256 of its bytes.
+size, so that the second pass carries only what may repeat, with its bytes, which are
+compared. The digest goes first, so that few of them are.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +34,8 @@ WINDOW, ONE_IN = 2, 2
 MIN_LINES, MIN_WORDS, LONG_WORDS = 2, 10, 50
 # Bits of the filter: 8 MB, whatever the data.
 FILTER_BITS = 26
+# Bytes of chunks that a task holds before it hands them on.
+_CARRIED = 8 << 20
 
 
 def chunk_ends(lines: list[bytes], window: int = WINDOW, one_in: int = ONE_IN) -> list[int]:
@@ -134,30 +136,39 @@ def removable(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     counted = keyed.select("text").mapInArrow(digests, "digest long").groupBy("digest").count()
     shared = spark.sparkContext.broadcast(_filter(counted.where("count > 1"), bits))
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * 6
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["_id", "_th", "begin", "end", "digest", "content"]
+        )
+
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, mask = shared.value, np.uint64((1 << bits) - 1)
+        table, mask = shared.value, (1 << bits) - 1
         for batch in slices(batches, 256):
-            rows = []
+            rows, size = [], 0
             ids, hashes = batch.column("_id").to_pylist(), batch.column("_th").to_pylist()
             for i, text in enumerate(texts(batch)):
                 for begin, end, content in _chunks(text):
-                    place = np.uint64(xxhash.xxh3_64_intdigest(content)) & mask
-                    if table[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1):
-                        rows.append((ids[i], hashes[i], begin, end, hashlib.sha256(content).digest()))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["_id", "_th", "begin", "end", "content"]
-            )
+                    digest = xxhash.xxh3_64_intdigest(content)
+                    place = digest & mask
+                    if int(table[place >> 6]) >> (place & 63) & 1:
+                        rows.append((ids[i], hashes[i], begin, end, digest - (digest >> 63 << 64), content))
+                        size += len(content)
+                # Windows of a text overlap: their bytes go on in bounded batches.
+                if size >= _CARRIED:
+                    yield batch_of(rows)
+                    rows, size = [], 0
+            yield batch_of(rows)
 
     found = written(
         keyed.withColumn("_id", F.col("_id").cast("long")).mapInArrow(
-            chunks, "_id long, _th long, begin int, end int, content binary"
+            chunks, "_id long, _th long, begin int, end int, digest long, content binary"
         ),
         "line-chunks",
     )
     first = (
-        found.groupBy("content")
+        found.groupBy("digest", "content")
         .agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("_id", "_th", "begin", "end")).alias("first"))
         .where("c > 1")
         .drop("c")
@@ -165,7 +176,7 @@ def removable(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     first = written(first, "line-first")
     here = F.struct("_id", "_th").eqNullSafe(F.struct("first._id", "first._th"))
     later = (
-        found.join(first, "content")
+        found.join(first, ["digest", "content"])
         .where(~(here & (F.col("begin") == F.col("first.begin"))))
         # The first occurrence stays whole where the next one overlaps it.
         .withColumn("begin", F.when(here, F.greatest("begin", "first.end")).otherwise(F.col("begin")))
