@@ -92,7 +92,45 @@ SELECT e.vec_id, coalesce(n, 0) AS n_links, least(e.vec_id, coalesce(other, e.ve
   least(e.vec_id, coalesce(other, e.vec_id)) = e.vec_id AS kept
 FROM embeddings e LEFT JOIN found USING (vec_id) LEFT JOIN least USING (vec_id)"""
 
+# Links need a rare shingle in common: of sets ordered by how rare their shingles are, the
+# first n - ceil(0.8 n) + 1 of two that are linked meet.
+_SHINGLES = """WITH RECURSIVE said AS MATERIALIZED (
+  SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+sets AS MATERIALIZED (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN w
+    ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s
+  FROM said),
+kinds AS MATERIALIZED (
+  SELECT row_number() OVER () AS kind, s, least_id, ids FROM (
+    SELECT list_sort(s) AS s, min(doc_id) AS least_id, list(doc_id) AS ids FROM sets WHERE len(s) > 0 GROUP BY 1)),
+each AS MATERIALIZED (SELECT kind, len(s) AS n, unnest(s) AS g FROM kinds),
+often AS MATERIALIZED (SELECT g, count(*) AS c FROM each GROUP BY g),
+rare AS MATERIALIZED (
+  SELECT kind, n, g FROM each JOIN often USING (g)
+  QUALIFY row_number() OVER (PARTITION BY kind ORDER BY c, g) <= n - (4 * n + 4) // 5 + 1),
+pairs AS MATERIALIZED (
+  SELECT DISTINCT a.kind AS a, b.kind AS b FROM rare a JOIN rare b USING (g)
+  WHERE a.kind < b.kind AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+shared AS MATERIALIZED (
+  SELECT a, b, len(x.s) + len(y.s) AS n, len(list_intersect(x.s, y.s)) AS c
+  FROM pairs JOIN kinds x ON x.kind = a JOIN kinds y ON y.kind = b),
+links AS MATERIALIZED (
+  SELECT a, b FROM shared WHERE 100 * c >= 80 * (n - c)
+  UNION ALL SELECT b, a FROM shared WHERE 100 * c >= 80 * (n - c)),
+reach(kind, other) AS (
+  SELECT kind, kind FROM kinds
+  UNION SELECT reach.kind, links.b FROM reach JOIN links ON links.a = reach.other),
+least_ids AS MATERIALIZED (
+  SELECT reach.kind, min(k.least_id) AS component_id FROM reach JOIN kinds k ON k.kind = reach.other GROUP BY reach.kind),
+placed AS (SELECT unnest(ids) AS doc_id, component_id FROM kinds JOIN least_ids USING (kind))
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id,
+  coalesce(component_id, doc_id) = doc_id AS kept
+FROM sets LEFT JOIN placed USING (doc_id)"""
+
 ORACLE: dict[str, str] = {
+    "op8_minhash": _SHINGLES,
     "op11_centroid_clusters": _clusters(),
     "op12_vector_codes": _codes(),
     "op13_near_embeddings": _LINKS,

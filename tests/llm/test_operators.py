@@ -2,13 +2,17 @@
 
 import collections
 import hashlib
+import math
+import os
 import random
 import re
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from spinneret.llm import (
     decontaminate,
     html_text,
@@ -130,6 +134,65 @@ def test_copies_do_not_make_text_part_of_the_site(spark):
     assert found == {i: text(max(i, 84), 30, 30) for i in range(100)}
 
 
+def test_the_tree_judges_inside_articles(spark):
+    """Short lines that stand in every article go, if the tree is on; long ones and headings stay."""
+
+    def page(i):
+        return (
+            f"<body><article><h1>the same title</h1><p>{text(i, 30, 30)}</p><p class=follow>follow us for more</p>"
+            f"<p class=terms>{text(99, 30, 30)}</p></article></body>"
+        )
+
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", page(i)) for i in range(6)], "page_id long, url string, html string")
+    on = {r["page_id"]: r["text"] for r in html_text.extract_text(df).collect()}
+    assert on == {i: f"the same title\n{text(i, 30, 30)}\n{text(99, 30, 30)}" for i in range(6)}
+    off = {r["page_id"]: r["text"] for r in html_text.extract_text(df, low=0.0).collect()}
+    assert all("follow us for more" in x for x in off.values())
+    # Copies of one article, whatever stands around it, are one page.
+    copies = [(i, f"http://h.example/{i}", f"<body><div>{i}</div>{page(min(i, 4))}</body>") for i in range(50)]
+    df = spark.createDataFrame(copies, "page_id long, url string, html string")
+    assert html_text.importance(df).where("m >= 6").count() == 0
+
+
+def test_importance_is_entropy_by_hand(spark):
+    """Given pages, with the names of their parts taken away, judged by counting in plain Python."""
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    plain = F.regexp_replace("html", "(</?)(?:article|nav|footer)", "$1div")
+    df = df.select("page_id", F.concat(F.lit("http://h"), (F.col("page_id") % 3).cast("string")).alias("url"), plain.alias("html"))
+    seen, nodes = set(), {}
+    for r in df.collect():
+        root = html_text.parse(r["html"])
+        page = (r["url"], html_text._contents(root))
+        if page not in seen:
+            seen.add(page)
+            for path, shape, content, words in html_text.style_nodes(root):
+                nodes.setdefault((r["url"][7:], path), []).append((shape, content, words))
+
+    def entropy(values):
+        shares = [values.count(x) / len(values) for x in set(values)]
+        return -sum(x * math.log(x, len(values)) for x in shares) if len(values) > 1 else 1.0
+
+    found = {(r["host"], r["path"]): (r["m"], r["importance"]) for r in html_text.importance(df).collect()}
+    assert found.keys() == nodes.keys() and len(nodes) > 10
+    for key, values in nodes.items():
+        shape, content, words = zip(*values, strict=True)
+        want = max(0.1 * entropy(shape) + 0.9 * entropy(content), min(1, sum(words) / len(values) / 50))
+        assert found[key] == (len(values), pytest.approx(want, abs=1e-9))
+
+
+def test_main_with_articles_in_it():
+    def found(page):
+        return html_text.main_text(html_text.parse(page))
+
+    assert found("<main><p>intro</p><article>card</article><p>rest</p></main>") == "intro\ncard\nrest"
+    assert found("<main><div>hero</div><article><p>one</p></article><div>next</div></main>") == "one"
+    assert found("<main><p>one</p></main><article>two</article>") == "two"
+    assert found("<article>two</article><main><p>one</p><article>card</article></main><p>out</p>") == "two\none\ncard"
+    assert found("<main><p> </p><article>one<article>two</article></article></main>") == "one\ntwo"
+
+
 def test_inline_elements_that_are_not_content_end():
     def found(page):
         return html_text.main_text(html_text.parse(page))
@@ -544,12 +607,31 @@ def test_word_hashes_hold_a_bounded_number_of_words(monkeypatch):
 
     monkeypatch.setattr(common, "_REMEMBERED", 100)
     words = decontaminate._Words()
-    words.of([b"-" * (i % 60 + 1) + b"%d" % (i % 7) * (i % 2) for i in range(5000)])
-    words.of([b"x" * 1000, b"-" * 1000, *[("é%d" % i).encode() for i in range(300)]])
+
+    def numbers(found):
+        return words.of(pa.array(found, pa.binary()).cast(pa.string(), safe=False)).tolist()
+
+    numbers([b"-" * (i % 60 + 1) + b"%d" % (i % 7) * (i % 2) for i in range(5000)])
+    numbers([b"x" * 1000, b"-" * 1000, *[("é%d" % i * j).encode() for i in range(300) for j in (1, 40)]])
     assert len(words) <= 100 and max(map(len, words)) <= 64
-    for word in (b"It's", b"--", b"A1b2", "Straße,".encode(), b"...", b"\xff\xfe"):
+    for word in (b"It's", b"--", b"A1b2", "Straße,".encode(), "don’t".encode(), b"...", b"\xff\xfe", b"", "…".encode()):
         want = "".join(filter(str.isalnum, word.decode("utf-8", "replace").casefold())).encode()
-        assert words[word] == (common.xxhash.xxh3_64_intdigest(want) if want else 0)
+        found = numbers([b"a", word, b"b", want])
+        assert found[1] == found[3] and (found[1] == 0) == (not want) and len({found[0], found[1], found[2]}) == 3
+
+
+def test_words_are_told_apart():
+    pick = random.Random(5)
+    many = list({"".join(pick.choices("abcABC12é-.", k=pick.randrange(1, 12))) for _ in range(30_000)})
+    plain = ["".join(filter(str.isalnum, x.casefold())) for x in many]
+    found = decontaminate._Words().of(pa.array(many, pa.string())).tolist()
+    by = {}
+    for x, number in zip(plain, found, strict=True):
+        assert by.setdefault(x, number) == number
+    # 32 bits: a collision among so few is one in many runs.
+    assert len(by) - len(set(by.values())) <= 1
+    whole = decontaminate._Words().each(pa.array(["x ".join(many[:500]), None, "A a"], pa.string()))
+    assert [len(x) for x in whole][1:] == [0, 2] and whole[2][0] == whole[2][1]
 
 
 def test_latent_space_is_orthonormal_and_spans_the_leading_directions(spark):
