@@ -122,15 +122,19 @@ def _filter(repeated: DataFrame, bits: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def removable(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """``_id, _th, begin, end``: runs of lines to remove, no two of a text overlap or touch."""
+def removable(docs: DataFrame, bits: int = FILTER_BITS, digest_bits: int = 64) -> DataFrame:
+    """``_id, _th, begin, end``: runs of lines to remove, no two of a text overlap or touch.
+
+    Digests of fewer bits give the same rows, with more bytes to tell chunks apart by.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     keyed = _keyed(docs)
+    whole = (1 << digest_bits) - 1
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
-            found = [xxhash.xxh3_64_intdigest(c) for x in texts(batch) for _, _, c in _chunks(x)]
+            found = [xxhash.xxh3_64_intdigest(c) & whole for x in texts(batch) for _, _, c in _chunks(x)]
             yield pa.RecordBatch.from_arrays([pa.array(np.array(found, np.uint64).view(np.int64))], ["digest"])
 
     counted = keyed.select("text").mapInArrow(digests, "digest long").groupBy("digest").count()
@@ -150,7 +154,7 @@ def removable(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
             ids, hashes = batch.column("_id").to_pylist(), batch.column("_th").to_pylist()
             for i, text in enumerate(texts(batch)):
                 for begin, end, content in _chunks(text):
-                    digest = xxhash.xxh3_64_intdigest(content)
+                    digest = xxhash.xxh3_64_intdigest(content) & whole
                     place = digest & mask
                     if int(table[place >> 6]) >> (place & 63) & 1:
                         rows.append((ids[i], hashes[i], begin, end, digest - (digest >> 63 << 64), content))
@@ -167,16 +171,29 @@ def removable(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
         ),
         "line-chunks",
     )
-    first = (
-        found.groupBy("digest", "content")
-        .agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("_id", "_th", "begin", "end")).alias("first"))
-        .where("c > 1")
-        .drop("c")
-    )
-    first = written(first, "line-first")
+
+    def firsts(rows: DataFrame, keys: list[str]) -> DataFrame:
+        """The first of the chunks that share ``keys``, and whether all of them are the same bytes."""
+        found = rows.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("c"),
+            F.min(F.struct("_id", "_th", "begin", "end")).alias("first"),
+            (F.min("content") == F.max("content")).alias("same"),
+        )
+        return written(found.where("c > 1").drop("c"), "line-first")
+
+    # Bytes are compared within a digest, once; only where they differ do they tell chunks apart.
+    keys = ["digest"]
+    first = firsts(found, keys)
+    differ = first.where("NOT same").select("digest", "same")
+    if differ.limit(1).count():
+        apart = F.when(F.col("same").isNotNull(), F.col("content")).otherwise(F.lit(b""))
+        found = written(found.join(differ, "digest", "left").withColumn("content", apart).drop("same"), "line-apart")
+        keys = ["digest", "content"]
+        first = firsts(found, keys)
+    first = first.drop("same")
     here = F.struct("_id", "_th").eqNullSafe(F.struct("first._id", "first._th"))
     later = (
-        found.join(first, ["digest", "content"])
+        found.join(first, keys)
         .where(~(here & (F.col("begin") == F.col("first.begin"))))
         # The first occurrence stays whole where the next one overlaps it.
         .withColumn("begin", F.when(here, F.greatest("begin", "first.end")).otherwise(F.col("begin")))

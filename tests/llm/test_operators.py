@@ -594,6 +594,15 @@ def test_pii_in_texts_of_many_matches(docs):
         assert [(s["start"], s["end"]) for s in row[kind]] == want
 
 
+def test_line_dedup_compares_bytes(docs):
+    """Chunks whose digests agree are the same only if their bytes are."""
+    passages = ["\n".join(text(p * 10 + j, 12, 12) for j in range(6)) for p in range(12)]
+    rows = [(i, "\n".join((text(1000 + i, 9, 9), passages[i % 12], text(2000 + i, 9, 9))), "a") for i in range(30)]
+    df = docs(rows)
+    want, few = (sorted(collected(line_dedup.removable(df, digest_bits=b)), key=repr) for b in (64, 3))
+    assert want and few == want
+
+
 def test_line_dedup_keeps_columns_and_refuses_its_own_names(spark):
     df = spark.createDataFrame([(1, "a\nb", 5)], "doc_id long, text string, _lines int").selectExpr("*", "7 AS row", "8 AS id", "9 AS th")
     (row,) = collected(line_dedup.dedup_lines(df))
