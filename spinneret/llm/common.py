@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,12 +20,14 @@ NOT_SPACE = r"[^\x20\x09-\x0D]"
 
 # Words that a task remembers the hash of, and their length; 60 MB at most.
 _REMEMBERED, _LONGEST = 300_000, 64
+# Bytes of texts that a task works on together, and that go to it in one batch.
+_SLICE, _BATCH = 1 << 20, 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small, by rows and by bytes: texts can be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(_BATCH))
 
 
 def text_of(column: str | Column) -> Column:
@@ -73,10 +76,25 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int, size: int = _SLICE) -> Iterator[pa.RecordBatch]:
+    """Batches cut into parts of at most ``rows`` rows and, unless it is one row, ``size`` bytes of text."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        upto = np.cumsum(_text_bytes(batch))
+        at = 0
+        while at < batch.num_rows:
+            before = upto[at - 1] if at else 0
+            end = min(at + rows, max(at + 1, int(np.searchsorted(upto, before + size, "right"))))
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def _text_bytes(batch: pa.RecordBatch) -> np.ndarray:
+    """Bytes of each row's strings and binary values."""
+    found = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if any(f(column.type) for f in (pa.types.is_string, pa.types.is_binary, pa.types.is_large_string, pa.types.is_large_binary)):
+            found += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    return found
 
 
 def renamed(df: DataFrame, columns: dict[str, str]) -> DataFrame:
