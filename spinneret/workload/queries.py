@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from spinneret.functions import predicates
 from spinneret.operators import audit as audits
 from spinneret.operators import changes, listing
+from spinneret.operators.crawl_plan import MAX_PAGES
 from spinneret.operators.crawl_plan import crawl_plan as plan_crawls
 from spinneret.operators.discovery import Discovery, discover, parse_sitemaps
 from spinneret.operators.discovery import sitemap_entries as entries_of
 from spinneret.operators.discovery import sitemap_roots as roots_of
 from spinneret.operators.ordering import numbered
 from spinneret.operators.redirects import resolve_redirects
+from spinneret.operators.report import run_report, truncated
 from spinneret.operators.results import fetch_outcomes, page_results, process_pages, stored_results, with_success
 from spinneret.operators.results import page_rows as rows_of
 from spinneret.operators.rollup import rollup
@@ -159,13 +161,18 @@ def crawl_plan_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_crawls(inputs.sites(spark, sf_dir), _discovered(spark, sf_dir).urls, 0)
 
 
+def crawl_plan_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The crawls that the cap cuts, and by how many URLs."""
+    return truncated(_discovered(spark, sf_dir).stats, URL_CAP)
+
+
 def _files(df: DataFrame, label: str, fmt: str = "parquet") -> str:
     path = fresh_path(df.sparkSession, label)
     df.write.format(fmt).save(path)
     return path
 
 
-def _run(spark: SparkSession, sf_dir: str, stored: bool) -> CrawlRun:
+def _run(spark: SparkSession, sf_dir: str, stored: bool, max_pages: int = MAX_PAGES) -> CrawlRun:
     """The whole job over files that the typed readers read.
 
     Crawls in flight, redirect chains, relative locations and loops included.
@@ -183,6 +190,7 @@ def _run(spark: SparkSession, sf_dir: str, stored: bool) -> CrawlRun:
         tables.read_documents(spark, _files(inputs.documents(spark, sf_dir), "documents"), repeated=False),
         captures,
         tables.read_hops(spark, _files(inputs.run_hops(spark, sf_dir), "hops")),
+        max_pages,
         now=inputs.now(),
     )
 
@@ -200,6 +208,16 @@ def crawl_run_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def crawl_run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job under a small cap, its pages stored in two batches, the second with
+    the first's again, and what came of each crawl."""
+    run = _run(spark, sf_dir, stored=True, max_pages=URL_CAP)
+    rows = written(run.pages, "run-pages")
+    table = _page_table(spark, rows.where(F.col("id") % 3 == 0))
+    table.insert_new(rows)
+    return run_report(run.crawls, run.discovery.stats, table.read(), URL_CAP)
+
+
 def stored_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page rows from captures that are stored by URL, in two batches; digests of bodies."""
     captures = written(inputs.repeated_captures(spark, sf_dir), "captures")
@@ -503,8 +521,10 @@ QUERIES = {
         discovery_stats,
         crawl_plan,
         crawl_plan_uncapped,
+        crawl_plan_cut,
         crawl_run,
         crawl_run_pages,
+        crawl_run_report,
         stored_captures,
         seed_file_rejects,
         seed_file_rows,

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from spinneret.operators import report
 from spinneret.operators.changes import insert_ignore
 from spinneret.operators.redirects import resolve_redirects
 from spinneret.plans.crawl import run_crawls
@@ -78,3 +79,35 @@ def test_shared_folder_is_the_configured_one(spark):
     if named:
         assert shared_dir(spark) == named
     assert spark.sparkContext.getCheckpointDir()
+
+
+def test_report_of_a_run(spark):
+    crawls = spark.createDataFrame(
+        [(1, "completed", 3, 2, 1), (2, "failed", 1, 0, 1), (3, "completed", 1, 1, 0), (4, "completed", 0, 0, 0)],
+        "id long, status string, total_pages int, success_pages int, failed_pages int",
+    )
+    stats = spark.createDataFrame(
+        [(1, 7, 2, 0), (2, 0, 0, 2), (3, 3, 1, 1)], "crawl_id long, urls_found long, sitemaps_found long, errors long"
+    )
+    pages = spark.createDataFrame(
+        [(1, 200, None), (1, 204, None), (1, 404, None), (3, 200, None), (3, 200, None), (9, 200, None)],
+        "crawl_id long, status_code int, error string",
+    )
+    found = {r["crawl_id"]: r for r in report.run_report(crawls, stats, pages, 3).collect()}
+    assert set(found) == {1, 2, 3, 4}
+    shape = ("urls_found", "urls_planned", "urls_cut", "stored_pages", "counters_agree")
+    # crawl 2 lost its page, crawl 3 stored one twice, crawl 4 has neither statistics nor pages
+    assert [found[1][c] for c in shape] == [7, 3, 4, 3, True]
+    assert [found[2][c] for c in shape] == [0, 1, 0, 0, False]
+    assert [found[3][c] for c in shape] == [3, 3, 0, 2, False]
+    assert [found[4][c] for c in shape] == [0, 1, 0, 0, True]
+    assert [tuple(r) for r in report.truncated(stats, 3).collect()] == [(1, 7, 4)]
+    assert report.truncated(stats, 0).isEmpty()
+    assert report.run_report(crawls.limit(0), stats, pages).isEmpty()
+
+
+def test_report_joins_counts_alone(spark):
+    crawls = spark.createDataFrame([], CRAWLS)
+    stats = spark.createDataFrame([], "crawl_id long, urls_found long, sitemaps_found long, errors long")
+    plan = report.run_report(crawls, stats, spark.createDataFrame([], PAGES))._jdf.queryExecution().optimizedPlan().toString()
+    assert "html" not in plan.split("Join")[0] and plan.count("Aggregate") == 1
