@@ -41,7 +41,7 @@ def _keyed(docs: DataFrame, seed: int, *carried: Column) -> DataFrame:
     """``doc_id, source, size``, the key ``_key`` and its place ``_at`` on the key line."""
     # Rows that share an id, or have none, have keys of their own by their texts.
     named = F.concat_ws(
-        ":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("_text").cast("string")
+        ":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5("_text")
     )
     u = (F.conv(F.substring(F.md5(named), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     places = 1 << (_BITS * _LEVELS)

@@ -129,7 +129,48 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(component_id, doc_
   coalesce(component_id, doc_id) = doc_id AS kept
 FROM sets LEFT JOIN placed USING (doc_id)"""
 
+# Sources settle at the first level that one of them does not reach; a source's rows are then
+# taken in the order of their keys while at least half of a row fits.
+_MIX = """WITH said AS MATERIALIZED (
+  SELECT doc_id, CAST(source AS VARCHAR) AS source, coalesce(text, '') AS t FROM documents),
+keyed AS MATERIALIZED (
+  SELECT doc_id, source, coalesce(doc_id, -9223372036854775808) AS id,
+    len(list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS size,
+    length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS visible,
+    length(regexp_replace(t, '[^\\p{L}]+', '', 'g')) AS letters,
+    (CAST(CAST('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(t)), 1, 12) AS BIGINT) AS DOUBLE)
+      + 0.5) / 281474976710656.0 AS u
+  FROM said),
+ranked AS MATERIALIZED (
+  SELECT doc_id, source, id, size,
+    -ln(u) / (0.25 + 0.75 * CASE WHEN visible > 0 THEN CAST(letters AS DOUBLE) / visible ELSE 0 END) AS k
+  FROM keyed),
+sources AS MATERIALIZED (
+  SELECT source, source_size, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM ranked GROUP BY source)),
+reached AS MATERIALIZED (
+  SELECT *, 3.0::DOUBLE * source_size / weight AS reach,
+    (sum(source_size) OVER () - coalesce(sum(3.0::DOUBLE * source_size) OVER before, 0)) /
+    (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM sources
+  WINDOW before AS (ORDER BY 3.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS MATERIALIZED (
+  SELECT source, source_size, least(3.0::DOUBLE * source_size, coalesce(
+    weight * (SELECT level FROM reached WHERE reach >= level ORDER BY reach, source NULLS LAST LIMIT 1), 3.0::DOUBLE * source_size)) AS target
+  FROM sources),
+goals AS MATERIALIZED (
+  SELECT *, target - epochs * source_size AS rest FROM (
+    SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM targets)),
+placed AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY k, id, size) AS upto,
+    sum(size) OVER (PARTITION BY source, k, id, size) AS alike
+  FROM ranked)
+SELECT doc_id, size, source_size, target, CAST(size * (epochs +
+    CASE WHEN upto - alike < rest AND upto - alike / 2 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken, p.source
+FROM placed p JOIN goals g ON p.source IS NOT DISTINCT FROM g.source"""
+
 ORACLE: dict[str, str] = {
+    "op4_mix_sources": _MIX,
     "op8_minhash": _SHINGLES,
     "op11_centroid_clusters": _clusters(),
     "op12_vector_codes": _codes(),
