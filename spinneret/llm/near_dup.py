@@ -36,6 +36,8 @@ SHINGLE = 2
 ROUNDS = (1, 8)
 # Sets on either side of a cell.
 CELL = 256
+# Narrow rows that a file of an intermediate table holds, where their number is bounded.
+FILE_ROWS = 50_000
 PERCENT = 80
 
 _EMPTY = np.iinfo(np.uint64).max
@@ -159,6 +161,11 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return read.mapInArrow(full, "node binary, set binary").groupBy("node").agg(F.max("set").alias("set"))
 
 
+def _in_files(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of at most ``rows`` narrow rows, in no more partitions than they fill."""
+    return df.coalesce(max(1, -(-rows // FILE_ROWS)))
+
+
 def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets are similar enough."""
     # The member first: it stands in few pairs, while a bucket's first node may be in many.
@@ -225,27 +232,34 @@ def _links_between(families: DataFrame, sets: DataFrame, percent: int, cell: int
     return cells.groupBy("family", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, size: int | None = None) -> DataFrame:
     """``node, label``: the smallest node that each node of ``edges`` (a, b) reaches.
 
+    ``size`` is a bound on the number of edges; each round's tables are as many files as
+    that needs.
+
     Labels pass over edges and then to the label's own label, so that distances double;
     every round is written to the shared folder. Ends when a round changes nothing.
     """
-    both = written(edges.union(edges.select("b", "a")).distinct().toDF("u", "v"), "near-edges")
-    labels = written(
+
+    def kept(df: DataFrame, label: str) -> DataFrame:
+        return written(df if size is None else _in_files(df, 2 * size), label)
+
+    both = kept(edges.union(edges.select("b", "a")).distinct().toDF("u", "v"), "near-edges")
+    labels = kept(
         both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("label")), "near-labels"
     )
     while True:
         heard = both.join(labels.withColumnRenamed("node", "u"), "u").groupBy(F.col("v").alias("node")).agg(
             F.min("label").alias("heard")
         )
-        near = written(
+        near = kept(
             labels.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label")),
             "near-labels",
         )
         jump = near.select(F.col("node").alias("label"), F.col("label").alias("next"))
         after = near.join(jump, "label").select("node", "old", F.least("label", "next").alias("label"))
-        after = written(after, "near-labels")
+        after = kept(after, "near-labels")
         changed = after.where("label <> old").limit(1).count()
         labels = after.select("node", "label")
         if not changed:
@@ -280,21 +294,20 @@ def near_duplicates(
 def _grouped(docs: DataFrame, k: int, percent: int, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
     """``doc_id, mark, n, node, label, component_id`` for every row of ``docs``; rows of a
     group share ``label``, which is null for texts without words."""
-    sketch = written(sketched(docs, k, bands, rows), "near-sketch")
+    sketch, total = written_counted(sketched(docs, k, bands, rows), "near-sketch")
     full = sketch.where("node IS NOT NULL")
     place = F.min(F.struct("doc_id", "mark")).alias("place")
-    nodes = written(
-        full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), place), "near-nodes"
-    )
-    members = written(
-        full.select("node", "n", F.explode("keys").alias("key")).groupBy("key", "node").agg(F.min("n").alias("n")),
-        "near-members",
-    )
+    nodes = full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), place)
+    nodes = written(_in_files(nodes, total), "near-nodes")
+    members = full.select("node", "n", F.explode("keys").alias("key")).groupBy("key", "node").agg(F.min("n").alias("n"))
+    members, held = written_counted(_in_files(members, bands * total), "near-members")
     several = members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    shared = written(members.join(written(several, "near-buckets"), "key"), "near-shared")
+    several = written(_in_files(several, held // 2), "near-buckets")
+    shared = written(_in_files(members.join(several, "key"), held), "near-shared")
     asked = shared.select("node").distinct().join(nodes, "node")
     sets = written(_full_sets(docs, asked, k), "near-sets")
     edges = labels = None
+    most = 0
 
     def labelled() -> DataFrame:
         """Nodes of shared buckets with the label of the part they are in so far."""
@@ -304,7 +317,7 @@ def _grouped(docs: DataFrame, k: int, percent: int, bands: int = BANDS, rows: in
 
     def linked(now: DataFrame, others: DataFrame) -> None:
         """Verify nodes against others of their bucket, and label anew with what is found."""
-        nonlocal edges, labels
+        nonlocal edges, labels, most
         alike = 100 * F.least("n", "n_other") >= percent * F.greatest("n", "n_other")
         pairs, some = written_counted(
             now.join(others, "key")
@@ -316,7 +329,8 @@ def _grouped(docs: DataFrame, k: int, percent: int, bands: int = BANDS, rows: in
         if some:
             found = written(_verified(sets, pairs, percent), "near-links")
             edges = found if edges is None else edges.union(found)
-            labels = components(edges)
+            most += some
+            labels = components(edges, most)
 
     as_other = (
         "key", F.col("node").alias("other"), F.col("label").alias("label_other"), F.col("n").alias("n_other")
@@ -345,15 +359,16 @@ def _grouped(docs: DataFrame, k: int, percent: int, bands: int = BANDS, rows: in
         found, some = written_counted(_links_between(families, sets, percent), "near-links")
         if some:
             edges = found if edges is None else edges.union(found)
-            labels = components(edges)
+            labels = components(edges, most + some)
     if labels is None:
         owner = nodes.select("node", F.col("node").alias("label"), F.col("rep").alias("component_id"))
     else:
         placed = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        placed = written(placed.select("node", "label", "rep"), "near-placed")
-        least = written(placed.groupBy("label").agg(F.min("rep").alias("component_id")), "near-least")
+        placed = written(_in_files(placed.select("node", "label", "rep"), total), "near-placed")
+        least = placed.groupBy("label").agg(F.min("rep").alias("component_id"))
+        least = written(_in_files(least, total), "near-least")
         owner = placed.join(least, "label").select("node", "label", "component_id")
-    owner = written(owner, "near-owner")
+    owner = written(_in_files(owner, total), "near-owner")
     return sketch.select("doc_id", "mark", "n", "node").join(owner, "node", "left")
 
 
