@@ -3,8 +3,8 @@
 Documents and benchmark items are cut into passages of 32 words. Words are hashed once,
 to 32 bits, and the rest works on these numbers: their upper half names one of a fixed
 number of features, and all of them tell words apart. Features are weighted by TF-IDF with counts over all passages of all
-documents. A randomised SVD (subspace iteration; each pass sums A'(A X) over the
-partitions of a bounded sample of passages) gives a latent space, in which every passage
+documents. A randomised SVD (subspace iteration; each pass sums A'(A X) over all passages
+of all documents and of the benchmark) gives a latent space, in which every passage
 of every document is compared by cosine with every passage of the benchmark, the stated
 query set, block by block. A candidate is a leak if the longest common subsequence of
 words covers most of the item; if it covers a good part, as in a paraphrase, the item's
@@ -13,7 +13,6 @@ answer must stand there too.
 
 from __future__ import annotations
 
-import heapq
 import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spinneret.llm.common import WordHashes, bounded_batches, mixed, slices, text_of
@@ -32,10 +31,13 @@ FEATURE_BITS = 16
 # Words to half a passage; passages overlap by half.
 HALF = 16
 RANK, EXTRA, PASSES = 160, 8, 3
-# Passages that the space is fitted on, at most, and those that a task offers of them.
-SAMPLE, OFFERED = 8_192, 512
-# Weight of the benchmark's own passages in the fit, so that items stay apart in the space.
-ASKED_WEIGHT = 4.0
+# All passages of documents weigh in the fit together as this many at most, and so do the
+# benchmark's own, each of which weighs more, so that items stay apart in the space.
+WEIGHED, ASKED_WEIGHT = 8_192, 4.0
+# Passages that make a task of the fit worth its sum, of 44 MB.
+FIT_PASSAGES = 1 << 19
+# Sums of rows made side by side.
+_BESIDE = 256
 # Benchmark items held at a time.
 BLOCK = 2_000
 COSINE = 0.6
@@ -50,7 +52,7 @@ _CODES = mixed(np.array([ord(chr(b).lower()) if b < 128 else b for b in range(25
 _CODES[[b for b in range(128) if not chr(b).isalnum()]] = 0
 _STEP = 0x9E3779B97F4A7C15
 # Features that a row of a sum holds, so that no row is large.
-_ROWS = 4096
+_ROWS = 1024
 
 
 def _numbers(words: pa.StringArray) -> np.ndarray:
@@ -134,15 +136,13 @@ def _passages(n: int, step: int) -> list[tuple[int, int]]:
 
 
 def passage_stats(hashed: DataFrame) -> DataFrame:
-    """``feature, count`` rows, and a sample of passages: ``order, words`` rows.
-
-    Each task counts in how many of its passages a feature occurs, and offers the
-    passages of its lowest hashes; so rows grow with tasks, not with words.
+    """``feature, count``: in how many passages a feature occurs, a row for each task that
+    met it; under the number behind the last feature, how many passages there are.
     """
     bounded_batches(hashed.sparkSession)
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, offered, n = np.zeros(_FEATURES + 1, np.int64), [], 0
+        counts = np.zeros(_FEATURES + 1, np.int64)
         for batch in slices(batches, 256):
             found = [x for x in _words_of(batch) if len(x)]
             if not found:
@@ -153,7 +153,6 @@ def passage_stats(hashed: DataFrame) -> DataFrame:
                 begins.append(np.arange(at, at + len(x), 2 * HALF))
                 at += len(x)
             begins = np.concatenate(begins)
-            total = len(begins)
             # Passages as rows, short ones filled up with their first word; in order,
             # a feature counts where it differs from the one before.
             lengths = np.diff(np.append(begins, at))
@@ -163,96 +162,156 @@ def passage_stats(hashed: DataFrame) -> DataFrame:
             fresh = np.ones(grid.shape, bool)
             fresh[:, 1:] = grid[:, 1:] != grid[:, :-1]
             counts[:-1] += np.bincount(grid[fresh], minlength=_FEATURES)
-            counts[-1] += total
-            order = np.bitwise_xor.reduceat(mixed(every.astype(np.uint64)), begins)
-            for i in np.argsort(order, kind="stable")[:OFFERED]:
-                at = begins[i]
-                until = begins[i + 1] if i + 1 < total else len(every)
-                # The heap holds the lowest: its first entry is the highest of them.
-                entry = (-int(order[i]), n, every[at:until].tobytes())
-                n += 1
-                if len(offered) < OFFERED:
-                    heapq.heappush(offered, entry)
-                elif entry > offered[0]:
-                    heapq.heapreplace(offered, entry)
-                else:
-                    break
+            counts[-1] += len(begins)
         seen = np.flatnonzero(counts)
-        if len(seen):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(seen), pa.array(counts[seen]), pa.nulls(len(seen), pa.int64()), pa.nulls(len(seen), pa.binary())],
-                ["feature", "count", "order", "words"],
-            )
-            orders = np.array([-x[0] for x in offered], np.uint64).view(np.int64)
-            none = pa.nulls(len(offered), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [none, none, pa.array(orders), pa.array([x[2] for x in offered], pa.binary())],
-                ["feature", "count", "order", "words"],
-            )
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["feature", "count"])
 
-    return hashed.select("words").mapInArrow(stats, "feature long, count long, order long, words binary")
+    return hashed.select("words").mapInArrow(stats, "feature long, count long")
 
 
-def _weighted(passages: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, features and weights of the TF-IDF matrix of passages, rows of length 1."""
-    row = np.repeat(np.arange(len(passages)), [len(x) for x in passages])
-    cell, count = np.unique(row * _FEATURES + _features(np.concatenate(passages)), return_counts=True)
-    row, feature = cell // _FEATURES, cell % _FEATURES
-    value = count * idf[feature]
-    norm = np.sqrt(np.bincount(row, value**2, len(passages)))
-    return row, feature, (value / np.maximum(norm, 1e-9)[row]).astype(np.float32)
+def _passage_counts(stats: DataFrame) -> np.ndarray:
+    counts = np.zeros(_FEATURES + 1)
+    for row in stats.groupBy("feature").agg(F.sum("count").alias("n")).collect():
+        counts[row["feature"]] = row["n"]
+    return counts
 
 
-def latent_space(sample: DataFrame, idf: np.ndarray, rank: int = RANK, extra: int = EXTRA, passes: int = PASSES) -> np.ndarray:
-    """A features x rank matrix, the leading right singular vectors of the sample, and
-    below it a row of zeros, for a feature of nothing.
+def _rows(passages: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and feature of each word of passages, and the length of each row of the TF-IDF matrix."""
+    row = np.repeat(np.arange(len(passages)), [len(x) for x in passages])
+    feature = _features(np.concatenate(passages))
+    cell, count = np.unique(row * _FEATURES + feature, return_counts=True)
+    norm = np.sqrt(np.bincount(cell // _FEATURES, (count * idf[cell % _FEATURES]) ** 2, len(passages)))
+    return row, feature, np.maximum(norm, 1e-9)
 
-    ``sample`` has ``words``, the word hashes of a passage, and its ``weight``. Each pass is a Spark job: a
-    partition returns its part of A'(A X) for the features it has, and the driver adds
-    up a few thousand features at a time. The driver holds two such matrices of fixed
-    size, and makes columns orthonormal by their small matrix of products.
+
+def _weighted(passages: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, features and weights of the TF-IDF matrix of passages, rows of length 1."""
+    row, feature, norm = _rows(passages, idf)
+    cell, count = np.unique(row * _FEATURES + feature, return_counts=True)
+    row, feature = cell // _FEATURES, cell % _FEATURES
+    return row, feature, (count * idf[feature] / norm[row]).astype(np.float32)
+
+
+def _sums(group: np.ndarray, row: np.ndarray, source: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The groups, in no order, and for each the sum of the rows of ``source`` that its
+    entries name. Entries are ordered by group."""
+    begins = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1))
+    counts = np.diff(np.append(begins, len(group)))
+    order = np.argsort(-counts, kind="stable")
+    begins, counts = begins[order], counts[order]
+    out = np.zeros((len(begins), source.shape[1]), np.float32)
+    # Groups that name many of the rows: as a matrix of how often they do, some at a time.
+    many = int(np.searchsorted(-counts, -max(_BESIDE, len(source) // 16), "right"))
+    for at in range(0, many, 64):
+        size = counts[at : min(at + 64, many)]
+        entry = np.repeat(begins[at : at + len(size)] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        cell = np.repeat(np.arange(len(size)) * len(source), size) + row[entry]
+        named = np.bincount(cell, minlength=len(size) * len(source)).astype(np.float32)
+        out[at : at + len(size)] = named.reshape(len(size), -1) @ source
+    # The first entries of some groups side by side, then the second of those that have one.
+    held = np.empty((_BESIDE, source.shape[1]), np.float32)
+    for at in range(many, len(begins), _BESIDE):
+        first, size, sums = begins[at : at + _BESIDE], counts[at : at + _BESIDE], out[at : at + _BESIDE]
+        for turn, n in enumerate(np.searchsorted(-size, -np.arange(size[0]), "left").tolist()):
+            sums[:n] += np.take(source, row[first[:n] + turn], axis=0, out=held[:n], mode="clip")
+    return group[begins], out
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each block of features: the sum of its parts."""
+    blocks: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, rows, part in zip(*(batch.column(c).to_pylist() for c in ("block", "rows", "part")), strict=True):
+            rows = np.frombuffer(rows, np.int64)
+            part = np.frombuffer(part, np.float32).reshape(len(rows), -1)
+            if block not in blocks:
+                blocks[block] = np.zeros((_ROWS, part.shape[1]), np.float32)
+            blocks[block][rows] += part
+    every = np.arange(_ROWS).tobytes()
+    for block, total in blocks.items():
+        yield pa.RecordBatch.from_pydict({"block": [block], "rows": [every], "part": [total.tobytes()]})
+
+
+def latent_space(texts: DataFrame, idf: np.ndarray, rank: int = RANK, extra: int = EXTRA, passes: int = PASSES) -> np.ndarray:
+    """A features x rank matrix, the leading right singular vectors of all passages of
+    ``texts``, and below it a row of zeros, for a feature of nothing.
+
+    ``texts`` has ``words``, the word hashes of a text, and the ``weight`` of each of its
+    passages. Each pass is a Spark job over all of them: a task has its part of A'(A X)
+    for the features it met, parts are added up by blocks of features, and the driver
+    takes the sum, of fixed size, block by block. The last pass only needs the columns'
+    products (A X)'(A X). The driver holds two matrices of that size, and makes columns
+    orthonormal by their small matrix of products.
     """
-    spark = sample.sparkSession
-    basis = np.random.default_rng(0).standard_normal((_FEATURES, rank + extra), np.float32)
-    _orthonormal(basis)
+    spark = texts.sparkSession
+    bounded_batches(spark)
+    width = rank + extra
+    # Each feature begins in one column alone, so columns are orthogonal, and the first
+    # A X is a sum of few numbers.
+    pick = np.random.default_rng(0)
+    column, sign = pick.integers(0, width, _FEATURES), pick.choice([-1.0, 1.0], _FEATURES)
+    sign /= np.sqrt(np.bincount(column, minlength=width))[column]
+    basis = np.zeros((_FEATURES, width), np.float32)
+    basis[np.arange(_FEATURES), column] = sign
     idf_ = spark.sparkContext.broadcast(idf)
+    own = idf.astype(np.float32)[:, None]
+    schema = "block long, rows binary, part binary"
     for turn in range(passes):
-        shared = spark.sparkContext.broadcast(basis)
-
-        def part(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(shared.value.shape, np.float32)
-            for batch in batches:
+        # A row of A is a passage's words, each by its IDF, by the passage's length; the
+        # former is put into X before and into the sum after, the latter into A X.
+        shared = spark.sparkContext.broadcast(basis * own if turn else (column, sign * idf))
+        last = turn == passes - 1
+
+        def part(batches: Iterator[pa.RecordBatch], shared=shared, first=not turn, last=last) -> Iterator[pa.RecordBatch]:
+            out = np.zeros((width if last else _FEATURES, width), np.float32)
+            for batch in slices(batches, 512):
                 found = _words_of(batch)
-                if not found:
+                if not any(map(len, found)):
                     continue
-                row, feature, value = _weighted(found, idf_.value)
-                value *= batch.column("weight").to_numpy().astype(np.float32)[row]
-                seen = shared.value[feature] * value[:, None]
-                begins = np.concatenate(([0], np.flatnonzero(np.diff(row)) + 1))
-                passage = np.add.reduceat(seen, begins)
-                back = np.repeat(passage, np.diff(np.append(begins, len(row))), axis=0) * value[:, None]
-                order = np.argsort(feature, kind="stable")
-                begins = np.concatenate(([0], np.flatnonzero(np.diff(feature[order])) + 1))
-                out[feature[order][begins]] += np.add.reduceat(back[order], begins)
+                starts = [range(0, len(x), 2 * HALF) for x in found]
+                passages = [x[a : a + 2 * HALF] for x, some in zip(found, starts, strict=True) for a in some]
+                weight = np.repeat(batch.column("weight").to_numpy(), [len(x) for x in starts])
+                row, feature, norm = _rows(passages, idf_.value)
+                if first:
+                    column, sign = shared.value
+                    seen = np.bincount(row * width + column[feature], sign[feature], len(passages) * width)
+                    seen = seen.astype(np.float32).reshape(-1, width)
+                else:
+                    # Every passage has a feature, so none is missing among the groups.
+                    group, sums = _sums(row, feature, shared.value)
+                    seen = np.empty_like(sums)
+                    seen[group] = sums
+                scale = (weight / norm).astype(np.float32)[:, None]
+                seen *= scale
+                if last:
+                    out += seen.T @ seen
+                else:
+                    seen *= scale
+                    order = np.argsort(feature.astype(np.uint16), kind="stable")
+                    group, sums = _sums(feature[order], row[order], seen)
+                    out[group] += sums
             rows = np.flatnonzero(out.any(1))
-            for at in range(0, len(rows), _ROWS):
-                some = rows[at : at + _ROWS]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([some.tobytes()], pa.binary()), pa.array([out[some].tobytes()], pa.binary())], ["rows", "part"]
+            for block in np.unique(rows // _ROWS).tolist():
+                some = rows[rows // _ROWS == block]
+                yield pa.RecordBatch.from_pydict(
+                    {"block": [block], "rows": [(some % _ROWS).tobytes()], "part": [out[some].tobytes()]}
                 )
 
-        total = np.zeros_like(basis)
-        for x in sample.select("words", "weight").mapInArrow(part, "rows binary, part binary").toLocalIterator():
-            rows = np.frombuffer(x["rows"], np.int64)
-            total[rows] += np.frombuffer(x["part"], np.float32).reshape(len(rows), basis.shape[1])
-        if turn == passes - 1:
+        parts = texts.select("words", "weight").mapInArrow(part, schema)
+        total = np.zeros((width if last else _FEATURES, width), np.float32)
+        for x in parts.repartition("block").mapInArrow(_added, schema).toLocalIterator():
+            at = x["block"] * _ROWS
+            some = np.frombuffer(x["part"], np.float32).reshape(-1, width)
+            total[at : at + _ROWS] += some[: len(total) - at]
+        if last:
             # basis' A'A basis is small: its eigenvectors turn the basis into singular vectors.
-            _, turnings = np.linalg.eigh(_products(basis, total))
+            _, turnings = np.linalg.eigh(total.astype(np.float64))
             turned = np.zeros((_FEATURES + 1, rank), np.float32)
             np.matmul(basis, turnings[:, ::-1][:, :rank].astype(np.float32), out=turned[:-1])
             basis = turned
         else:
-            basis = total
+            basis = np.multiply(total, own, out=total)
             _orthonormal(basis)
         shared.destroy()
     idf_.destroy()
@@ -393,28 +452,34 @@ def _benchmark_blocks(benchmark: DataFrame, block: int) -> Iterator[list[tuple]]
         yield held
 
 
-def fit_space(hashed: DataFrame, benchmark: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """IDF of the features over all documents' passages, and IDF-weighted latent space.
+def fit_space(hashed: DataFrame, benchmark: DataFrame, weighed: int = WEIGHED) -> tuple[np.ndarray, np.ndarray]:
+    """IDF of the features over all documents' passages, and IDF-weighted latent space of
+    all passages of documents and benchmark.
 
-    ``hashed`` are the ``hashed_words`` of the documents.
+    ``hashed`` are the ``hashed_words`` of the documents. Of more than ``weighed``
+    passages on either side each weighs the less, so that neither side drowns the other.
     """
-    stats = written(passage_stats(hashed), "leak-stats")
-    counts = np.zeros(_FEATURES + 1)
-    for row in stats.where("feature IS NOT NULL").groupBy("feature").agg(F.sum("count").alias("n")).collect():
-        counts[row["feature"]] = row["n"]
+    counts = _passage_counts(passage_stats(hashed))
     idf = np.maximum(np.log((1 + counts[-1]) / (1 + counts[:-1])), 0)
     items = benchmark.select(F.lit(None).cast("long").alias("doc_id"), F.col("`text`").alias("text"))
-    asked = passage_stats(hashed_words(items)).where("order IS NOT NULL").select("order", "words")
-    chosen = stats.where("order IS NOT NULL").select("order", "words").orderBy("order", "words").limit(sample)
-    asked = asked.orderBy("order", "words").limit(sample).withColumn("weight", F.lit(ASKED_WEIGHT))
-    both = chosen.withColumn("weight", F.lit(1.0)).unionByName(asked)
-    space = latent_space(written(both.repartition(8), "leak-sample"), idf)
+    asked = written(hashed_words(items), "leak-asked")
+    n_asked = _passage_counts(passage_stats(asked))[-1]
+
+    def weight(own: float, passages: float) -> Column:
+        return F.lit(float(own * np.sqrt(weighed / max(weighed, passages))))
+
+    both = hashed.select("words", weight(1.0, counts[-1]).alias("weight")).unionByName(
+        asked.select("words", weight(ASKED_WEIGHT, n_asked).alias("weight"))
+    )
+    # A task's part of a sum is large whatever it reads: no more of them than run at a time.
+    tasks = min(hashed.sparkSession.sparkContext.defaultParallelism, int((counts[-1] + n_asked) // FIT_PASSAGES) + 1)
+    space = latent_space(both.coalesce(tasks), idf)
     space[:-1] *= idf.astype(np.float32)[:, None]
     return idf, space
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, block: int = BLOCK
+    docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, weighed: int = WEIGHED, block: int = BLOCK
 ) -> DataFrame:
     """``doc_id, item_id, cosine, share``: the benchmark items that leak into documents.
 
@@ -425,17 +490,17 @@ def find_leaks(
     id are searched each and may report it twice. Other columns are ignored, whatever
     their names.
     """
-    return _leaks_of(written(hashed_words(docs), "leak-words"), benchmark, cosine, sample, block).drop("mark")
+    return _leaks_of(written(hashed_words(docs), "leak-words"), benchmark, cosine, weighed, block).drop("mark")
 
 
 def without_leaks(
-    docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, block: int = BLOCK
+    docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, weighed: int = WEIGHED, block: int = BLOCK
 ) -> DataFrame:
     """``docs``, all columns, without the rows that any benchmark item leaks into.
 
     Rows that share id and text go together; columns may have any names.
     """
-    leaks = _leaks_of(written(hashed_words(docs), "leak-words"), benchmark, cosine, sample, block)
+    leaks = _leaks_of(written(hashed_words(docs), "leak-words"), benchmark, cosine, weighed, block)
     gone, some = written_counted(leaks.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct(), "leak-rows")
     if not some:
         return docs
@@ -446,10 +511,10 @@ def without_leaks(
     return rows.join(F.broadcast(gone) if some <= MAX_BROADCAST_ROWS else gone, here, "left_anti").select("row.*")
 
 
-def _leaks_of(hashed: DataFrame, benchmark: DataFrame, cosine: float, sample: int, block: int) -> DataFrame:
+def _leaks_of(hashed: DataFrame, benchmark: DataFrame, cosine: float, weighed: int, block: int) -> DataFrame:
     """``doc_id, mark, item_id, cosine, share`` of the leaks in documents of ``hashed_words``."""
     spark = hashed.sparkSession
-    idf, space = fit_space(hashed, benchmark, sample)
+    idf, space = fit_space(hashed, benchmark, weighed)
     shared = spark.sparkContext.broadcast(space)
     schema = "doc_id long, mark binary, item_id long, cosine double, share double"
     out = spark.createDataFrame([], schema)

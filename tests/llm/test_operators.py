@@ -657,3 +657,24 @@ def test_latent_space_is_orthonormal_and_spans_the_leading_directions(spark):
     best = np.linalg.svd(full)[1][:6]
     held = np.linalg.svd(full @ space[used])[1]
     assert (held >= 0.98 * best).all()
+
+
+def test_space_is_fitted_on_all_passages(spark, docs):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(32)), "s") for i in range(120)]
+    benchmark = spark.createDataFrame([(1, "some words of an item")], "item_id long, text string")
+    hashed = decontaminate.hashed_words(docs(rows))
+    _, space = decontaminate.fit_space(hashed, benchmark, 8)
+    words = np.concatenate(decontaminate._Words().each(pa.array([x for _, x, _ in rows], pa.string())))
+    # Weighed as eight passages, but all of them: no word is nowhere in the space.
+    assert (np.linalg.norm(space[decontaminate._features(words)], axis=1) > 1e-2).all()
+
+
+def test_sums_of_rows():
+    pick = np.random.default_rng(7)
+    source = pick.standard_normal((700, 5)).astype(np.float32)
+    group = np.sort(np.minimum(pick.integers(0, 3000, 9000), pick.integers(0, 3000, 9000)) // 3 * (pick.random(9000) > 0.2))
+    row = pick.integers(0, 700, 9000)
+    found, sums = decontaminate._sums(group, row, source)
+    want = np.zeros((group.max() + 1, 5))
+    np.add.at(want, group, source[row].astype(float))
+    assert sorted(found) == np.unique(group).tolist() and np.allclose(sums, want[found], atol=1e-3)
