@@ -678,3 +678,17 @@ def test_sums_of_rows():
     want = np.zeros((group.max() + 1, 5))
     np.add.at(want, group, source[row].astype(float))
     assert sorted(found) == np.unique(group).tolist() and np.allclose(sums, want[found], atol=1e-3)
+
+
+def test_latin_words_skip_the_library(monkeypatch):
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        encoder = token_files._Encoder(f.read())
+    through, library = [], encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda word: through.append(word) or library(word))
+    every = [*token_files._LATIN, *(x + "e" + x for x in token_files._LATIN), "Ñandú,***", "ÉTÉ&&&", "Straße###", "and.%%%"]
+    for x in every:
+        assert encoder.encode(x) == library(x), x
+    # Marks alone still go through it, once.
+    assert set(through) == {",***", "&&&", "###", ".%%%"}
+    for x in ("İx", "n'", "x'S", "<|endoftext|>", "a<|endoftext|>", "a\u0301.", "ﬁ", "é\xa0É."):
+        assert encoder.encode(x) == library(x), x
