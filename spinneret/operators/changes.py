@@ -64,15 +64,16 @@ def insert_ignore(batch: DataFrame, existing: DataFrame, order: str) -> DataFram
     ``order`` stays, whether or not other rows share its value. Rows that tie there are
     told apart by a hash of the whole row; of rows that are equal in all columns one
     stays. The rows to drop are worked out on narrow columns, so wide rows only move if
-    there are many to drop, or to tell equal ones apart.
+    there are many to drop, or to tell equal ones apart. Keys are joined by shuffle: their
+    files are far smaller than they are, so Spark would send many to the driver to broadcast.
     """
     keys = ["crawl_id", "url"]
     columns = batch.columns
     marked = batch.withColumn("_row", F.xxhash64(*columns))
     narrow = marked.groupBy(*keys, order, "_row").agg(F.count(F.lit(1)).alias("_copies"))
     best = narrow.groupBy(*keys).agg(F.min(F.struct(order, "_row", "_copies")).alias("_best"))
-    new = best.select(*keys, "_best.*").join(existing.select(*keys), keys, "left_anti").select(*keys, "_row", "_copies")
-    kept = without(marked, narrow.join(new, [*keys, "_row"], "left_anti").select(*keys, "_row"), *keys, "_row")
+    new = best.select(*keys, "_best.*").join(existing.select(*keys).hint("merge"), keys, "left_anti").select(*keys, "_row", "_copies")
+    kept = without(marked, narrow.join(new.hint("merge"), [*keys, "_row"], "left_anti").select(*keys, "_row"), *keys, "_row")
     twins = new.where("_copies > 1").select(*keys)
     single = without(kept, twins, *keys)
     if single is kept:

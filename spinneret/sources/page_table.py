@@ -178,7 +178,7 @@ class PageTable:
         batch = self._present(batch)
         near = written(self.keys_near(batch), "near-keys")
         new = insert_ignore(batch, near, order)
-        keys = batch.select("crawl_id", "url").distinct().join(near, ["crawl_id", "url"], "left_anti")
+        keys = batch.select("crawl_id", "url").distinct().join(near.hint("merge"), ["crawl_id", "url"], "left_anti")
         note = self._note(store._touched_buckets(batch))
         store._write_pages(new, self._at("pages"), "append")
         self._write_keys(keys)

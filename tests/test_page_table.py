@@ -154,3 +154,15 @@ def test_stream_of_files_into_stored_rows(spark, table, tmp_path):
         query.awaitTermination()
         assert len(query.recentProgress) >= 3
         assert ids(table.read()) == [0, 1, 11, 21, 31]
+
+
+def test_keys_are_not_broadcast(spark, table, monkeypatch):
+    from spinneret.operators import changes
+
+    table.insert_new(rows_of(spark, (1, "a"), (2, "a")))
+    plans, unwanted, write = [], changes.without, table._write_keys
+    monkeypatch.setattr(changes, "without", lambda df, keys, *by: plans.append(plan_of(keys)) or unwanted(df, keys, *by))
+    monkeypatch.setattr(table, "_write_keys", lambda keys: plans.append(plan_of(keys)) or write(keys))
+    table.insert_new(rows_of(spark, (1, "a"), (1, "new"), (1, "new"), first=10))
+    assert ids(table.read()) == [0, 1, 11] and len(plans) == 3
+    assert all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
