@@ -219,18 +219,18 @@ def _sums(group: np.ndarray, row: np.ndarray, source: np.ndarray) -> tuple[np.nd
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each block of features: the sum of its parts."""
+    """One row for each block of features: the sum of its parts, in double precision, so that their order does not show."""
     blocks: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, rows, part in zip(*(batch.column(c).to_pylist() for c in ("block", "rows", "part")), strict=True):
             rows = np.frombuffer(rows, np.int64)
             part = np.frombuffer(part, np.float32).reshape(len(rows), -1)
             if block not in blocks:
-                blocks[block] = np.zeros((_ROWS, part.shape[1]), np.float32)
+                blocks[block] = np.zeros((_ROWS, part.shape[1]))
             blocks[block][rows] += part
     every = np.arange(_ROWS).tobytes()
     for block, total in blocks.items():
-        yield pa.RecordBatch.from_pydict({"block": [block], "rows": [every], "part": [total.tobytes()]})
+        yield pa.RecordBatch.from_pydict({"block": [block], "rows": [every], "part": [total.astype(np.float32).tobytes()]})
 
 
 def latent_space(texts: DataFrame, idf: np.ndarray, rank: int = RANK, extra: int = EXTRA, passes: int = PASSES) -> np.ndarray:
