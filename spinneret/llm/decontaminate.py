@@ -36,8 +36,8 @@ RANK, EXTRA, PASSES = 160, 8, 3
 WEIGHED, ASKED_WEIGHT = 8_192, 4.0
 # Passages that make a task of the fit worth its sum, of 44 MB.
 FIT_PASSAGES = 1 << 19
-# Sums of rows made side by side.
-_BESIDE = 256
+# Sums of rows made side by side, and rows held to be summed.
+_BESIDE, _HELD = 256, 512
 # Benchmark items held at a time.
 BLOCK = 2_000
 COSINE = 0.6
@@ -51,6 +51,8 @@ _FEATURES = 1 << FEATURE_BITS
 _CODES = mixed(np.array([ord(chr(b).lower()) if b < 128 else b for b in range(256)], np.uint64) + np.uint64(1))
 _CODES[[b for b in range(128) if not chr(b).isalnum()]] = 0
 _STEP = 0x9E3779B97F4A7C15
+# Bytes of words that are numbered together, few enough to stay in a cache.
+_TOGETHER = 1 << 16
 # Features that a row of a sum holds, so that no row is large.
 _ROWS = 1024
 
@@ -73,6 +75,72 @@ def _numbers(words: pa.StringArray) -> np.ndarray:
     return np.where(before[ends[1:]] == before[ends[:-1]], 0, np.maximum(found, 1)).astype(np.uint32)
 
 
+def _powers(of: int, n: int) -> np.ndarray:
+    powers = np.full(n, of, np.uint64)
+    powers[:1] = 1
+    return np.cumprod(powers)
+
+
+def _plain(character: str) -> str:
+    return "".join(filter(str.isalnum, character.casefold()))
+
+
+def _pairs() -> tuple[np.ndarray, np.ndarray]:
+    """For each character of two bytes, what its bytes add to a word's number, and whether
+    that says all: what stands for it without case may be longer."""
+    plain = [_plain(chr(c)).encode() if c >= 128 else b"" for c in range(2048)]
+    short = np.array([len(x) <= 2 for x in plain])
+    codes = np.zeros((2048, 2), np.uint64)
+    for c in np.flatnonzero(short).tolist():
+        codes[c, : len(plain[c])] = _CODES[list(plain[c])]
+    return codes, short
+
+
+_PAIRS, _SHORT = _pairs()
+_UP, _DOWN = _powers(_STEP, _TOGETHER), _powers(pow(_STEP, -1, 1 << 64), _TOGETHER)
+
+
+def _quick_numbers(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """The ``_numbers`` of words as they are without case and marks, and which words these
+    are not right for: those with other characters than of one or two bytes."""
+    numbers, odd = np.zeros(len(words), np.uint32), np.zeros(len(words), bool)
+    _, offsets, data = words.buffers()
+    if not len(words) or data is None:
+        return numbers, odd
+    ends = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8)
+    at = 0
+    while at < len(words):
+        upto = max(at + 1, int(np.searchsorted(ends, ends[at] + _TOGETHER, "right")) - 1)
+        some, here = data[ends[at] : ends[upto]], ends[at : upto + 1] - ends[at]
+        code = np.take(_CODES, some)
+        high = np.flatnonzero(some >= 128)
+        if len(high):
+            value, begins = some[high], np.zeros(len(some) + 1, bool)
+            begins[here[:-1]] = True
+            # A byte that begins a character of two, and the one after it, in the same word.
+            pair = np.zeros(len(high) + 1, bool)
+            pair[1:-1] = (value[:-1] >= 0xC2) & (value[:-1] < 0xE0) & (value[1:] < 0xC0)
+            pair[1:-1] &= (np.diff(high) == 1) & ~begins[high[1:]]
+            first = np.flatnonzero(pair[1:])
+            character = (value[first].astype(np.int64) & 31) << 6 | value[first + 1] & 63
+            code[high[first]], code[high[first] + 1] = _PAIRS[character].T
+            bad = np.concatenate((high[~(pair[1:] | pair[:-1])], high[first[~_SHORT[character]]]))
+            odd[at + np.searchsorted(here, bad, "right") - 1] = True
+        kept = code != 0
+        rank = np.concatenate((np.zeros(1, np.int32), np.cumsum(kept, dtype=np.int32)))[here]
+        code = code[kept]
+        # By powers that count on from word to word, and back by those of each word's begin;
+        # a word that is longer than they reach is alone, and one that begins there is empty.
+        up = _UP if len(code) <= _TOGETHER else _powers(_STEP, len(code))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(code * up[: len(code)])))
+        begin, end = rank[:-1], rank[1:]
+        found = mixed((sums[end] - sums[begin]) * _DOWN[np.minimum(begin, _TOGETHER - 1)]) >> np.uint64(32)
+        numbers[at:upto] = np.where(begin == end, 0, np.maximum(found, 1))
+        at = upto
+    return numbers, odd
+
+
 class _Words(WordHashes):
     """Numbers of words without case and punctuation; 0 for those that are nothing else.
 
@@ -81,7 +149,7 @@ class _Words(WordHashes):
 
     @staticmethod
     def hashed(word: bytes) -> str:
-        return "".join(filter(str.isalnum, word.decode("utf-8", "replace").casefold()))
+        return _plain(word.decode("utf-8", "replace"))
 
     def of(self, found: pa.StringArray) -> np.ndarray:
         plain = pc.string_is_ascii(found).to_numpy(zero_copy_only=False)
@@ -95,11 +163,14 @@ class _Words(WordHashes):
         return self.each(pa.array([text], pa.binary()).cast(pa.string()))[0]
 
     def each(self, column: pa.StringArray) -> list[np.ndarray]:
-        """The words of each text as 32-bit numbers. Words that repeat are numbered once."""
+        """The words of each text as 32-bit numbers."""
         # Splits at the six characters that SPACE has, like bytes.split().
         split = pc.ascii_split_whitespace(pc.fill_null(column, ""))
-        every = split.flatten().dictionary_encode()
-        hashes = self.of(every.dictionary)[every.indices.to_numpy()]
+        every = split.flatten()
+        hashes, odd = _quick_numbers(every)
+        if odd.any():
+            rare = every.filter(pa.array(odd)).dictionary_encode()
+            hashes[odd] = self.of(rare.dictionary)[rare.indices.to_numpy()]
         kept = hashes != 0
         ends = np.concatenate(([0], np.cumsum(kept)))[split.offsets.to_numpy() - split.offsets[0].as_py()]
         hashes = hashes[kept]
@@ -135,6 +206,17 @@ def _passages(n: int, step: int) -> list[tuple[int, int]]:
     return [(a, min(a + width, n)) for a in range(0, max(n - width, 0) + step, step) if a < max(n, 1)] if n else []
 
 
+def _grid(texts: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features of texts' words, ``width`` to a row, the last row of a text filled up with
+    the feature of nothing; and how many rows each text has."""
+    sizes = np.array([len(x) for x in texts])
+    rows = -(-sizes // width)
+    begin = np.repeat((np.cumsum(rows) - rows) * width - (np.cumsum(sizes) - sizes), sizes)
+    grid = np.full(rows.sum() * width, _FEATURES)
+    grid[np.arange(sizes.sum()) + begin] = _features(np.concatenate(texts))
+    return grid.reshape(-1, width), rows
+
+
 def passage_stats(hashed: DataFrame) -> DataFrame:
     """``feature, count``: in how many passages a feature occurs, a row for each task that
     met it; under the number behind the last feature, how many passages there are.
@@ -176,31 +258,54 @@ def _passage_counts(stats: DataFrame) -> np.ndarray:
     return counts
 
 
-def _rows(passages: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row and feature of each word of passages, and the length of each row of the TF-IDF matrix."""
-    row = np.repeat(np.arange(len(passages)), [len(x) for x in passages])
-    feature = _features(np.concatenate(passages))
-    cell, count = np.unique(row * _FEATURES + feature, return_counts=True)
-    norm = np.sqrt(np.bincount(cell // _FEATURES, (count * idf[cell % _FEATURES]) ** 2, len(passages)))
-    return row, feature, np.maximum(norm, 1e-9)
+def _lengths(grid: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The length of each row of the TF-IDF matrix, of passages given as a ``_grid``."""
+    ordered = np.sort(grid.astype(np.int32), axis=1)
+    fresh = np.ones(grid.shape, bool)
+    fresh[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+    cell = np.flatnonzero(fresh)
+    feature, count = ordered.ravel()[cell], np.diff(cell, append=grid.size)
+    weight = np.append(idf, 0.0)[feature]
+    norm = np.sqrt(np.bincount(cell // grid.shape[1], (count * weight) ** 2, len(grid)))
+    return np.maximum(norm, 1e-9)
 
 
 def _weighted(passages: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows, features and weights of the TF-IDF matrix of passages, rows of length 1."""
-    row, feature, norm = _rows(passages, idf)
-    cell, count = np.unique(row * _FEATURES + feature, return_counts=True)
+    row = np.repeat(np.arange(len(passages)), [len(x) for x in passages])
+    cell, count = np.unique(row * _FEATURES + _features(np.concatenate(passages)), return_counts=True)
     row, feature = cell // _FEATURES, cell % _FEATURES
-    return row, feature, (count * idf[feature] / norm[row]).astype(np.float32)
+    norm = np.sqrt(np.bincount(row, (count * idf[feature]) ** 2, len(passages)))
+    return row, feature, (count * idf[feature] / np.maximum(norm, 1e-9)[row]).astype(np.float32)
+
+
+def _row_sums(grid: np.ndarray, source: np.ndarray) -> np.ndarray:
+    """For each row of ``grid`` the sum of the rows of ``source`` that it names, in order."""
+    width = grid.shape[1]
+    step, out = _HELD // width, np.empty((len(grid), source.shape[1]), np.float32)
+    held = np.empty((step * width, source.shape[1]), np.float32)
+    for at in range(0, len(grid), step):
+        # What all rows name first, then what they name second, and so on, one below the other.
+        some = grid[at : at + step].T
+        rows = np.take(source, some.ravel(), axis=0, out=held[: some.size], mode="clip")
+        np.add.reduce(rows.reshape(width, -1), axis=0, out=out[at : at + step].reshape(-1))
+    return out
 
 
 def _sums(group: np.ndarray, row: np.ndarray, source: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The groups, in no order, and for each the sum of the rows of ``source`` that its
     entries name. Entries are ordered by group."""
+    groups, sums = zip(*((some, part.copy()) for some, part in _some_sums(group, row, source)), strict=True)
+    return np.concatenate(groups), np.concatenate(sums)
+
+
+def _some_sums(group: np.ndarray, row: np.ndarray, source: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The ``_sums`` some groups at a time; those given hold only until the next are asked for."""
     begins = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1))
     counts = np.diff(np.append(begins, len(group)))
     order = np.argsort(-counts, kind="stable")
     begins, counts = begins[order], counts[order]
-    out = np.zeros((len(begins), source.shape[1]), np.float32)
+    groups = group[begins]
     # Groups that name many of the rows: as a matrix of how often they do, some at a time.
     many = int(np.searchsorted(-counts, -max(_BESIDE, len(source) // 16), "right"))
     for at in range(0, many, 64):
@@ -208,14 +313,15 @@ def _sums(group: np.ndarray, row: np.ndarray, source: np.ndarray) -> tuple[np.nd
         entry = np.repeat(begins[at : at + len(size)] - np.cumsum(size) + size, size) + np.arange(size.sum())
         cell = np.repeat(np.arange(len(size)) * len(source), size) + row[entry]
         named = np.bincount(cell, minlength=len(size) * len(source)).astype(np.float32)
-        out[at : at + len(size)] = named.reshape(len(size), -1) @ source
+        yield groups[at : at + len(size)], named.reshape(len(size), -1) @ source
     # The first entries of some groups side by side, then the second of those that have one.
-    held = np.empty((_BESIDE, source.shape[1]), np.float32)
+    held, out = np.empty((2, _BESIDE, source.shape[1]), np.float32)
     for at in range(many, len(begins), _BESIDE):
-        first, size, sums = begins[at : at + _BESIDE], counts[at : at + _BESIDE], out[at : at + _BESIDE]
-        for turn, n in enumerate(np.searchsorted(-size, -np.arange(size[0]), "left").tolist()):
+        first, size = begins[at : at + _BESIDE], counts[at : at + _BESIDE]
+        sums = np.take(source, row[first], axis=0, out=out[: len(first)], mode="clip")
+        for turn, n in enumerate(np.searchsorted(-size, -np.arange(1, size[0]), "left").tolist(), 1):
             sums[:n] += np.take(source, row[first[:n] + turn], axis=0, out=held[:n], mode="clip")
-    return group[begins], out
+        yield groups[at : at + _BESIDE], sums
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +366,13 @@ def latent_space(texts: DataFrame, idf: np.ndarray, rank: int = RANK, extra: int
     for turn in range(passes):
         # A row of A is a passage's words, each by its IDF, by the passage's length; the
         # former is put into X before and into the sum after, the latter into A X.
-        shared = spark.sparkContext.broadcast(basis * own if turn else (column, sign * idf))
+        # Below either stands a row for the feature of nothing.
+        if turn:
+            start = np.zeros((_FEATURES + 1, width), np.float32)
+            np.multiply(basis, own, out=start[:-1])
+        else:
+            start = np.append(column, 0), np.append(sign * idf, 0.0)
+        shared = spark.sparkContext.broadcast(start)
         last = turn == passes - 1
 
         def part(batches: Iterator[pa.RecordBatch], shared=shared, first=not turn, last=last) -> Iterator[pa.RecordBatch]:
@@ -269,28 +381,28 @@ def latent_space(texts: DataFrame, idf: np.ndarray, rank: int = RANK, extra: int
                 found = _words_of(batch)
                 if not any(map(len, found)):
                     continue
-                starts = [range(0, len(x), 2 * HALF) for x in found]
-                passages = [x[a : a + 2 * HALF] for x, some in zip(found, starts, strict=True) for a in some]
-                weight = np.repeat(batch.column("weight").to_numpy(), [len(x) for x in starts])
-                row, feature, norm = _rows(passages, idf_.value)
+                grid, rows = _grid(found, 2 * HALF)
+                weight = np.repeat(batch.column("weight").to_numpy(), rows)
+                norm = _lengths(grid, idf_.value)
                 if first:
                     column, sign = shared.value
-                    seen = np.bincount(row * width + column[feature], sign[feature], len(passages) * width)
+                    seen = np.bincount(
+                        (np.arange(len(grid))[:, None] * width + column[grid]).ravel(), sign[grid].ravel(), len(grid) * width
+                    )
                     seen = seen.astype(np.float32).reshape(-1, width)
                 else:
-                    # Every passage has a feature, so none is missing among the groups.
-                    group, sums = _sums(row, feature, shared.value)
-                    seen = np.empty_like(sums)
-                    seen[group] = sums
+                    seen = _row_sums(grid, shared.value)
                 scale = (weight / norm).astype(np.float32)[:, None]
                 seen *= scale
                 if last:
                     out += seen.T @ seen
                 else:
                     seen *= scale
-                    order = np.argsort(feature.astype(np.uint16), kind="stable")
-                    group, sums = _sums(feature[order], row[order], seen)
-                    out[group] += sums
+                    place = np.flatnonzero(grid != _FEATURES)
+                    feature = grid.ravel()[place].astype(np.uint16)
+                    order = np.argsort(feature, kind="stable")
+                    for group, sums in _some_sums(feature[order], place[order] // grid.shape[1], seen):
+                        out[group] += sums
             rows = np.flatnonzero(out.any(1))
             for block in np.unique(rows // _ROWS).tolist():
                 some = rows[rows // _ROWS == block]
@@ -398,34 +510,30 @@ def _leaks(items: list[Item], space: np.ndarray, cosine: float):
         kept = [i for i, x in enumerate(hashes) if len(x)]
         if not kept:
             return []
-        sizes = np.array([len(hashes[i]) for i in kept])
-        lengths = -(-sizes // HALF)
-        # Half passages side by side, the last of a text filled up with a feature of nothing.
-        begin = np.repeat((np.cumsum(lengths) - lengths) * HALF - (np.cumsum(sizes) - sizes), sizes)
-        feature = np.full(lengths.sum() * HALF, _FEATURES)
-        feature[np.arange(sizes.sum()) + begin] = _features(np.concatenate([hashes[i] for i in kept]))
-        feature = feature.reshape(-1, HALF).T
-        halves = space[feature[0]]
-        for more in feature[1:]:
-            halves += space[more]
+        halved, lengths = _grid([hashes[i] for i in kept], HALF)
+        # Half passages side by side, and one of nothing.
+        halves = np.zeros((len(halved) + 1, space.shape[1]), np.float32)
+        halves[:-1] = _row_sums(halved, space)
         row = np.repeat(np.array(kept), lengths)
         place = np.concatenate([np.arange(n) for n in lengths])
         last = np.cumsum(lengths) - 1
-        passages = halves.copy()
-        passages[:-1] += np.where((row[1:] == row[:-1])[:, None], halves[1:], 0)
+        after = np.arange(1, len(row) + 1)
+        after[last] = len(row)
         # The last half alone is a passage only where there is no other.
         alone = np.zeros(len(row), bool)
         alone[last] = place[last] > 0
         use = np.flatnonzero(~alone)
         leaked: dict[tuple[int, int], tuple[float, float]] = {}
         for cut in range(0, len(use), 4096):
-            part = use[cut : cut + 4096]
-            near = _unit(passages[part]) @ asked.T
-            hit, span = np.nonzero(near >= cosine)
             best: dict[tuple[int, int, int], float] = {}
-            for p, i, c in zip(part[hit].tolist(), of[span].tolist(), near[hit, span].tolist(), strict=True):
-                key = (int(row[p]), int(place[p]), i)
-                best[key] = max(best.get(key, -1.0), c)
+            for at in range(cut, min(cut + 4096, len(use)), _HELD):
+                part = use[at : min(at + _HELD, cut + 4096)]
+                near = (_unit(halves[part] + halves[after[part]]) @ asked.T).ravel()
+                found = np.flatnonzero(near >= cosine)
+                hit, span = np.divmod(found, len(asked))
+                for p, i, c in zip(part[hit].tolist(), of[span].tolist(), near[found].tolist(), strict=True):
+                    key = (int(row[p]), int(place[p]), i)
+                    best[key] = max(best.get(key, -1.0), c)
             for (r, p, i), c in sorted(best.items(), key=lambda x: -x[1]):
                 if (r, i) in leaked:
                     continue

@@ -643,6 +643,47 @@ def test_words_are_told_apart():
     assert [len(x) for x in whole][1:] == [0, 2] and whole[2][0] == whole[2][1]
 
 
+def test_words_of_short_characters_skip_the_library(monkeypatch):
+    library, through = decontaminate._Words.hashed, []
+    monkeypatch.setattr(decontaminate._Words, "hashed", staticmethod(lambda word: through.append(word) or library(word)))
+    pick = random.Random(6)
+    latin = ["".join(pick.choices("abZ09-.'éÉßñжЖµº\u0085", k=pick.randrange(1, 9))) for _ in range(3000)]
+    words = decontaminate._Words()
+    found = words.each(pa.array([" ".join(latin), "É" * 70_000 + " é"], pa.string()))
+    assert not through
+    every = words.of(pa.array([*latin, "é" * 70_000, "é"], pa.string()))
+    assert np.concatenate(found).tolist() == every[every != 0].tolist() and len(found[1]) == 2
+
+
+def test_words_of_any_bytes_have_the_same_numbers():
+    pick = random.Random(7)
+    some = [pick.choices(b"Aa.\xc3\xa9\xc2\x80\xff\xe2\x82\xac\xdf\xc0", k=pick.randrange(0, 6)) for _ in range(20_000)]
+    wide = ["’".encode(), "aŉ’É".encode(), "İ".encode(), "K中".encode(), "x́".encode()]
+    words = pa.array([*map(bytes, some), *wide], pa.binary()).cast(pa.string(), safe=False)
+    numbers, odd = decontaminate._quick_numbers(words)
+    want = decontaminate._Words().of(words)
+    assert (numbers[~odd] == want[~odd]).all() and 0.1 < odd.mean() < 0.9
+    assert odd[-5:].tolist() == [True, True, False, True, False]
+    part = words.slice(777, 1000)
+    assert (decontaminate._quick_numbers(part)[0] == numbers[777:1777]).all()
+
+
+def test_grid_has_lengths_and_sums_of_passages():
+    pick = np.random.default_rng(8)
+    texts = [(pick.zipf(1.3, n) % 999 * 70_000_000 % 2**32).astype(np.uint32) for n in (1, 31, 32, 33, 500)]
+    grid, rows = decontaminate._grid(texts, 32)
+    assert rows.tolist() == [1, 1, 1, 2, 16] and (grid == decontaminate._FEATURES).sum() == 31 + 1 + 31 + 12
+    idf = pick.random(decontaminate._FEATURES)
+    row, feature, weight = decontaminate._weighted([x[a : a + 32] for x in texts for a in range(0, len(x), 32)], idf)
+    dense = np.zeros((len(grid), decontaminate._FEATURES + 1))
+    np.add.at(dense, (np.arange(len(grid))[:, None], grid), np.append(idf, 0)[grid])
+    norm = decontaminate._lengths(grid, idf)
+    assert np.allclose(norm, np.linalg.norm(dense, axis=1)) and np.allclose(weight, (dense / norm[:, None])[row, feature])
+    source = np.zeros((decontaminate._FEATURES + 1, 3), np.float32)
+    source[:-1] = pick.standard_normal((decontaminate._FEATURES, 3))
+    assert np.allclose(decontaminate._row_sums(grid, source), source[grid].sum(1), atol=1e-4)
+
+
 def test_latent_space_is_orthonormal_and_spans_the_leading_directions(spark):
     pick = np.random.default_rng(3)
     topics = pick.integers(0, 2**32, (6, 40)).astype(np.uint32)
