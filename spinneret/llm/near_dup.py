@@ -163,7 +163,11 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 
 def _in_files(df: DataFrame, rows: int) -> DataFrame:
     """``df``, of at most ``rows`` narrow rows, in no more partitions than they fill."""
-    return df.coalesce(max(1, -(-rows // FILE_ROWS)))
+    return df.coalesce(_files(rows))
+
+
+def _files(rows: int) -> int:
+    return max(1, -(-rows // FILE_ROWS))
 
 
 def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -185,9 +189,13 @@ def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(similar, "a binary, b binary")
 
 
-def _links_between(families: DataFrame, sets: DataFrame, percent: int, cell: int = CELL) -> DataFrame:
+def _links_between(
+    families: DataFrame, sets: DataFrame, percent: int, cell: int = CELL, count: int | None = None
+) -> DataFrame:
     """``a, b``: links from the nodes that are ``out`` of a family to all its nodes.
 
+    ``count`` is a bound on the rows of ``families``.
+
     A family is dealt into cells of at most about ``cell`` sets on either side, so none
     is ever in one task; a node is repeated once for each block of the other side.
     """
@@ -195,7 +203,7 @@ def _links_between(families: DataFrame, sets: DataFrame, percent: int, cell: int
         F.ceil(F.count(F.when(F.col("out"), 1)) / cell).cast("int").alias("rows"),
         F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("columns"),
     )
-    size = written(size, "near-cells")
+    size = written(size if count is None else _in_files(size, count), "near-cells")
     placed = families.join(size, "family").join(sets, "node")
     block = F.xxhash64("node")
 
@@ -253,10 +261,7 @@ def components(edges: DataFrame, size: int | None = None) -> DataFrame:
         heard = both.join(labels.withColumnRenamed("node", "u"), "u").groupBy(F.col("v").alias("node")).agg(
             F.min("label").alias("heard")
         )
-        near = kept(
-            labels.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label")),
-            "near-labels",
-        )
+        near = labels.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
         jump = near.select(F.col("node").alias("label"), F.col("label").alias("next"))
         after = near.join(jump, "label").select("node", "old", F.least("label", "next").alias("label"))
         after = kept(after, "near-labels")
@@ -280,9 +285,9 @@ def near_duplicates(
     ``component_id`` is null and all are kept. Other columns of ``docs`` are ignored,
     whatever their names. Empty tables give no rows.
     """
+    found, _ = _grouped(docs, k, percent, bands, rows)
     return (
-        _grouped(docs, k, percent, bands, rows)
-        .select(
+        found.select(
             "doc_id",
             F.col("n").alias("n_shingles"),
             F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
@@ -291,9 +296,11 @@ def near_duplicates(
     )
 
 
-def _grouped(docs: DataFrame, k: int, percent: int, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """``doc_id, mark, n, node, label, component_id`` for every row of ``docs``; rows of a
-    group share ``label``, which is null for texts without words."""
+def _grouped(
+    docs: DataFrame, k: int, percent: int, bands: int = BANDS, rows: int = BAND_ROWS
+) -> tuple[DataFrame, int]:
+    """``doc_id, mark, n, node, label, component_id`` for every row of ``docs``, and a bound
+    on their number; rows of a group share ``label``, which is null for texts without words."""
     sketch, total = written_counted(sketched(docs, k, bands, rows), "near-sketch")
     full = sketch.where("node IS NOT NULL")
     place = F.min(F.struct("doc_id", "mark")).alias("place")
@@ -315,19 +322,20 @@ def _grouped(docs: DataFrame, k: int, percent: int, bands: int = BANDS, rows: in
             return shared.withColumn("label", F.col("node"))
         return shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
-    def linked(now: DataFrame, others: DataFrame) -> None:
-        """Verify nodes against others of their bucket, and label anew with what is found."""
+    def linked(now: DataFrame, others: DataFrame, count: int) -> None:
+        """Verify nodes against ``count`` others of their bucket at most, and label anew with what is found."""
         nonlocal edges, labels, most
         alike = 100 * F.least("n", "n_other") >= percent * F.greatest("n", "n_other")
-        pairs, some = written_counted(
+        pairs = (
             now.join(others, "key")
             .where((F.col("label") != F.col("label_other")) & alike)
             .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-            .distinct(),
-            "near-pairs",
+            .distinct()
         )
+        pairs, some = written_counted(_in_files(pairs, count * held), "near-pairs")
         if some:
-            found = written(_verified(sets, pairs, percent), "near-links")
+            # Verified in as many tasks as the sets fill, and only then put into few files.
+            found = written(_verified(sets, pairs, percent).repartition(_files(some)), "near-links")
             edges = found if edges is None else edges.union(found)
             most += some
             labels = components(edges, most)
@@ -343,20 +351,20 @@ def _grouped(docs: DataFrame, k: int, percent: int, bands: int = BANDS, rows: in
             few = few.withColumn("label", F.col("node"))
         else:
             few = few.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        linked(now, few.select(*as_other))
+        linked(now, few.select(*as_other), count)
     now = labelled()
     parts = now.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-    split = written(
+    split = (
         parts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("most"), F.count(F.lit(1)).alias("parts"))
-        .where("parts > 1").select("key", F.col("most.label").alias("family")),
-        "near-split",
+        .where("parts > 1").select("key", F.col("most.label").alias("family"))
     )
-    families, some = written_counted(
-        now.join(split, "key").select("family", "node", "label", "n", (F.col("label") != F.col("family")).alias("out")).distinct(),
-        "near-families",
-    )
+    split = written(_in_files(split, held // 2), "near-split")
+    families = now.join(split, "key").select(
+        "family", "node", "label", "n", (F.col("label") != F.col("family")).alias("out")
+    ).distinct()
+    families, some = written_counted(_in_files(families, held), "near-families")
     if some:
-        found, some = written_counted(_links_between(families, sets, percent), "near-links")
+        found, some = written_counted(_links_between(families, sets, percent, count=some), "near-links")
         if some:
             edges = found if edges is None else edges.union(found)
             labels = components(edges, most + some)
@@ -369,7 +377,7 @@ def _grouped(docs: DataFrame, k: int, percent: int, bands: int = BANDS, rows: in
         least = written(_in_files(least, total), "near-least")
         owner = placed.join(least, "label").select("node", "label", "component_id")
     owner = written(_in_files(owner, total), "near-owner")
-    return sketch.select("doc_id", "mark", "n", "node").join(owner, "node", "left")
+    return sketch.select("doc_id", "mark", "n", "node").join(owner, "node", "left"), total
 
 
 def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
@@ -381,10 +389,12 @@ def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT)
     and stay, but rows that share an id and such a text are one. Columns may have any
     names; empty tables give no rows.
     """
-    found = written(_grouped(docs, k, percent).select("doc_id", "mark", "label"), "near-found")
+    found, total = _grouped(docs, k, percent)
+    found = written(_in_files(found.select("doc_id", "mark", "label"), total), "near-found")
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark")
     first = found.where("label IS NOT NULL").groupBy("label").agg(F.min(order).alias("first"))
-    first = written(first.select(F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark")), "near-first")
+    first = first.select(F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark"))
+    first = written(_in_files(first, total), "near-first")
     text = text_of("`text`")
     rows = docs.select(
         F.struct("*").alias("row"), F.col("`doc_id`").cast("long").alias("id"), _mark(text).alias("mark"),
@@ -396,9 +406,8 @@ def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT)
 
     kept = those(rows.where("words"), first, "left_semi").unionByName(rows.where("NOT words"))
     repeats = found.where("label IS NOT NULL OR doc_id IS NOT NULL").groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("c"))
-    twins, some = written_counted(
-        repeats.where("c > 1").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")), "near-twins"
-    )
+    twins = repeats.where("c > 1").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
+    twins, some = written_counted(_in_files(twins, total), "near-twins")
     if some:
         one = those(kept, twins, "left_semi").groupBy("id", "mark").agg(F.first("row").alias("row")).select("row")
         kept = those(kept, twins, "left_anti").select("row").unionByName(one)

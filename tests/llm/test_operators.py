@@ -418,6 +418,46 @@ def test_near_duplicates_without_ids(docs):
     assert near_dup.near_duplicates(docs(ODD).limit(0)).count() == 0
 
 
+@pytest.fixture
+def sixteen_partitions(spark):
+    """Shuffles into 16 partitions that Spark does not join, however small."""
+    ours = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in ours}
+    for k, v in ours.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_near_duplicates_write_narrow_tables_in_few_files(docs, monkeypatch, sixteen_partitions):
+    tables = collections.defaultdict(list)
+
+    def noting(f):
+        def noted(df, label):
+            out = f(df, label)
+            tables[label].append(len((out[0] if isinstance(out, tuple) else out).inputFiles()))
+            return out
+
+        return noted
+
+    for name in ("written", "written_counted"):
+        monkeypatch.setattr(near_dup, name, noting(getattr(near_dup, name)))
+    rows, pick = [], random.Random(7)
+    for i in range(120):
+        words = text(i % 30, 60).split()
+        for _ in range(i // 30 * 2):
+            words[pick.randrange(len(words))] = pick.choice(WORDS).upper()
+        rows.append((i, " ".join(words)))
+    kept = near_dup.without_near_duplicates(docs([(i, t, "s") for i, t in rows]), 2)
+    top = brute_groups(rows, 2, 80)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, _ in rows if top[i][1] == i]
+    for label in ("near-pairs", "near-split", "near-families", "near-found", "near-first", "near-twins"):
+        assert max(tables[label]) <= 1, label
+    assert tables["near-links"][0] == 1
+    assert max(tables.get("near-cells", [0])) <= 1
+
+
 def test_sketches_fill_and_estimate():
     sets = [np.unique(near_dup.mixed(np.arange(1, n + 1, dtype=np.uint64))) for n in (1, 3, 1000, 800)]
     found = near_dup.sketches(sets, 160)
